@@ -139,11 +139,11 @@ def f15(spark, sf):
 WITH {FLEET}, q AS (SELECT quantile_cont(AIRFLOW_PER_RPM, 0.99) AS p FROM fleet),
 c AS (SELECT l_orderkey, l_linenumber, least(AIRFLOW_PER_RPM, p) AS capped FROM fleet, q),
 b AS (SELECT min(capped) AS lo, max(capped) AS hi FROM c)
-SELECT l_orderkey, l_linenumber, round(capped, 9) AS capped, round((capped - lo) / (hi - lo), 9) AS scaled FROM c, b""")
+SELECT l_orderkey, l_linenumber, round(capped, 12) AS capped, round((capped - lo) / (hi - lo), 9) AS scaled FROM c, b""")
 def f16(spark, sf):
     f = fleet(spark, sf).select("l_orderkey", "l_linenumber", "AIRFLOW_PER_RPM")
     out = scaling.cap_at_quantile(f, "AIRFLOW_PER_RPM", "capped", 0.99, scaled="scaled")
-    return rounded(out.drop("AIRFLOW_PER_RPM"), 9)
+    return rounded(rounded(out.drop("AIRFLOW_PER_RPM"), 12, "capped"), 9, "scaled")
 
 
 @query("f17_stress_upper", f"""

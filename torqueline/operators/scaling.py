@@ -15,16 +15,17 @@ from torqueline.operators.quantiles import exact_quantiles, medians
 
 
 def fill(df: DataFrame, cols: Sequence[str], how="median") -> DataFrame:
-    """Fill missing values with the column median, mean or a constant."""
+    """Fill missing values with the column median, mean or a constant.
+
+    Columns without gaps keep their type and cost no statistics.
+    """
     if not cols:
         return df
-    if how == "median":
-        by = medians(df, cols)
-    elif how == "mean":
-        row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-        by = {c: row[i] for i, c in enumerate(cols)}
-    else:
-        by = {c: how for c in cols}
+    if how not in ("median", "mean"):
+        return df.withColumns({c: fill_value(c, how) for c in cols})
+    row = df.agg(*[F.struct(F.count_if(F.col(c).isNull()), F.avg(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    gappy = {c: row[i][1] for i, c in enumerate(cols) if row[i][0]}
+    by = gappy if how == "mean" else medians(df, list(gappy))
     return df.withColumns({c: fill_value(c, v) for c, v in by.items() if v is not None})
 
 

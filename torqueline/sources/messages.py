@@ -14,11 +14,17 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_messages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Arriving message files, with the arrival position as order."""
+    """Arriving message files, each row with the file it came from."""
     reader = spark.readStream.schema(MESSAGE)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return with_arrival(reader.json(path))
+    return reader.json(path).select(
+        *MESSAGE.names,
+        F.struct(
+            F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+        ).alias("origin"),
+    )
 
 
 def with_arrival(messages: DataFrame) -> DataFrame:
@@ -26,8 +32,5 @@ def with_arrival(messages: DataFrame) -> DataFrame:
     return messages.select(
         *MESSAGE.names,
         normalize_timestamp_key("timestamp").alias("session"),
-        F.struct(
-            F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
-        ).alias("seq"),
+        F.struct("origin.at", "origin.file", "origin.block", F.monotonically_increasing_id().alias("line")).alias("seq"),
     )

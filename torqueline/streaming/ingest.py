@@ -16,7 +16,7 @@ from torqueline.functions.text import normalize_timestamp_key, parse_timestamp
 from torqueline.operators.encode import map_to_columns
 from torqueline.plans.cleaning import clean_session
 from torqueline.sources.csv_logs import read_logs
-from torqueline.sources.messages import stream_messages
+from torqueline.sources.messages import stream_messages, with_arrival
 from torqueline.sources.sinks import RAW_STORE, write_csv
 
 STATUS = "session string, status string, batch long, seq struct<at:timestamp,file:string,block:long,line:long>, step int"
@@ -62,7 +62,7 @@ def start_ingest(
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        batch = with_arrival(batch).persist()
         try:
             control, _ = control_split(batch)
             raw_rows(batch).write.mode("overwrite").parquet(f"{raw_dir}/batch={number}")
