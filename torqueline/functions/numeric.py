@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from torqueline.functions import sql
+
 __all__ = [
     "SENTINELS", "nan_to_null", "to_number", "sentinel_to_null", "outside_to_null", "fill_value",
     "row_mean", "safe_ratio", "eps_ratio", "pair_mean", "kph_to_mps", "mps2_to_g", "days_since",
@@ -55,7 +57,7 @@ def fill_value(c: Column | str, value) -> Column:
 
 
 def missing_count(cols: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in cols], F.lit(0))
+    return F.expr(" + ".join(["0", *[f"CAST({sql.name(c)} IS NULL AS INT)" for c in cols]]))
 
 
 def row_mean(*cols: Column | str) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from torqueline.functions import sql
+
 
 def select_existing(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return df.select([c for c in keep if c in df.columns])
@@ -65,21 +67,19 @@ def _comparable(df: DataFrame) -> list[str]:
             if not isinstance(f.dataType, (T.MapType, T.VariantType))]
 
 
-def _quoted(name: str):
-    return F.col(f"`{name}`")
-
-
 def column_extremes(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
     """(present rows, min, max) per column, one job."""
     if not cols:
         return {}
-    row = df.agg(*[
-        F.struct(F.count(_quoted(c)), F.min(_quoted(c)), F.max(_quoted(c))).alias(f"s{i}")
-        for i, c in enumerate(cols)
-    ]).first()
+    row = df.selectExpr(*[f"{_extremes(c)} AS s{i}" for i, c in enumerate(cols)]).first()
     return {c: tuple(row[i]) for i, c in enumerate(cols)}
 
 
+def _extremes(c: str) -> str:
+    x = sql.name(c)
+    return f"struct(count({x}), min({x}), max({x}))"
+
+
 def constant_columns(df: DataFrame, protect: Iterable[str] = ()) -> list[str]:
     """Columns with at most one distinct present value (min equals max, or none at all)."""
     cols = [c for c in _comparable(df) if c not in set(protect)]
@@ -90,40 +90,59 @@ def drop_constant_columns(df: DataFrame, protect: Iterable[str] = ()) -> DataFra
     return df.drop(*constant_columns(df, protect))
 
 
-def identical_columns(df: DataFrame) -> list[str]:
-    """Columns equal, row by row, to an earlier one of the same type (NULL equals NULL).
+def _fingerprint(c: str) -> str:
+    """Order-free summary of a column: equal columns have equal ones."""
+    h = f"xxhash64({sql.name(c)})"
+    return f"struct(count({sql.name(c)}), bit_xor({h}), sum(CAST({h} AS DECIMAL(20, 0))))"
 
-    Order-free fingerprints leave few candidates; those pairs are then compared exactly.
-    """
-    cols = _comparable(df)
-    if not cols:
-        return []
-    prints = df.agg(*[
-        F.struct(F.count(_quoted(c)), F.bit_xor(F.xxhash64(_quoted(c))),
-                 F.sum(F.xxhash64(_quoted(c)).cast("decimal(20,0)"))).alias(f"s{i}")
-        for i, c in enumerate(cols)
-    ]).first()
-    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+def _repeated(df: DataFrame, cols: Sequence[str], prints: dict[str, tuple]) -> list[str]:
+    """Columns equal to an earlier one; only those with equal fingerprints are compared."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     groups: dict[tuple, list[str]] = {}
-    for i, c in enumerate(cols):
-        groups.setdefault((kinds[c].simpleString(), *prints[i]), []).append(c)
+    for c in cols:
+        groups.setdefault((kinds[c], *prints[c]), []).append(c)
     pairs = [(a, b) for g in groups.values() for j, b in enumerate(g) for a in g[:j]]
     if not pairs:
         return []
-    same = df.agg(*[
-        F.bool_and(_quoted(a).eqNullSafe(_quoted(b))).alias(f"e{i}") for i, (a, b) in enumerate(pairs)
+    same = df.selectExpr(*[
+        f"bool_and({sql.name(a)} <=> {sql.name(b)}) AS e{i}" for i, (a, b) in enumerate(pairs)
     ]).first()
     return list(dict.fromkeys(b for i, (_, b) in enumerate(pairs) if same[i] is not False))
 
 
+def identical_columns(df: DataFrame) -> list[str]:
+    """Columns equal, row by row, to an earlier one of the same type (NULL equals NULL)."""
+    cols = _comparable(df)
+    if not cols:
+        return []
+    row = df.selectExpr(*[f"{_fingerprint(c)} AS s{i}" for i, c in enumerate(cols)]).first()
+    return _repeated(df, cols, {c: tuple(row[i]) for i, c in enumerate(cols)})
+
+
+def drop_constant_and_identical(df: DataFrame, protect: Iterable[str] = ()) -> DataFrame:
+    """:func:`drop_constant_columns`, then :func:`drop_identical_columns`, from one statistics job."""
+    cols = _comparable(df)
+    if not cols:
+        return df
+    row = df.selectExpr(
+        *[f"{_extremes(c)} AS m{i}" for i, c in enumerate(cols)],
+        *[f"{_fingerprint(c)} AS s{i}" for i, c in enumerate(cols)],
+    ).first()
+    ends = {c: tuple(row[f"m{i}"]) for i, c in enumerate(cols)}
+    prints = {c: tuple(row[f"s{i}"]) for i, c in enumerate(cols)}
+    fixed = [c for c in cols if c not in set(protect) and (not ends[c][0] or ends[c][1] == ends[c][2])]
+    return df.drop(*fixed, *_repeated(df, [c for c in cols if c not in fixed], prints))
+
+
 def drop_identical_columns(df: DataFrame) -> DataFrame:
     return df.drop(*identical_columns(df))
 
 
 def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(_quoted(c).isNull()).alias(f"c{i}") for i, c in enumerate(df.columns)],
+    """Rows, and missing values per column, one job."""
+    row = df.selectExpr(
+        "count(1)", *[f"count_if({sql.name(c)} IS NULL) AS c{i}" for i, c in enumerate(df.columns)]
     ).first()
     return row[0], {c: row[i + 1] for i, c in enumerate(df.columns)}
 

@@ -63,7 +63,7 @@ class ForestModel:
 
     def score(self, df: DataFrame, out: str = "AnomalyScore") -> DataFrame:
         """Add the anomaly score in (0, 1], higher for rows that are easier to isolate."""
-        names, depth = list(self.cols), self.depth
+        names = list(self.cols)
         forest = df.sparkSession.sparkContext.broadcast((self.feature, self.cut, average_path(self.size)))
         norm = float(average_path(self.sample)) or 1.0
 
@@ -71,19 +71,18 @@ class ForestModel:
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
             feature, cut, rest = forest.value
             for frame in batches:
-                x = frame.to_numpy(dtype=float)
-                every = np.arange(len(x))
-                total = np.zeros(len(x))
+                x = np.ascontiguousarray(frame.to_numpy(dtype=float).T)
+                total = np.zeros(x.shape[1])
                 for t in range(len(feature)):
-                    at = np.zeros(len(x), dtype=np.int64)
-                    steps = np.zeros(len(x))
-                    for _ in range(depth):
-                        f = feature[t, at]
-                        inner = f >= 0
-                        right = x[every, np.maximum(f, 0)] > cut[t, at]
-                        at = np.where(inner, 2 * at + 1 + right, at)
-                        steps += inner
-                    total += steps + rest[t, at]
+                    parts = [(0, 0, np.arange(x.shape[1]))]
+                    while parts:
+                        node, level, rows = parts.pop()
+                        f = feature[t, node]
+                        if f < 0:
+                            total[rows] += level + rest[t, node]
+                        elif len(rows):
+                            right = x[f, rows] > cut[t, node]
+                            parts += [(2 * node + 1, level + 1, rows[~right]), (2 * node + 2, level + 1, rows[right])]
                 yield pd.Series(np.exp2(-total / len(feature) / norm))
 
         return df.withColumn(out, score(F.struct(*[F.col(c).cast("double").alias(c) for c in names])))

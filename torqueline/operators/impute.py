@@ -13,10 +13,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from torqueline.functions import sql
 from torqueline.operators.columns import null_counts
 from torqueline.session import settle
 
@@ -87,9 +88,9 @@ class IterativeImputer:
             for j in order:
                 step = _solve(base + self._gram(rows, start, j), start, j)
                 steps.append(step)
-                rows = rows.withColumn(f"x{j}", F.coalesce(f"o{j}", _linear(step, p)))
+                rows = rows.withColumn(f"x{j}", F.expr(f"coalesce(o{j}, {_linear(step, p)})"))
             rows = settle(rows, "gaps")
-            change = rows.agg(F.max(F.greatest(*[F.abs(F.col(f"x{i}") - F.col(f"b{i}")) for i in order], F.lit(0.0)))).first()[0]
+            change = rows.selectExpr(f"max(greatest(0.0D, {', '.join(f'abs(x{i} - b{i})' for i in order)}))").first()[0]
             rows = rows.drop(*[f"b{i}" for i in order])
             if change is None or change < limit:
                 break
@@ -100,18 +101,18 @@ class IterativeImputer:
         p = len(self.cols)
         if target is not None:
             rows = rows.filter(F.col(f"o{target}").isNotNull())
-        v = [F.lit(1.0)] + [F.col(f"x{i}") - F.lit(centre[i]) for i in range(p)]
+        v = ["1.0D"] + [f"(x{i} - {sql.number(centre[i])})" for i in range(p)]
         cells = [(a, b) for a in range(p + 1) for b in range(a, p + 1)]
-        sums = rows.agg(*[F.sum(v[a] * v[b]).alias(f"g{a}_{b}") for a, b in cells]).first()
+        sums = rows.selectExpr(*[f"sum({v[a]} * {v[b]}) AS g{a}_{b}" for a, b in cells]).first()
         out = np.zeros((p + 1, p + 1))
         for value, (a, b) in zip(sums, cells):
             out[a, b] = out[b, a] = value or 0.0
         return out
 
 
-def _linear(step: Step, p: int) -> Column:
-    terms = [F.lit(w) * F.col(f"x{i}") for i, w in enumerate(step.weights) if i != step.column]
-    return reduce(lambda a, b: a + b, terms, F.lit(step.intercept))
+def _linear(step: Step, p: int) -> str:
+    terms = [f"{sql.number(w)} * x{i}" for i, w in enumerate(step.weights) if i != step.column]
+    return " + ".join([sql.number(step.intercept), *terms])
 
 
 def _solve(gram: np.ndarray, centre: Sequence[float], target: int) -> Step:

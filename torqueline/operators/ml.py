@@ -172,7 +172,7 @@ def pca_outlier_flag(df: DataFrame, first: float = 3, second: float = 3, out: st
 
 
 def kmeans_cluster(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42, out: str = "cluster") -> DataFrame:
-    vectors = VectorAssembler(inputCols=list(cols), outputCol=FEATURES).transform(df)
+    vectors = VectorAssembler(inputCols=list(cols), outputCol=FEATURES).transform(spread(df))
     model = KMeans(k=k, seed=seed, featuresCol=FEATURES, predictionCol=out).fit(vectors)
     return model.transform(vectors)
 

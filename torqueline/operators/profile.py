@@ -7,12 +7,12 @@ unfolded into one row per column.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from torqueline.functions import sql
 from torqueline.functions.numeric import scaled_between
 from torqueline.operators.columns import column_extremes, numeric_columns, text_columns
 from torqueline.operators.quantiles import exact_quantiles, quantile_exprs
@@ -23,9 +23,10 @@ TABLE_QUANTILES = (0, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99, 1.0)
 PAIRS_PER_JOB = 300
 
 
-def _unfold(df: DataFrame, aggregates: Sequence[Column], rows: Sequence[Column]) -> DataFrame:
-    """One aggregate row to several: ``rows`` are structs over the aggregate's columns."""
-    return df.agg(*aggregates).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+def _unfold(df: DataFrame, aggregates: Mapping[str, str], rows: Sequence[str]) -> DataFrame:
+    """One aggregate row to several: ``rows`` are SQL structs over the aggregate's columns."""
+    one = df.selectExpr(*[f"{e} AS {n}" for n, e in aggregates.items()])
+    return one.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def value_counts_pct(df: DataFrame, label: str) -> DataFrame:
@@ -46,23 +47,22 @@ def conditional_proportion(df: DataFrame, label: str = "driving_style", value: s
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, min, quartiles and max per numeric column."""
     cols = list(cols or numeric_columns(df))
-    if not cols:
-        cols = []
     quartiles = quantile_exprs(df, {c: [0.25, 0.5, 0.75] for c in cols})
-    aggregates, rows = [], []
+    aggregates, rows = {}, []
     for i, c in enumerate(cols):
+        x = sql.name(c)
         parts = {
-            "count": F.count(c),
-            "mean": F.avg(c),
-            "std": F.stddev_samp(c),
-            "min": F.min(c).cast("double"),
+            "count": f"count({x})",
+            "mean": f"avg({x})",
+            "std": f"stddev_samp({x})",
+            "min": f"CAST(min({x}) AS DOUBLE)",
             "q25": quartiles[c, 0.25],
             "q50": quartiles[c, 0.5],
             "q75": quartiles[c, 0.75],
-            "max": F.max(c).cast("double"),
+            "max": f"CAST(max({x}) AS DOUBLE)",
         }
-        aggregates += [e.alias(f"{n}_{i}") for n, e in parts.items()]
-        rows.append(F.struct(F.lit(c).alias("column"), *[F.col(f"{n}_{i}").alias(n) for n in parts]))
+        aggregates |= {f"{n}_{i}": e for n, e in parts.items()}
+        rows.append(sql.struct(column=sql.text(c), **{n: f"{n}_{i}" for n in parts}))
     return _unfold(df, aggregates, rows)
 
 
@@ -101,10 +101,8 @@ def missing_profile(df: DataFrame, top: int | None = None, only_missing: bool =
     names = df.columns
     out = _unfold(
         df,
-        [F.count(F.lit(1)).alias("n")]
-        + [F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}") for i, c in enumerate(names)],
-        [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing"),
-                  F.try_divide(F.col(f"m{i}"), F.col("n")).alias("share")) for i, c in enumerate(names)],
+        {"n": "count(1)"} | {f"m{i}": f"count_if({sql.name(c)} IS NULL)" for i, c in enumerate(names)},
+        [sql.struct(column=sql.text(c), missing=f"m{i}", share=f"try_divide(m{i}, n)") for i, c in enumerate(names)],
     )
     if only_missing:
         out = out.filter(F.col("missing") > 0)
@@ -130,16 +128,16 @@ def median_per_column(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def quantile_per_column(df: DataFrame, cols: Sequence[str], q: float, out: str = "value") -> DataFrame:
     at = quantile_exprs(df, {c: [q] for c in cols})
     return _unfold(
-        df, [e.alias(f"q{i}") for i, e in enumerate(at.values())],
-        [F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias(out)) for i, (c, _) in enumerate(at)],
+        df, {f"q{i}": e for i, e in enumerate(at.values())},
+        [sql.struct(column=sql.text(c), **{out: f"q{i}"}) for i, (c, _) in enumerate(at)],
     )
 
 
 def mean_per_column(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols or numeric_columns(df))
     return _unfold(
-        df, [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-        [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean")) for i, c in enumerate(cols)],
+        df, {f"m{i}": f"avg({sql.name(c)})" for i, c in enumerate(cols)},
+        [sql.struct(column=sql.text(c), mean=f"m{i}") for i, c in enumerate(cols)],
     )
 
 
@@ -149,8 +147,8 @@ def quantile_table(df: DataFrame, scores: Mapping[str, str], quantiles: Sequence
     at = quantile_exprs(df, {c: qs for c in scores.values()})
     names = {key: f"q{i}" for i, key in enumerate(at)}
     return _unfold(
-        df, [e.alias(names[k]) for k, e in at.items()],
-        [F.struct(F.lit(q).alias("quantile"), *[F.col(names[c, q]).alias(n) for n, c in scores.items()]) for q in qs],
+        df, {names[k]: e for k, e in at.items()},
+        [sql.struct(quantile=sql.number(q), **{n: names[c, q] for n, c in scores.items()}) for q in qs],
     )
 
 
@@ -169,14 +167,14 @@ def resample_mean(df: DataFrame, ts: str, cols: Sequence[str], unit: str = "hour
     return units.join(means, ts, "left")
 
 
-def _pearson(x: Column, y: Column) -> Column:
+def _pearson(x: str, y: str) -> str:
     """Correlation over rows with both present; NULL, not an error, for a constant column."""
-    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-    return F.try_divide(F.covar_pop(x, y), spread)
+    spread = f"stddev_pop(IF({y} IS NULL, NULL, {x})) * stddev_pop(IF({x} IS NULL, NULL, {y}))"
+    return f"try_divide(covar_pop({x}, {y}), {spread})"
 
 
-def _double(c: str) -> Column:
-    return F.col(c).cast("double")
+def _double(c: str) -> str:
+    return f"CAST({sql.name(c)} AS DOUBLE)"
 
 
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -189,12 +187,9 @@ def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         rows = []
         for i, (a, b) in enumerate(chunk):
             ends = [(a, b)] if a == b else [(a, b), (b, a)]
-            rows += [F.struct(F.lit(p).alias("x"), F.lit(q).alias("y"), F.col(f"r{i}").alias("r")) for p, q in ends]
-        parts.append(_unfold(df, [_pearson(_double(a), _double(b)).alias(f"r{i}") for i, (a, b) in enumerate(chunk)], rows))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+            rows += [sql.struct(x=sql.text(p), y=sql.text(q), r=f"r{i}") for p, q in ends]
+        parts.append(_unfold(df, {f"r{i}": _pearson(_double(a), _double(b)) for i, (a, b) in enumerate(chunk)}, rows))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def strong_pairs(matrix: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -203,10 +198,10 @@ def strong_pairs(matrix: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def point_biserial(df: DataFrame, cols: Sequence[str], target: Column | str) -> DataFrame:
     """Correlation of each feature with a 0/1 target."""
-    y = (F.col(target) if isinstance(target, str) else target).cast("double")
+    df = df.withColumn("__y", (F.col(target) if isinstance(target, str) else target).cast("double"))
     return _unfold(
-        df, [_pearson(_double(c), y).alias(f"r{i}") for i, c in enumerate(cols)],
-        [F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("r")) for i, c in enumerate(cols)],
+        df, {f"r{i}": _pearson(_double(c), "__y") for i, c in enumerate(cols)},
+        [sql.struct(column=sql.text(c), r=f"r{i}") for i, c in enumerate(cols)],
     )
 
 
@@ -217,21 +212,18 @@ def chi2_scores(df: DataFrame, cols: Sequence[str], label: str, scale: bool = Tr
     sum((o - e)^2 / e), e = T n / N, equals N / T * sum(o^2 / n) - T, so one pass over
     the per-class sums is enough.
     """
-    value = {c: _double(c) for c in cols}
+    value = {c: F.col(c).cast("double") for c in cols}
     if scale:
         value = {c: scaled_between(c, lo, hi) for c, (_, lo, hi) in column_extremes(df, list(cols)).items()}
     classes = df.groupBy(label).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"o{i}") for i, v in enumerate(value.values())]
     )
-    parts = [F.sum("n").alias("n")]
+    sums = {"n": "sum(n)"}
     for i in range(len(cols)):
-        o = F.col(f"o{i}")
-        parts += [F.sum(o).alias(f"t{i}"), F.sum(o * o / F.col("n")).alias(f"s{i}")]
+        sums |= {f"t{i}": f"sum(o{i})", f"s{i}": f"sum(o{i} * o{i} / n)"}
     return _unfold(
-        classes, parts,
-        [F.struct(F.lit(c).alias("column"),
-                  (F.try_divide(F.col("n") * F.col(f"s{i}"), F.col(f"t{i}")) - F.col(f"t{i}")).alias("chi2"))
-         for i, c in enumerate(cols)],
+        classes, sums,
+        [sql.struct(column=sql.text(c), chi2=f"try_divide(n * s{i}, t{i}) - t{i}") for i, c in enumerate(cols)],
     )
 
 
@@ -244,7 +236,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
-    place = F.least(F.floor((_double(col) - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(bins - 1).cast("long"))
+    place = F.least(F.floor((F.col(col).cast("double") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(bins - 1).cast("long"))
     counts = df.filter(F.col(col).isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     edges = df.sparkSession.range(bins).select(
         F.col("id").alias("bin"),
@@ -261,13 +253,13 @@ def kde_curve(df: DataFrame, col: str, points: int = 200) -> DataFrame:
     grid point within its own task, so only ``points`` sums leave a task.
     """
     n, lo, hi, std = df.agg(
-        F.count(col), F.min(_double(col)), F.max(_double(col)), F.stddev_samp(_double(col))
+        F.count(col), F.min(F.col(col).cast("double")), F.max(F.col(col).cast("double")), F.stddev_samp(F.col(col).cast("double"))
     ).first()
     if not n or not std:
         return df.sparkSession.createDataFrame([], "x double, density double")
     h = std * n ** (-0.2)
     step = (hi - lo) / (points - 1)
-    values = df.filter(F.col(col).isNotNull()).groupBy(_double(col).alias("v")).agg(F.count(F.lit(1)).alias("m"))
+    values = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("m"))
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
     at = F.lit(lo) + F.col("i") * F.lit(step)
     z = (at - F.col("v")) / F.lit(h)
@@ -282,20 +274,20 @@ def kde_curve(df: DataFrame, col: str, points: int = 200) -> DataFrame:
 def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers at the extreme values within 1.5 IQR, and outlier counts."""
     at = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols})
-    aggregates, rows = [], []
+    aggregates, rows = {}, []
     for i, c in enumerate(cols):
         q1, q2, q3 = (at[c, q] for q in (0.25, 0.5, 0.75))
         if q1 is None:
             continue
         reach = 1.5 * (q3 - q1)
         x = _double(c)
-        inside = x.between(q1 - reach, q3 + reach)
-        aggregates += [
-            F.min(F.when(inside, x)).alias(f"lo{i}"), F.max(F.when(inside, x)).alias(f"hi{i}"),
-            F.count_if(~inside).alias(f"n{i}"),
-        ]
-        rows.append(F.struct(
-            F.lit(c).alias("column"), F.lit(q1).alias("q25"), F.lit(q2).alias("q50"), F.lit(q3).alias("q75"),
-            F.col(f"lo{i}").alias("whisker_lo"), F.col(f"hi{i}").alias("whisker_hi"), F.col(f"n{i}").alias("outliers"),
+        inside = f"{x} BETWEEN {sql.number(q1 - reach)} AND {sql.number(q3 + reach)}"
+        aggregates |= {
+            f"lo{i}": f"min(IF({inside}, {x}, NULL))", f"hi{i}": f"max(IF({inside}, {x}, NULL))",
+            f"n{i}": f"count_if(NOT ({inside}))",
+        }
+        rows.append(sql.struct(
+            column=sql.text(c), q25=sql.number(q1), q50=sql.number(q2), q75=sql.number(q3),
+            whisker_lo=f"lo{i}", whisker_hi=f"hi{i}", outliers=f"n{i}",
         ))
     return _unfold(df, aggregates, rows)

@@ -3,37 +3,37 @@
 ``percentile`` keeps a value-to-count map in one task, which is right only while the
 table is small.  Beyond ``DIRECT_ROWS`` rows each wanted order statistic is bracketed
 with a mergeable sketch, the bracket is verified with exact counts, and this repeats
-until the rows inside are few enough to list.  Every pass covers all columns at once.
+until the rows inside are few enough to list.  Every pass covers all columns at once,
+with one sketch per column while the brackets of its quantiles are still the same.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-DIRECT_ROWS = 2_000_000
+from torqueline.functions import sql
+
+DIRECT_ROWS = 200_000
 LISTED_ROWS = 20_000
 SKETCH_ACCURACY = 10_000
 
 
 def quantile_exprs(
     df: DataFrame, wanted: Mapping[str, Sequence[float]], direct_rows: int = DIRECT_ROWS
-) -> dict[tuple[str, float], Column]:
-    """Columns to use inside ``df.agg`` or as literals: one per (column, quantile).
+) -> dict[tuple[str, float], str]:
+    """SQL aggregates for a coming job, one per (column, quantile).
 
     For a table of at most ``direct_rows`` rows they are exact ``percentile``
-    aggregates of the coming job, otherwise literals computed here.
+    aggregates, otherwise constants computed here.
     """
     if df.count() <= direct_rows:
         return {
-            (c, q): F.percentile(F.col(c), F.lit(float(q))) for c, qs in wanted.items() for q in qs
+            (c, q): f"{_percentiles(c, qs)}[{i}]" for c, qs in wanted.items() for i, q in enumerate(qs)
         }
-    found = select_quantiles(df, wanted)
-    return {k: F.first(F.lit(v).cast("double")) for k, v in found.items()}
+    return {k: f"first({sql.number(v)})" for k, v in select_quantiles(df, wanted).items()}
 
 
 def exact_quantiles(
@@ -43,10 +43,7 @@ def exact_quantiles(
         return {}
     if df.count() > direct_rows:
         return select_quantiles(df, wanted)
-    row = df.agg(
-        *[F.percentile(F.col(c), F.array(*[F.lit(float(q)) for q in qs])).alias(f"q{i}")
-          for i, (c, qs) in enumerate(wanted.items())]
-    ).first()
+    row = df.selectExpr(*[f"{_percentiles(c, qs)} AS q{i}" for i, (c, qs) in enumerate(wanted.items())]).first()
     out = {}
     for i, (c, qs) in enumerate(wanted.items()):
         values = row[i] or [None] * len(qs)
@@ -58,17 +55,19 @@ def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     return {c: v for (c, _), v in exact_quantiles(df, {c: [0.5] for c in cols}).items()}
 
 
+def _percentiles(c: str, qs: Sequence[float]) -> str:
+    return f"percentile({sql.name(c)}, array({', '.join(sql.number(q) for q in qs)}))"
+
+
 def select_quantiles(
     df: DataFrame, wanted: Mapping[str, Sequence[float]], listed_rows: int = LISTED_ROWS,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[tuple[str, float], float | None]:
     """Quantiles by repeated bracketing; never holds more than ``listed_rows`` rows per rank."""
-    cols = list(wanted)
-    row = df.agg(*[
-        F.struct(F.count(c), F.min(F.col(c).cast("double")), F.max(F.col(c).cast("double"))).alias(f"s{i}")
-        for i, c in enumerate(cols)
+    row = df.selectExpr(*[
+        f"struct(count({x}), min({x}), max({x})) AS s{i}" for i, x in enumerate(map(_double, wanted))
     ]).first()
-    size = {c: row[i][0] for i, c in enumerate(cols)}
+    size = {c: row[i][0] for i, c in enumerate(wanted)}
     # one bracket [lo, hi] per (column, rank): rows below it, rows inside it
     brackets = {}
     for i, (c, qs) in enumerate(wanted.items()):
@@ -99,39 +98,48 @@ def select_quantiles(
     return out
 
 
-def _inside(c: str, lo: float, hi: float) -> Column:
-    return F.col(c).cast("double").between(F.lit(lo), F.lit(hi))
+def _double(c: str) -> str:
+    return f"CAST({sql.name(c)} AS DOUBLE)"
+
+
+def _inside(c: str, lo: float, hi: float) -> str:
+    return f"({_double(c)} BETWEEN {sql.number(lo)} AND {sql.number(hi)})"
 
 
 def _narrow(df: DataFrame, wide: dict, accuracy: int) -> dict:
     keys = list(wide)
-    sketches = []
+    shares: dict[tuple, list[float]] = {}
     for c, rank in keys:
         lo, hi, below, inside = wide[c, rank]
         share = (rank - below) / max(inside - 1, 1)
-        around = [min(max(share + d / accuracy, 0.0), 1.0) for d in (-2.0, 2.0)]
-        sketches.append(F.percentile_approx(
-            F.when(_inside(c, lo, hi), F.col(c).cast("double")), around, accuracy
-        ))
-    ends = df.agg(*[s.alias(f"p{i}") for i, s in enumerate(sketches)]).first()
-    counts = df.agg(*[
-        F.struct(
-            F.count_if(F.col(c).cast("double") < F.lit(ends[i][0])),
-            F.count_if(_inside(c, ends[i][0], ends[i][1])),
-            F.max(F.when(F.col(c).cast("double") < F.lit(ends[i][0]), F.col(c).cast("double"))),
-            F.min(F.when(F.col(c).cast("double") > F.lit(ends[i][1]), F.col(c).cast("double"))),
-        ).alias(f"n{i}")
-        for i, (c, _) in enumerate(keys)
+        shares.setdefault((c, lo, hi), []).extend(min(max(share + d / accuracy, 0.0), 1.0) for d in (-2.0, 2.0))
+    sketched = df.selectExpr(*[
+        f"percentile_approx({_double(c)}, array({', '.join(map(sql.number, at))}), {accuracy}) "
+        f"FILTER (WHERE {_inside(c, lo, hi)}) AS p{i}"
+        for i, ((c, lo, hi), at) in enumerate(shares.items())
+    ]).first()
+    found = {bracket: iter(sketched[i]) for i, bracket in enumerate(shares)}
+    ends = []
+    for c, rank in keys:
+        values = found[c, wide[c, rank][0], wide[c, rank][1]]
+        ends.append((next(values), next(values)))
+    # ranks next to each other mostly share their new bracket: count each one once
+    cells = list(dict.fromkeys((c, *ends[i]) for i, (c, _) in enumerate(keys)))
+    counted = df.selectExpr(*[
+        f"struct(count_if({x} < {sql.number(a)}), count_if({_inside(c, a, b)}), "
+        f"max(IF({x} < {sql.number(a)}, {x}, NULL)), min(IF({x} > {sql.number(b)}, {x}, NULL))) AS n{i}"
+        for i, (c, a, b) in enumerate(cells) for x in [_double(c)]
     ]).first()
+    counts = {cell: counted[i] for i, cell in enumerate(cells)}
     out = {}
     for i, (c, rank) in enumerate(keys):
         lo, hi, below, inside = wide[c, rank]
-        under, within, next_below, next_above = counts[i]
+        under, within, next_below, next_above = counts[c, *ends[i]]
         if rank < under:
             out[c, rank] = (lo, next_below, below, under - below)
         elif rank < under + within:
-            out[c, rank] = (ends[i][0], ends[i][1], under, within)
-            if within == inside and lo < hi and out[c, rank][:2] == (lo, hi):
+            out[c, rank] = (*ends[i], under, within)
+            if within == inside and lo < hi and ends[i] == (lo, hi):
                 # the sketch could not cut the bracket: halve the value range instead
                 out[c, rank] = _halved(df, c, rank, out[c, rank])
         else:
@@ -141,35 +149,34 @@ def _narrow(df: DataFrame, wide: dict, accuracy: int) -> dict:
 
 def _halved(df: DataFrame, c: str, rank: int, bracket: tuple) -> tuple:
     lo, hi, below, inside = bracket
-    x = F.col(c).cast("double")
-    middle = lo + (hi - lo) / 2
+    x, middle = _double(c), lo + (hi - lo) / 2
     left = _inside(c, lo, middle)
-    right = (x > F.lit(middle)) & (x <= F.lit(hi))
-    n, top, bottom = df.agg(
-        F.count_if(left), F.max(F.when(left, x)), F.min(F.when(right, x))
+    right = f"{x} > {sql.number(middle)} AND {x} <= {sql.number(hi)}"
+    n, top, bottom = df.selectExpr(
+        f"count_if({left})", f"max(IF({left}, {x}, NULL))", f"min(IF({right}, {x}, NULL))"
     ).first()
     return (lo, top, below, n) if rank < below + n else (bottom, hi, below + n, inside - n)
 
 
 def _listed(df: DataFrame, brackets: dict) -> dict:
+    """Order statistics read off the value counts inside each (by now narrow) bracket."""
     if not brackets:
         return {}
-    keys = list(brackets)
-    hits = [
-        F.when(_inside(c, brackets[c, r][0], brackets[c, r][1]),
-               F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")))
-        for i, (c, r) in enumerate(keys)
-    ]
-    any_hit = reduce(lambda a, b: a | b, [h.isNotNull() for h in hits])
+    cells = list(dict.fromkeys((c, b[0], b[1]) for (c, _), b in brackets.items()))
+    hits = ", ".join(
+        f"IF({_inside(*cell)}, struct({i} AS i, {_double(cell[0])} AS v), NULL)" for i, cell in enumerate(cells)
+    )
     rows = (
-        df.filter(any_hit)
-        .select(F.explode(F.array_compact(F.array(*hits))).alias("h"))
-        .groupBy("h.i", "h.v").count().collect()
+        df.filter(" OR ".join(_inside(*cell) for cell in cells))
+        .selectExpr(f"inline(array_compact(array({hits})))").groupBy("i", "v").count().collect()
     )
+    values: dict[int, list] = {}
+    for r in rows:
+        values.setdefault(r["i"], []).append((r["v"], r["count"]))
     out = {}
-    for i, key in enumerate(keys):
-        seen = brackets[key][2]
-        for v, n in sorted((r["v"], r["count"]) for r in rows if r["i"] == i):
+    for key, (lo, hi, below, _) in brackets.items():
+        seen = below
+        for v, n in sorted(values[cells.index((key[0], lo, hi))]):
             seen += n
             if key[1] < seen:
                 out[key] = v

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from torqueline.functions import sql
 from torqueline.functions.numeric import (
     clip, fill_value, scaled_between, standardised, stress_two_sided, stress_upper, weighted_index,
 )
@@ -23,7 +24,9 @@ def fill(df: DataFrame, cols: Sequence[str], how="median") -> DataFrame:
         return df
     if how not in ("median", "mean"):
         return df.withColumns({c: fill_value(c, how) for c in cols})
-    row = df.agg(*[F.struct(F.count_if(F.col(c).isNull()), F.avg(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    row = df.selectExpr(*[
+        f"struct(count_if({sql.name(c)} IS NULL), avg({sql.name(c)})) AS s{i}" for i, c in enumerate(cols)
+    ]).first()
     gappy = {c: row[i][1] for i, c in enumerate(cols) if row[i][0]}
     by = gappy if how == "mean" else medians(df, list(gappy))
     return df.withColumns({c: fill_value(c, v) for c, v in by.items() if v is not None})
@@ -35,11 +38,31 @@ def min_max(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     return df.withColumns({f"{c}{suffix}": scaled_between(c, lo, hi) for c, (_, lo, hi) in ends.items()})
 
 
+def median_fill_and_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """:func:`fill` with medians, then :func:`min_max`.
+
+    A median lies between the extremes, so the bounds can be taken before the fill and
+    share a job with the gap counts.
+    """
+    if not cols:
+        return df
+    row = df.selectExpr(*[
+        f"struct(count_if({x} IS NULL), min({x}), max({x})) AS s{i}" for i, x in enumerate(map(sql.name, cols))
+    ]).first()
+    stats = {c: tuple(row[i]) for i, c in enumerate(cols)}
+    by = medians(df, [c for c in cols if stats[c][0] and stats[c][1] is not None])
+    return df.withColumns({
+        c: scaled_between(fill_value(c, by[c]) if c in by else c, lo, hi) for c, (_, lo, hi) in stats.items()
+    })
+
+
 def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
     """(mean, population deviation) per column, one job."""
     if not cols:
         return {}
-    row = df.agg(*[F.struct(F.avg(c), F.stddev_pop(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    row = df.selectExpr(*[
+        f"struct(avg({x}), stddev_pop({x})) AS s{i}" for i, x in enumerate(map(sql.name, cols))
+    ]).first()
     return {c: tuple(row[i]) for i, c in enumerate(cols)}
 
 

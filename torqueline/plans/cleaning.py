@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from torqueline.functions.numeric import outside_to_null, row_mean, safe_ratio, sentinel_to_null
 from torqueline.functions.text import parse_timestamp
 from torqueline.operators.columns import (
-    drop_constant_columns, drop_identical_columns, drop_sparse_columns, has_columns, normalise_column_names,
+    drop_constant_and_identical, drop_sparse_columns, has_columns, normalise_column_names,
     numeric_columns,
 )
 from torqueline.operators.joins import union_logs
@@ -18,7 +18,7 @@ from torqueline.operators.profile import correlation
 from torqueline.operators.rows import (
     PHYSICAL_RANGES, distinct_rows, drop_rows_missing_over_ratio, range_filter, require_n_present,
 )
-from torqueline.operators.scaling import fill, min_max
+from torqueline.operators.scaling import fill, median_fill_and_scale
 from torqueline.operators.sequence import forward_fill, row_index
 from torqueline.operators.timeline import timeline
 from torqueline.schema import TREND_SIGNALS
@@ -47,8 +47,7 @@ def derive(df: DataFrame) -> DataFrame:
 def prune_session(df: DataFrame, ts: str = "timestamp", protect: Sequence[str] = ("timestamp", "driving_style"),
                   protect_all: bool = False) -> DataFrame:
     """Column and row pruning of a session, up to plausible engine speed; values unscaled."""
-    df = drop_constant_columns(df, protect)
-    df = drop_identical_columns(df)
+    df = drop_constant_and_identical(df, protect)
     df = without_sentinels(distinct_rows(df))
     # the deduplicated rows feed three statistics jobs and the result: shuffle them once
     df = settle(drop_rows_missing_over_ratio(df, 0.8, ts), "session")
@@ -66,8 +65,7 @@ def clean_session(df: DataFrame, ts: str = "timestamp", protect: Sequence[str] =
     Rows come unordered; sort them where they are presented.
     """
     df = prune_session(df, ts, protect, protect_all)
-    df = fill(df, numeric_columns(df), "median")
-    return derive(min_max(df, numeric_columns(df)))
+    return derive(median_fill_and_scale(df, numeric_columns(df)))
 
 
 def trend_table(df: DataFrame, ts: str = "timestamp", tie: Sequence[str] = ()) -> DataFrame:
@@ -84,14 +82,13 @@ def session_report(cleaned: DataFrame, ts: str = "timestamp", tie: Sequence[str]
 def clean_trials(trials: Sequence[DataFrame]) -> DataFrame:
     """Trial logs on their common columns; engine speed is filled before and after its range check."""
     df = union_logs(trials, "common")
-    df = drop_constant_columns(df)
-    df = drop_identical_columns(df)
+    df = drop_constant_and_identical(df)
     df = settle(without_sentinels(distinct_rows(df)), "trials")
     df = drop_sparse_columns(df, 0.8)
     df = fill(df, numeric_columns(df), "median")
     if "RPM" in df.columns:
-        df = fill(df.withColumn("RPM", outside_to_null("RPM", *RPM_RANGE)), ["RPM"], "median")
-    return derive(min_max(df, numeric_columns(df)))
+        df = df.withColumn("RPM", outside_to_null("RPM", *RPM_RANGE))
+    return derive(median_fill_and_scale(df, numeric_columns(df)))
 
 
 def clean_drive_files(df: DataFrame, time: str = "Time", partition_by: Sequence[str] = (), tie: Sequence[str] = (),

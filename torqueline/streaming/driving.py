@@ -32,29 +32,29 @@ def _state_before(spark, state_dir: str, number: int) -> DataFrame | None:
 
 
 def analyse_batch(rows: DataFrame, state: DataFrame | None, ts: str, keys: Sequence[str], tie: Sequence[str],
-                  limits: Thresholds, rows_per_slab: int = ROWS_PER_SLAB) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(analysed rows, rows that came too late, new state of the vehicles seen)."""
+                  limits: Thresholds, rows_per_slab: int = ROWS_PER_SLAB) -> tuple[DataFrame, DataFrame]:
+    """(analysed rows, rows that came too late)."""
     rows = numeric_signals(rows, ts)
     place = [ts, *tie]
+    unseeded = {"__seed": F.lit(False), "__known": F.lit(None).cast("boolean")}
     if state is None:
-        on_time, late = rows, rows.limit(0)
-        joined = on_time.withColumns({"__seed": F.lit(False), "__known": F.lit(None).cast("boolean")})
+        joined, late = rows.withColumns(unseeded), rows.limit(0)
     else:
-        state = keep_latest(state, keys, ["batch"])
         last = state.select(*keys, F.struct(*place).alias("__last"))
         marked = rows.join(last, list(keys), "left")
         behind = F.coalesce(F.struct(*place) <= F.col("__last"), F.lit(False))
-        on_time, late = marked.filter(~behind).drop("__last"), marked.filter(behind).drop("__last")
+        late = marked.filter(behind).drop("__last")
         seeds = state.join(rows.select(*keys).distinct(), list(keys), "left_semi").select(
             *keys, *place, *SIGNALS, F.lit(True).alias("__seed"), F.col("aggressive").alias("__known"))
-        joined = on_time.withColumns({"__seed": F.lit(False), "__known": F.lit(None).cast("boolean")}).unionByName(
-            seeds, allowMissingColumns=True)
+        joined = marked.filter(~behind).drop("__last").withColumns(unseeded).unionByName(seeds, allowMissingColumns=True)
     done = analyse_driving(joined, ts, keys, tie, limits, rows_per_slab, known_state="__known")
-    ends = done.withColumn("aggressive", F.col("driving_style_analyzed") == AGGRESSIVE)
-    new_state = keep_latest(
-        ends.select(*keys, *place, *SIGNALS, F.when(F.col("__seed"), F.col("__known")).otherwise(F.col("aggressive")).alias("aggressive")),
-        keys, place)
-    return done.filter(~F.col("__seed")).drop("__seed", "__known"), late, new_state
+    return done.filter(~F.col("__seed")).drop("__seed", "__known"), late
+
+
+def last_rows(done: DataFrame, ts: str, keys: Sequence[str], tie: Sequence[str]) -> DataFrame:
+    """What the next batch has to know of each vehicle."""
+    state = done.select(*keys, ts, *tie, *SIGNALS, (F.col("driving_style_analyzed") == AGGRESSIVE).alias("aggressive"))
+    return keep_latest(state, keys, [ts, *tie])
 
 
 def start_driving_stream(
@@ -67,12 +67,16 @@ def start_driving_stream(
         batch = batch.persist()
         try:
             known = _state_before(spark, state_dir, number)
-            done, late, state = analyse_batch(batch, known, ts, keys, tie, limits)
-            done.write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+            known = None if known is None else keep_latest(known, keys, ["batch"])
+            done, late = analyse_batch(batch, known, ts, keys, tie, limits)
+            out = f"{out_dir}/batch={number}"
+            done.write.mode("overwrite").parquet(out)
             late.write.mode("overwrite").parquet(f"{late_dir}/batch={number}")
-            if number % SNAPSHOT_EVERY == 0 and known is not None:
-                new = state.withColumn("batch", F.lit(number))
-                state = keep_latest(known.select(new.columns).unionByName(new), keys, ["batch"]).drop("batch")
+            # the state follows from the rows just written, without analysing them again
+            state = last_rows(spark.read.schema(done.schema).parquet(out), ts, keys, tie)
+            if known is not None and number % SNAPSHOT_EVERY == 0:
+                both = known.select(*state.columns, "batch").unionByName(state.withColumn("batch", F.lit(number)))
+                state = keep_latest(both, keys, ["batch"]).drop("batch")
             state.write.mode("overwrite").parquet(f"{state_dir}/batch={number}")
         finally:
             batch.unpersist()
