@@ -42,7 +42,7 @@ def m2(spark, sf):
 @query("m3_boosted_tree_classifier")
 def m3(spark, sf):
     train, test = split(spark, sf)
-    model = ml.boosted_tree_classifier(train.persist(), SENSORS, "need", rounds=5)
+    model = ml.boosted_tree_classifier(train, SENSORS, "need", rounds=5)
     return ml.evaluate_classifier(ml.predict(model, test), "need", "prediction")
 
 
@@ -191,7 +191,7 @@ def m17(spark, sf):
 @query("m18_boosted_tree_regressor")
 def m18(spark, sf):
     train, test = regression(spark, sf)
-    model = ml.boosted_tree_regressor(train.persist(), SENSORS, "target", rounds=5, step=0.3)
+    model = ml.boosted_tree_regressor(train, SENSORS, "target", rounds=5, step=0.3)
     return ml.regression_metrics(ml.predict(model, test), "target", "prediction")
 
 
@@ -206,7 +206,7 @@ def m19(spark, sf):
 @query("m20_tte_regressor")
 def m20(spark, sf):
     train, test = regression(spark, sf)
-    model = ml.tte_regressor(train.persist(), SENSORS, "target", rounds=5, step=0.3)
+    model = ml.tte_regressor(train, SENSORS, "target", rounds=5, step=0.3)
     return ml.regression_metrics(ml.predict(model, test), "target", "prediction")
 
 

@@ -16,14 +16,24 @@ BROADCAST_ENTRIES = 100_000
 MOST_NEW_COLUMNS = 5_000
 
 
-def category_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value, code): rank of each distinct present value within its column, from 0."""
+def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value): distinct present values of several columns, one job."""
     cells = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols
     ]))
-    values = df.select(cells.alias("x")).select("x.*").filter(F.col("value").isNotNull()).distinct()
+    return df.select(cells.alias("x")).select("x.*").filter(F.col("value").isNotNull()).distinct()
+
+
+def category_codes(df: DataFrame, cols: Sequence[str], broadcast_entries: int = BROADCAST_ENTRIES) -> tuple[DataFrame, bool]:
+    """(column, value, code) with the rank of each value from 0, and whether the table is small."""
+    values = distinct_values(df, cols)
+    first = values.limit(broadcast_entries + 1).collect()
+    if len(first) <= broadcast_entries:
+        ranks = {c: sorted(r["value"] for r in first if r["column"] == c) for c in cols}
+        rows = [(c, v, i) for c, vs in ranks.items() for i, v in enumerate(vs)]
+        return df.sparkSession.createDataFrame(rows, "column string, value string, code int"), True
     ranked = timeline(values, "value", ["column"]).scan(running={"code": F.lit(1)})
-    return ranked.frame.withColumn("code", (F.col("code") - 1).cast("int"))
+    return ranked.frame.withColumn("code", (F.col("code") - 1).cast("int")), False
 
 
 def label_encode(df: DataFrame, cols: Sequence[str], missing: int = -1, suffix: str = "",
@@ -31,12 +41,7 @@ def label_encode(df: DataFrame, cols: Sequence[str], missing: int = -1, suffix:
     """Replace text columns by the rank of their value in sorted order; missing gets ``missing``."""
     if not cols:
         return df
-    codes = category_codes(df, cols).persist()
-    small = codes.limit(broadcast_entries + 1).count() <= broadcast_entries
-    if small:
-        codes_now = df.sparkSession.createDataFrame(codes.collect(), codes.schema)
-        codes.unpersist()
-        codes = codes_now
+    codes, small = category_codes(df, cols, broadcast_entries)
     order = df.columns + ([f"{c}{suffix}" for c in cols] if suffix else [])
     for c in cols:
         one = codes.filter(F.col("column") == c).select(

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from torqueline.functions.numeric import clip, scaled_between
 from torqueline.operators.columns import column_extremes
 from torqueline.operators.quantiles import exact_quantiles
+from torqueline.operators.rows import sample_rows
 from torqueline.operators.scaling import standardise
 from torqueline.session import settle, spread
 
@@ -104,10 +105,10 @@ class IsolationForest:
         cols, seed = self.cols, self.seed
         values = [F.col(c).cast("double").alias(c) for c in cols]
         pool_size = self.trees * self.sample
-        pool = (
-            df.select(*values, F.xxhash64(F.lit(seed), *self.key).alias("__h"))
-            .orderBy("__h", *cols).limit(pool_size).persist()
-        )
+        keyed = df.select(*values, *[F.col(k).alias(f"__k{i}") for i, k in enumerate(self.key)])
+        names = [f"__k{i}" for i in range(len(self.key))]
+        pool = sample_rows(keyed, pool_size, names, seed).select(
+            *cols, F.xxhash64(F.lit(seed), *names).alias("__h")).persist()
         rows = pool.count()
         size = min(self.sample, rows)
         depth = math.ceil(math.log2(max(size, 2)))

@@ -75,13 +75,9 @@ def describe_text(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
         .groupBy(F.col("x.column").alias("column"), F.col("x.v").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    best = F.max("n").alias("freq")
-    per = freq.groupBy("column").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), best)
-    top = (
-        freq.join(per.select("column", "freq"), "column").filter(F.col("n") == F.col("freq"))
-        .groupBy("column").agg(F.min("v").alias("top"))
-    )
-    return per.join(top, "column").select("column", "count", "unique", "top", "freq")
+    return freq.groupBy("column").agg(
+        F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
+        F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("top"), F.max("n").alias("freq"))
 
 
 def describe_all(df: DataFrame) -> DataFrame:

@@ -57,8 +57,21 @@ def conditional_update(df: DataFrame, col: str, where: Column, value) -> DataFra
 
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows in hash order of ``key``: repeatable under any partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """Exactly ``n`` rows (all, if fewer) in hash order of ``key``: repeatable under any partitioning.
+
+    A top-n would gather ``n`` rows from every task.  Hash values are spread evenly, so
+    rows above a value that about ``2 n`` rows stay below are left out first; the bound
+    is raised if chance leaves too few.  ``key`` must be unique for an even sample.
+    """
+    draw = F.xxhash64(F.lit(seed), *key)
+    rows = df.count()
+    share = (2 * n + 100) / max(rows, 1)
+    while share < 1:
+        low = df.filter(draw < F.lit(int(-(2**63) + share * 2**64)))
+        if low.count() >= n:
+            return low.orderBy(draw, *key).limit(n)
+        share *= 2
+    return df.orderBy(draw, *key).limit(n)
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:

@@ -101,7 +101,6 @@ def train_maintenance_model(df: DataFrame, features: Sequence[str], key: Sequenc
                             rounds: int = 200) -> TrainedScores:
     """Two regressors on an explicit feature list, so that no score leaks into its own model."""
     train, test = train_test_split(df.select(*dict.fromkeys([*key, *features, target])), key)
-    train, test = train.persist(), test.persist()
     models = {
         "random_forest": random_forest_regressor(train, features, target, trees),
         "boosted_trees": boosted_tree_regressor(train, features, target, rounds),

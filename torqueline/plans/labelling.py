@@ -18,6 +18,7 @@ from torqueline.operators.scaling import min_max
 from torqueline.operators.sequence import delta, forward_fill, idle_runs, rolling_std, sessionize, time_gap
 from torqueline.operators.timeline import timeline
 from torqueline.schema import SIGNALS
+from torqueline.session import settle
 
 # Signals the driver features start from.
 DRIVER_SIGNALS = ["RPM", "THROTTLE_POS", "SPEED", "ENGINE_LOAD", "MAF", "INTAKE_PRESSURE"]
@@ -77,12 +78,12 @@ def cluster_styles(df: DataFrame, features: Sequence[str], ts: str = "timestamp"
                    seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Rows with cluster and two components, and the agreement of clusters with labels."""
     tl = forward_fill(timeline(df, ts, partition_by, tie), features)
-    rows = min_max(tl.frame.dropna(subset=list(features)), features).persist()
+    # clustering reads the rows many times: scan and sort them once
+    rows = settle(min_max(tl.frame.dropna(subset=list(features)), features), "features")
     clustered = kmeans_cluster(pca_project(rows, features, 2, scaled=False), features, k, seed)
     near = silhouette(clustered)
-    scores = (
-        adjusted_rand_index(clustered, label, "cluster").withColumn("one", F.lit(1))
-        .join(normalized_mutual_info(clustered, label, "cluster").withColumn("one", F.lit(1)), "one")
-        .select(F.lit(float(near)).alias("silhouette"), "ari", "nmi")
+    scores = adjusted_rand_index(clustered, label, "cluster").select(
+        F.lit(float(near)).alias("silhouette"), "ari",
+        normalized_mutual_info(clustered, label, "cluster").scalar().alias("nmi"),
     )
     return clustered.drop("__features"), scores

@@ -81,7 +81,6 @@ def classifier_comparison(df: DataFrame, features: Sequence[str], label: str, ke
                           rounds: int = 100) -> DataFrame:
     """Held-out accuracy, area under the curve and F1 of the three classifiers."""
     train, test = train_test_split(df.select(*dict.fromkeys([*key, *features, label])), key)
-    train = train.persist()
     models = train_classifiers(train, features, label, trees, rounds)
     return compare_models({name: predict(m, test) for name, m in models.items()}, label)
 

@@ -77,6 +77,6 @@ def spread(df: DataFrame, most_rows: int = 5_000_000) -> DataFrame:
     A small table often arrives as one partition.  Larger ones are split by the scan
     already and are left alone.
     """
-    if df.limit(most_rows + 1).count() > most_rows:
+    if df.count() > most_rows:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
