@@ -96,7 +96,7 @@ def t5(spark, sf):
 
 
 SESSION_SQL = """
-WITH g AS (SELECT *, ts - lag(ts) OVER w >= INTERVAL 6 HOUR AS jump FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+WITH g AS (SELECT *, ts - lag(ts) OVER w > INTERVAL 6 HOUR AS jump FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(CASE WHEN jump THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS rows, min(ts) AS first_row, max(ts) AS last_row
 FROM s GROUP BY user_id, n"""

@@ -94,6 +94,6 @@ def test_one_batch_after_another(spark, drives, size):
 
 
 def test_session_window_boundary(spark):
-    df = spark.createDataFrame([(1, at(0)), (1, at(3599)), (1, at(7199))], "v int, ts timestamp")
+    df = spark.createDataFrame([(1, at(0)), (1, at(3600)), (1, at(7201))], "v int, ts timestamp")
     out = sessions.session_window_stream(df, "ts", ["v"], 3600).orderBy("start").collect()
-    assert [r["rows"] for r in out] == [2, 1]  # a gap of exactly an hour closes the window
+    assert [r["rows"] for r in out] == [2, 1]  # a gap of exactly an hour stays in the session

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 def session_window_stream(rows: DataFrame, ts: str, keys: Sequence[str], gap_s: int = 3600, late: str = "1 hour") -> DataFrame:
     """Start, end and row count per session of a series.
 
-    A session closes at a gap of ``gap_s`` seconds or more; the batch operator needs a
-    gap of more than that.  Partial sessions are merged before the shuffle.
+    As in the batch operator a session closes at a gap of more than ``gap_s`` seconds:
+    windows that only touch are merged.  Partial sessions are merged before the shuffle.
     """
     rows = rows.withColumn(ts, F.col(ts).cast("timestamp"))
     if rows.isStreaming:
