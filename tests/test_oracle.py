@@ -38,6 +38,12 @@ def test_no_python_on_the_row_path(spark, name):
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("name", ["n3_rate_of_change", "n6_rolling_std", "n9_idle_runs", "n11_driving_style_latch"])
+def test_one_shuffle_and_one_sort_per_series_job(spark, name):
+    plan = plan_of(REGISTRY[name][0](spark, SF))
+    assert plan.count("Exchange") == 1 and plan.count(" Sort ") == 1
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     import bindings.base as base
     from torqueline.operators.rows import range_filter

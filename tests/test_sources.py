@@ -25,6 +25,16 @@ def test_header_groups(spark, logs):
     assert sorted((len(g.columns), len(g.paths)) for g in groups) == [(4, 1), (5, 2)]
 
 
+def test_headers_from_both_readers(spark, logs, tmp_path):
+    def lines(df):
+        return {r["path"].rsplit("/", 1)[-1]: r["header"] for r in df.collect()}
+
+    assert lines(csv_logs.header_signature(spark, logs)) == lines(csv_logs.header_scan(spark, logs))
+    wide = "timestamp," + ",".join(f"SENSOR_{i}" for i in range(3000))
+    (tmp_path / "wide.csv").write_bytes(wide.encode() + b"\r\n1,2\r\n")
+    assert lines(csv_logs.header_signature(spark, str(tmp_path))) == {"wide.csv": wide}
+
+
 def test_columns_line_up_by_name(spark, logs):
     df = csv_logs.read_logs(spark, logs, exclude=["merged*"])
     assert dict(df.dtypes)["RPM"] == "double" and dict(df.dtypes)["O2_SENSORS"] == "string"

@@ -66,7 +66,8 @@ def driver_features(df: DataFrame, ts: str = "timestamp", partition_by: Sequence
     })
     tl = rolling_std(tl, "SPEED", "speed_rolling_std", 3)
     tl = delta(tl, "THROTTLE_POS", "delta_throttle")
-    out = tl.frame.withColumn("engine_activity", row_mean("ENGINE_LOAD", "MAF"))
+    # bounds and label codes are read off the sorted rows: scan and sort them once
+    out = settle(tl.frame, "features").withColumn("engine_activity", row_mean("ENGINE_LOAD", "MAF"))
     out = min_max(out, ["SPEED", "RPM"], suffix="__01")
     out = out.withColumn("speed_rpm_index", row_mean("SPEED__01", "RPM__01"))
     out = out.drop("ENGINE_LOAD", "MAF", "SPEED", "RPM", "SPEED__01", "RPM__01")

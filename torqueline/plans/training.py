@@ -20,6 +20,7 @@ from torqueline.operators.ml import (
 )
 from torqueline.operators.profile import chi2_scores, point_biserial
 from torqueline.operators.scaling import fill, moments, standardise
+from torqueline.session import settle
 
 # Ranks of the categories of the vehicle-maintenance table.
 CATEGORY_RANKS = {
@@ -88,7 +89,8 @@ def classifier_comparison(df: DataFrame, features: Sequence[str], label: str, ke
 def truck_table(readouts: DataFrame, specifications: DataFrame, tte: DataFrame, key: str = "vehicle_id",
                 most_missing: int = 5000) -> DataFrame:
     """Three files joined, sparse columns dropped, gaps filled with means, text encoded."""
-    df = inner_equi_join(inner_equi_join(readouts, specifications, key), tte, key)
+    # three statistics jobs follow: join once
+    df = settle(inner_equi_join(inner_equi_join(readouts, specifications, key), tte, key), "truck")
     df = drop_columns_null_count(df, most_missing)
     df = fill(df, numeric_columns(df), "mean")
     return label_encode(df, text_columns(df))

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import csv
 import fnmatch
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,8 +53,41 @@ def _split_header(line: str) -> tuple[str, ...]:
     return tuple(names)
 
 
+def _first_line(uri: str) -> str:
+    from pyarrow import fs
+
+    uri = re.sub("^file:/+", "file:///", re.sub("^s3a:", "s3:", uri))
+    source, path = fs.FileSystem.from_uri(uri)
+    with source.open_input_stream(path) as stream:
+        head = b""
+        while b"\n" not in head and (block := stream.read(8192)):
+            head += block
+    return head.split(b"\n")[0].decode("utf-8").rstrip("\r")
+
+
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for files in batches:
+        yield pd.DataFrame({"path": files["path"], "header": [_first_line(p) for p in files["path"]]})
+
+
 def header_signature(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.csv") -> DataFrame:
-    """First line of each file."""
+    """First line of each file: tasks open their files and read up to the first line end.
+
+    Where Arrow cannot open the first file, :func:`header_scan` does it with the text
+    source, at the price of reading the files.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).filter("length > 0").select("path")
+    one = files.first()
+    try:
+        if one:
+            _first_line(one["path"])
+    except (OSError, ValueError, NotImplementedError):
+        return header_scan(spark, path, pattern)
+    return files.mapInPandas(_first_lines, "path string, header string")
+
+
+def header_scan(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.csv") -> DataFrame:
+    """First line of each file from a scan of their text."""
     lines = spark.read.option("pathGlobFilter", pattern).text(path).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("at"),
