@@ -52,28 +52,30 @@ def label_encode(df: DataFrame, cols: Sequence[str], missing: int = -1, suffix:
     return df.select(*order)
 
 
-def _distinct_list(df: DataFrame, value: Column, what: str) -> list:
-    rows = df.select(value.alias("v")).filter(F.col("v").isNotNull()).distinct().limit(MOST_NEW_COLUMNS + 1).collect()
+def _at_most(values: DataFrame, what: str) -> list:
+    rows = values.limit(MOST_NEW_COLUMNS + 1).collect()
     if len(rows) > MOST_NEW_COLUMNS:
         raise ValueError(f"more than {MOST_NEW_COLUMNS} distinct {what}: too many to become columns")
-    return sorted(r["v"] for r in rows)
+    return rows
 
 
 def one_hot_drop_first(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """0/1 column per category except the smallest; a missing value is 0 in all of them."""
+    found = _at_most(distinct_values(df, cols), f"values of {', '.join(cols)}")
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    new = {}
     for c in cols:
-        new = {
-            f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0))
-            for v in _distinct_list(df, F.col(c), f"values of {c}")[1:]
-        }
-        df = df.withColumns(new).drop(c)
-    return df
+        values = sorted((r["value"] for r in found if r["column"] == c), key=float if c in numeric else None)
+        text = F.col(c).cast("string")
+        new |= {f"{c}_{v}": F.coalesce((text == F.lit(v)).cast("int"), F.lit(0)) for v in values[1:]}
+    return df.withColumns(new).drop(*cols)
 
 
 def map_to_columns(df: DataFrame, col: str = "data", keys: Sequence[str] | None = None, numeric: bool = True) -> DataFrame:
     """One column per map key; rows without the key get NULL.  Numbers unless told otherwise."""
     if keys is None:
-        keys = _distinct_list(df, F.explode(F.map_keys(col)), f"keys of {col}")
+        names = df.select(F.explode(F.map_keys(col)).alias("k")).distinct()
+        keys = sorted(r["k"] for r in _at_most(names, f"keys of {col}"))
     new = {}
     for k in keys:
         raw = F.try_element_at(F.col(col), F.lit(k))

@@ -14,6 +14,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # partial session windows are merged before the shuffle, so a hot series sends sessions, not rows
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 # cost of every Column call is mostly the call-site record kept for error messages

@@ -41,7 +41,8 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 def store_exists(spark: SparkSession, path: str) -> bool:
     try:
-        spark.read.parquet(path)
+        # a given schema keeps Spark from reading a footer
+        spark.read.schema(RAW_STORE).parquet(path)
     except AnalysisException:
         return False
     return True
