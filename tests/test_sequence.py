@@ -111,3 +111,18 @@ def test_run_ids_start_after_false(spark):
     df = spark.createDataFrame([(at(i), f) for i, f in enumerate([False, True, True, None, True])], "ts timestamp, f boolean")
     out = seq.run_ids(timeline(df, "ts"), F.col("f")).frame.orderBy("ts").collect()
     assert [r["run_id"] for r in out] == [0, 1, 1, 2, 3]
+
+
+def test_fused_scan_equals_single_operators(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 2]), at(i // 2), i, *[rng.choice([None, rng.uniform(0, 100)]) for _ in range(3)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "v int, ts timestamp, n int, SPEED double, RPM double, THROTTLE_POS double")
+    signals = ["SPEED", "RPM", "THROTTLE_POS"]
+    tl = seq.forward_fill(seq.time_gap(timeline(df, "ts", ["v"], ["n"]), "delta_time_s", first=0), signals)
+    tl = tl.with_columns({c: F.coalesce(c, F.lit(0.0)) for c in signals})
+    tl = tl.with_columns({"SPEED_mps": F.col("SPEED") * (1 / 3.6)})
+    tl = seq.rates_of_change(
+        tl, {"acceleration_mps2": "SPEED_mps", "RPM_roc": "RPM", "THROTTLE_roc": "THROTTLE_POS"}, "delta_time_s")
+    want = tl.frame
+    got = seq.fill_and_rate(timeline(df, "ts", ["v"], ["n"], 30)).frame.select(want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

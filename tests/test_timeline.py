@@ -28,7 +28,7 @@ def chain(df, keys, rows_per_slab):
     split = tl.split
     tl = tl.scan(
         previous={"prev": F.col("x")}, following={"next": F.col("x")}, latest={"last": F.col("x")},
-        upcoming={"soon": F.col("x")}, running={"total": F.lit(1).cast("long")})
+        upcoming={"soon": F.col("x")}, running={"total": F.lit(1).cast("long")}, latest_before={"held": F.col("x")})
     tl = seq.rolling_std(tl, "x", "sd")
     tl = seq.run_spans(tl, F.col("x") == 0)
     return split, {r["n"]: r for r in tl.frame.collect()}

@@ -177,15 +177,31 @@ def status_change(tl: Timeline, status: str) -> DataFrame:
     ).drop("__was").frame
 
 
-def driving_rates(tl: Timeline) -> Timeline:
-    """Speed in m/s and the rates the driving-style rule needs."""
-    tl = tl.with_columns({"SPEED_mps": kph_to_mps("SPEED")})
-    tl = rates_of_change(
-        tl,
-        {"acceleration_mps2": "SPEED_mps", "RPM_roc": "RPM", "THROTTLE_roc": "THROTTLE_POS"},
-        "delta_time_s",
+def fill_and_rate(tl: Timeline) -> Timeline:
+    """Gap, filled signals and the rates the driving-style rule needs, in one scan.
+
+    Same as :func:`time_gap`, :func:`forward_fill`, zeros for what is still missing, and
+    :func:`rates_of_change`: the filled value of the row before is the latest present
+    one before this row.
+    """
+    ts, signals = F.col(tl.order[0]), ["SPEED", "RPM", "THROTTLE_POS"]
+    tl = tl.scan(
+        previous={"__ts": ts},
+        latest={f"__now_{c}": F.col(c) for c in signals},
+        latest_before={f"__was_{c}": F.col(c) for c in signals},
     )
-    return tl.with_columns({"acceleration_g": mps2_to_g("acceleration_mps2")})
+    tl = tl.with_columns({"delta_time_s": F.coalesce(seconds_between(ts, "__ts"), F.lit(0.0))})
+    tl = tl.with_columns({c: F.coalesce(F.col(f"__now_{c}"), F.lit(0.0)) for c in signals})
+    was = {c: F.coalesce(F.col(f"__was_{c}"), F.lit(0.0)) for c in signals}
+    gap = F.col("delta_time_s")
+    tl = tl.with_columns({"SPEED_mps": kph_to_mps("SPEED")})
+    tl = tl.with_columns({
+        "acceleration_mps2": rate(F.col("SPEED_mps"), kph_to_mps(was["SPEED"]), gap),
+        "RPM_roc": rate(F.col("RPM"), was["RPM"], gap),
+        "THROTTLE_roc": rate(F.col("THROTTLE_POS"), was["THROTTLE_POS"], gap),
+    })
+    tl = tl.with_columns({"acceleration_g": mps2_to_g("acceleration_mps2")})
+    return tl.drop("__ts", *[f"__{m}_{c}" for m in ("now", "was") for c in signals])
 
 
 def driving_style(tl: Timeline, limits: Thresholds = Thresholds(), out: str = "driving_style_analyzed",

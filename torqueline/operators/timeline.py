@@ -64,17 +64,22 @@ class Timeline:
         latest: Mapping[str, Column] = {},
         upcoming: Mapping[str, Column] = {},
         running: Mapping[str, Column] = {},
+        latest_before: Mapping[str, Column] = {},
     ) -> "Timeline":
         """Add columns that look along the series.
 
         previous / following: value of the row before / after;
         latest / upcoming: nearest present value at or before / at or after the row;
+        latest_before: nearest present value before the row;
         running: sum up to and including the row.
+
+        On cut series every scan costs a job, so put into one what does not build on
+        each other.
         """
-        return self._scan_split(previous, following, latest, upcoming, running) if self.split else \
-            self._scan_whole(previous, following, latest, upcoming, running)
+        scan = self._scan_split if self.split else self._scan_whole
+        return scan(previous, following, latest, upcoming, running, latest_before)
 
-    def _scan_whole(self, previous, following, latest, upcoming, running) -> "Timeline":
+    def _scan_whole(self, previous, following, latest, upcoming, running, latest_before) -> "Timeline":
         w = self._window()
         before = w.rowsBetween(Window.unboundedPreceding, 0)
         after = w.rowsBetween(0, Window.unboundedFollowing)
@@ -82,10 +87,12 @@ class Timeline:
         out |= {n: F.lead(c).over(w) for n, c in following.items()}
         out |= {n: F.last(c, ignorenulls=True).over(before) for n, c in latest.items()}
         out |= {n: F.first(c, ignorenulls=True).over(after) for n, c in upcoming.items()}
+        out |= {n: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+                for n, c in latest_before.items()}
         out |= {n: F.sum(c).over(before) for n, c in running.items()}
         return self.with_columns(out)
 
-    def _scan_split(self, previous, following, latest, upcoming, running) -> "Timeline":
+    def _scan_split(self, previous, following, latest, upcoming, running, latest_before) -> "Timeline":
         place = F.struct(*self.order)
 
         def at_present(c: Column) -> Column:
@@ -94,7 +101,7 @@ class Timeline:
         edges = (
             [F.max_by(F.struct(c.alias("v")), place).alias(n) for n, c in previous.items()]
             + [F.min_by(F.struct(c.alias("v")), place).alias(n) for n, c in following.items()]
-            + [F.max_by(c, at_present(c)).alias(n) for n, c in latest.items()]
+            + [F.max_by(c, at_present(c)).alias(n) for n, c in {**latest, **latest_before}.items()]
             + [F.min_by(c, at_present(c)).alias(n) for n, c in upcoming.items()]
             + [F.sum(c).alias(n) for n, c in running.items()]
         )
@@ -107,7 +114,7 @@ class Timeline:
         inherited = (
             [F.lag(n).over(w).alias(f"__{n}") for n in previous]
             + [F.lead(n).over(w).alias(f"__{n}") for n in following]
-            + [F.last(n, ignorenulls=True).over(earlier).alias(f"__{n}") for n in latest]
+            + [F.last(n, ignorenulls=True).over(earlier).alias(f"__{n}") for n in [*latest, *latest_before]]
             + [F.first(n, ignorenulls=True).over(later).alias(f"__{n}") for n in upcoming]
             + [F.sum(n).over(earlier).alias(f"__{n}") for n in running]
         )
@@ -128,10 +135,12 @@ class Timeline:
         out |= {n: F.coalesce(F.lead(held(c)).over(w), F.col(f"__{n}"))["v"] for n, c in following.items()}
         out |= {n: F.coalesce(F.last(c, ignorenulls=True).over(before), F.col(f"__{n}")) for n, c in latest.items()}
         out |= {n: F.coalesce(F.first(c, ignorenulls=True).over(after), F.col(f"__{n}")) for n, c in upcoming.items()}
+        past = w.rowsBetween(Window.unboundedPreceding, -1)
+        out |= {n: F.coalesce(F.last(c, ignorenulls=True).over(past), F.col(f"__{n}")) for n, c in latest_before.items()}
         for n, c in running.items():
             here = F.sum(c).over(before)
             out[n] = F.coalesce(here + F.col(f"__{n}"), here, F.col(f"__{n}"))
-        helpers = [f"__{n}" for m in (previous, following, latest, upcoming, running) for n in m]
+        helpers = [f"__{n}" for m in (previous, following, latest, upcoming, running, latest_before) for n in m]
         return self.with_frame(joined.withColumns(out).drop(*helpers, *[f"__c{i}" for i in range(len(cells))]))
 
 

@@ -11,7 +11,7 @@ from torqueline.functions.numeric import to_number
 from torqueline.functions.text import parse_timestamp
 from torqueline.operators.columns import ensure_columns
 from torqueline.operators.profile import value_counts_pct
-from torqueline.operators.sequence import Thresholds, driving_rates, driving_style, forward_fill, time_gap
+from torqueline.operators.sequence import Thresholds, driving_style, fill_and_rate
 from torqueline.operators.timeline import ROWS_PER_SLAB, timeline
 
 SIGNALS = ["SPEED", "RPM", "THROTTLE_POS"]
@@ -30,10 +30,7 @@ def analyse_driving(df: DataFrame, ts: str = "timestamp", partition_by: Sequence
                     known_state: str | None = None) -> DataFrame:
     """Gaps, filled signals, rates and the stateful driving style of every row."""
     tl = timeline(numeric_signals(df, ts), ts, partition_by, tie, rows_per_slab)
-    tl = time_gap(tl, "delta_time_s", first=0)
-    tl = forward_fill(tl, SIGNALS)
-    tl = tl.with_columns({c: F.coalesce(c, F.lit(0.0)) for c in SIGNALS})
-    return driving_style(driving_rates(tl), limits, known_state=known_state).frame
+    return driving_style(fill_and_rate(tl), limits, known_state=known_state).frame
 
 
 def style_summary(analysed: DataFrame, style: str = "driving_style_analyzed") -> DataFrame:
