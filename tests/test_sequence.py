@@ -126,3 +126,18 @@ def test_fused_scan_equals_single_operators(spark):
     want = tl.frame
     got = seq.fill_and_rate(timeline(df, "ts", ["v"], ["n"], 30)).frame.select(want.columns)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("size", [2_000_000, 20])
+def test_fused_sessions_equal_single_operators(spark, size):
+    rng = random.Random(13)
+    t, rows = 0, []
+    for i in range(300):
+        t += rng.choice([5, 30, 30, 4000])
+        rows.append((rng.choice([1, 2]), at(t), i, rng.choice([None, 0.0, 0.0, 0.0, 9.0]), rng.choice([None, "Passive"])))
+    df = spark.createDataFrame(rows, "v int, ts timestamp, n int, SPEED double, driving_style string")
+    tl = seq.sessionize(seq.time_gap(timeline(df, "ts", ["v"], ["n"])), 3600, gap="time_diff")
+    want = seq.idle_runs(tl).frame
+    got = seq.sessions_and_idle(timeline(df, "ts", ["v"], ["n"], size)).frame.select(want.columns)
+    assert want.filter("driving_style = 'idle'").count() > 0
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

@@ -142,6 +142,25 @@ def idle_runs(tl: Timeline, col: str = "SPEED", min_s: float = 60, label: str =
     return tl.with_columns({label: F.when(idle, F.lit(value)).otherwise(before)}).drop("__from", "__to")
 
 
+def sessions_and_idle(tl: Timeline, session_gap_s: float = 3600, idle_s: float = 60, col: str = "SPEED",
+                      label: str = "driving_style", value: str = "idle") -> Timeline:
+    """:func:`time_gap`, :func:`sessionize` and :func:`idle_runs` in two scans."""
+    ts = F.col(tl.order[0])
+    tl = tl.with_columns({"__zero": F.coalesce(F.col(col) == 0, F.lit(False))})
+    zero = F.col("__zero")
+    tl = tl.scan(previous={"__ts": ts, "__was": zero}, following={"__next": zero})
+    tl = tl.with_columns({"time_diff": seconds_between(ts, "__ts")})
+    tl = tl.scan(
+        latest={"__from": F.when(F.col("__was").isNull() | (F.col("__was") != zero), ts)},
+        upcoming={"__to": F.when(F.col("__next").isNull() | (F.col("__next") != zero), ts)},
+        running={"new_session": F.coalesce((F.col("time_diff") > F.lit(session_gap_s)).cast("long"), F.lit(0))},
+    )
+    idle = zero & (seconds_between("__to", "__from") >= F.lit(idle_s))
+    before = F.col(label) if label in tl.df.columns else F.lit(None).cast("string")
+    tl = tl.with_columns({label: F.when(idle, F.lit(value)).otherwise(before)})
+    return tl.drop("__zero", "__ts", "__was", "__next", "__from", "__to")
+
+
 def run_summary(df: DataFrame, keys: Sequence[str], ts: str, flag: str) -> DataFrame:
     """Per run: flag of the first row, first and last timestamp, duration in seconds."""
     out = df.groupBy(*keys).agg(

@@ -15,7 +15,7 @@ from torqueline.operators.ml import (
 )
 from torqueline.operators.rows import dedup_by_key_first, require_any_present
 from torqueline.operators.scaling import min_max
-from torqueline.operators.sequence import delta, forward_fill, idle_runs, rolling_std, sessionize, time_gap
+from torqueline.operators.sequence import delta, forward_fill, rolling_std, sessions_and_idle
 from torqueline.operators.timeline import timeline
 from torqueline.schema import SIGNALS
 from torqueline.session import settle
@@ -45,8 +45,7 @@ def label_sessions(df: DataFrame, ts: str = "timestamp", partition_by: Sequence[
         rows = rows.drop(label).join(named.select(*keys, label), keys, "left")
     rows = require_any_present(rows, signals)
     tl = timeline(rows, ts, partition_by, [c for c in tie if c != ts])
-    tl = sessionize(time_gap(tl, "time_diff"), session_gap_s, "new_session", gap="time_diff")
-    return idle_runs(tl, "SPEED", idle_s, label).frame
+    return sessions_and_idle(tl, session_gap_s, idle_s, "SPEED", label).frame
 
 
 def labelled_only(df: DataFrame, label: str = "driving_style") -> DataFrame:
