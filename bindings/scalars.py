@@ -235,10 +235,10 @@ WITH {EVENTS}, t AS (SELECT event_id, user_id, date_trunc('day', ts) AS day, ts,
 g AS (SELECT event_id, value - lag(value) OVER w AS d,
              (epoch_us(day) - epoch_us(lag(day) OVER w)) / 1e6::DOUBLE AS gap
       FROM t WINDOW w AS (PARTITION BY user_id ORDER BY day, event_id))
-SELECT event_id, round(coalesce(d / nullif(gap, 0), 0), 9) AS rate FROM g""")
+SELECT event_id, round(86400 * coalesce(d / nullif(gap, 0), 0), 6) AS per_day FROM g""")
 def f27(spark, sf):
     """Days as times: many gaps are 0, so many plain quotients would be infinite."""
     e = events(spark, sf).withColumn("day", F.date_trunc("day", "ts"))
     tl = sequence.time_gap(timeline(e, "day", ["user_id"], ["event_id"]), "gap")
     out = sequence.rates_of_change(tl, {"rate": "value"}, "gap").frame
-    return rounded(out.select("event_id", "rate"), 9)
+    return rounded(out.select("event_id", (86400 * F.col("rate")).alias("per_day")))
