@@ -69,7 +69,7 @@ def t3(spark, sf):
     return out.groupBy(name.alias("session")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("t4_pipeline_status", """
+@query("t4_session_status", """
 SELECT DISTINCT '2024-01-01T' || event_type AS session, CASE WHEN event_type = 'error' THEN 'started' ELSE 'done' END AS status
 FROM events WHERE event_type <> 'view'""")
 def t4(spark, sf):
