@@ -5,11 +5,90 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torqueline.llm import mixing, quality
+from torqueline.llm import decontaminate, licenses, mixing, quality
 from torqueline.llm.base import REGISTRY, query, table
 
 __all__ = ["REGISTRY"]
 
+WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+CONTAMINATION_SQL = f"""
+WITH i AS (SELECT item_id::VARCHAR AS item, {WORDS_SQL} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item, unnest([array_to_string(w[x + 1:x + least(len(w), 10)], ' ')
+                                FOR x IN range(len(w) - least(len(w), 10) + 1)]) AS win, least(len(w), 10) AS size
+  FROM i WHERE len(w) > 0),
+d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM iw),
+dw AS (
+  SELECT doc_id, size, unnest(range(len(w) - size + 1)) AS p0,
+         unnest([array_to_string(w[x + 1:x + size], ' ') FOR x IN range(len(w) - size + 1)]) AS win
+  FROM d, sizes WHERE len(w) >= size),
+hit AS (SELECT doc_id, dw.size, p0, item FROM dw JOIN iw ON dw.win = iw.win AND dw.size = iw.size),
+n AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(p0, p0 + size)) AS p FROM hit) GROUP BY doc_id),
+k AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
+@query("op1_decontamination", CONTAMINATION_SQL)
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_TEMPLATES = ",\n         ".join(
+    f"({t}, '{label}', {base}, {length}, {grams}, {place}, '{' '.join(gram)}')"
+    for t, label, base, length, grams, place, gram in licenses.template_rows(licenses.BASE, licenses.NOTICES, 2))
+
+LICENSES_SQL = f"""
+WITH t(template, label, base, length, grams, place, gram) AS (VALUES {_TEMPLATES}),
+d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+g AS (
+  SELECT doc_id, unnest(range(len(w) - 1)) AS p0, unnest([w[x + 1] || ' ' || w[x + 2] FOR x IN range(len(w) - 1)]) AS gram
+  FROM d WHERE len(w) > 1),
+v AS (
+  SELECT doc_id, template, label, base, length, grams, p0 - place AS diagonal, list(place) AS places
+  FROM g JOIN t USING (gram) GROUP BY ALL),
+b AS (
+  SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > CASE WHEN base THEN 0 ELSE 2 END AS apart
+  FROM v),
+c AS (
+  SELECT *, sum(CASE WHEN coalesce(apart, true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band
+  FROM b),
+m AS (
+  SELECT doc_id, template, band, any_value(label) AS label, any_value(base) AS base, min(diagonal) AS diagonal,
+         max(len(places) / grams::DOUBLE) AS single,
+         len(list_distinct(flatten(list(places)))) / max(grams)::DOUBLE AS everything,
+         (max(diagonal + list_max(places)) + 2 - min(diagonal + list_min(places))) / max(length)::DOUBLE AS stretch
+  FROM c GROUP BY doc_id, template, band),
+o AS (
+  SELECT *, CASE WHEN stretch <= 1.25 THEN greatest(single, everything) ELSE single END AS share FROM m
+  WHERE CASE WHEN base THEN single = 1 ELSE single >= 0.8 OR (everything >= 0.8 AND stretch <= 1.25) END),
+r AS (
+  SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(diagonal) FILTER (WHERE base) AS first_word,
+         max(diagonal) FILTER (WHERE base) AS last_word,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base)), ',') AS base_labels,
+         array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score
+  FROM o GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+
+@query("op3_license_scan", LICENSES_SQL)
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUALITY_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
