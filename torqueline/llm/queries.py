@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torqueline.llm import decontaminate, licenses, mixing, quality
+from torqueline.llm import decontaminate, licenses, mixing, quality, simhash
 from torqueline.llm.base import REGISTRY, query, table
 
 __all__ = ["REGISTRY"]
@@ -160,3 +160,8 @@ FROM r
 @query("op6_mixing", MIXING_SQL)
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
