@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torqueline.llm import decontaminate, licenses, mixing, quality, simhash
+from torqueline.llm import decontaminate, licenses, mixing, quality, secrets, simhash
 from torqueline.llm.base import REGISTRY, query, table
 
 __all__ = ["REGISTRY"]
 
+
+def spelled(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def base_columns(spans: Column, kinds: list[str]) -> list[Column]:
+    """Counts of the base kinds, the hash of their spans, and all spans."""
+    of = lambda *names: F.filter(spans, lambda s: s["kind"].isin(*names))
+    return [F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds] + [
+        F.sha2(spelled(of(*kinds)), 256).alias("base_sha256"), spelled(spans).alias("spans")]
+
+
 WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -165,3 +178,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash_near_dedup")
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *base_columns(F.col("spans"), [r.kind for r in secrets.BASE]))
