@@ -66,7 +66,7 @@ def targets(
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[int, ...] = (3, 1, 2), ratio: tuple[int, int] = (3, 2), most_epochs: int = 2,
-    rows_per_range: int = 50_000, salt: str = "mix:",
+    rows_per_range: int = 2_000, salt: str = "mix:",
 ) -> DataFrame:
     """One row per document: key, size, source, source_size, target, epochs, taken."""
     t = F.coalesce(F.col(text), F.lit(""))

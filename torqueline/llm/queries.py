@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torqueline.llm import decontaminate, licenses, mixing, quality, secrets, simhash
+from torqueline.llm import decontaminate, licenses, mixing, pii, quality, secrets, simhash
 from torqueline.llm.base import REGISTRY, query, table
 
 __all__ = ["REGISTRY"]
@@ -184,3 +184,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *base_columns(F.col("spans"), [r.kind for r in secrets.BASE]))
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *base_columns(F.col("spans"), list(pii.KINDS)))
