@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torqueline.llm import decontaminate, licenses, mixing, pii, quality, secrets, simhash
+from torqueline.llm import decontaminate, licenses, mixing, pii, quality, secrets, simhash, toxicity
 from torqueline.llm.base import REGISTRY, query, table
 
 __all__ = ["REGISTRY"]
@@ -190,3 +190,9 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *base_columns(F.col("spans"), list(pii.KINDS)))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
