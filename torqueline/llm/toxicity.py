@@ -1,8 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Every word is a vector of word and character inputs: how much the word, and the character runs it is made of,
+Every word is a vector of word and character inputs: how much the word, and the runs of bytes it is made of,
 set toxic training documents apart (log-odds in standard deviations, after an informative prior), and
-random signs of the character runs.  Two gated recurrent layers read a window of words in both directions, an
+random signs of the runs.  Two gated recurrent layers read a window of words in both directions, an
 attention layer weighs the places, and the pooled state gives the window's logit.  A document is as toxic
 as its worst window, in training (only that window gets a gradient) and in scoring, where all overlapping
 windows of the whole text are scored in lockstep.
@@ -46,14 +46,27 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def _bucket(s: str) -> int:
-    return crc32(s.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+def _buckets(found: list[str]) -> np.ndarray:
+    return np.array([crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for w in found], np.int64)
 
 
-def _runs(word: str) -> list[int]:
-    """Buckets of the runs of three to five characters in the word, its ends marked."""
-    w = f"<{word[:64]}>"
-    return [_bucket(w[i:i + n]) for n in (3, 4, 5) for i in range(max(1, len(w) - n + 1))]
+def _runs(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the runs of three to five bytes in each word, its ends marked.
+
+    Returns buckets and whether they stand for a run, both by run length and first byte over all words joined,
+    and where each word begins.  Every word has a run of three.
+    """
+    marked = [b"<" + w.encode("utf-8", "surrogatepass")[:64] + b">" for w in found]
+    sizes = np.array([len(m) for m in marked], np.int64)
+    ends = sizes.cumsum()
+    data = np.concatenate([np.frombuffer(b"".join(marked), np.uint8).astype(np.int64), np.zeros(4, np.int64)])
+    n = len(data) - 4
+    left = np.repeat(ends, sizes) - np.arange(n)
+    rolled, buckets = data[:n] * 257 + data[1:n + 1], []
+    for size in (3, 4, 5):
+        rolled = rolled * 257 + data[size - 1:n + size - 1]
+        buckets.append((rolled * 0x9E3779B1 + size >> 15) & (BUCKETS - 1))
+    return np.array(buckets), left >= np.array([3, 4, 5])[:, None], ends - sizes
 
 
 def _contrast(ones: np.ndarray, zeros: np.ndarray, n_one: int, n_zero: int, prior: float = 2.0) -> np.ndarray:
@@ -74,17 +87,16 @@ class Inputs:
         out = np.zeros((len(found), WIDTH), np.float32)
         if not found:
             return out
-        runs = [_runs(w) for w in found]
-        sizes = np.array([len(r) for r in runs])
-        flat = np.fromiter(itertools.chain.from_iterable(runs), np.int64, sizes.sum())
-        at = np.concatenate([[0], sizes.cumsum()[:-1]])
-        z = self.by_run[flat]
-        out[:, 0] = self.by_word[[_bucket(w) for w in found]]
-        out[:, 1] = np.maximum.reduceat(z, at)
-        out[:, 2] = np.minimum.reduceat(z, at)
-        out[:, 3] = np.add.reduceat(z, at) / sizes
-        signs = ((flat[:, None] * 0x9E3779B1 >> np.arange(8, 8 + SIGNS)) & 1) * 2 - 1
-        out[:, 4:] = np.add.reduceat(signs, at) / sizes[:, None]
+        buckets, real, at = _runs(found)
+        many = np.add.reduceat(real.sum(axis=0), at)
+        z = self.by_run[buckets]
+        out[:, 0] = self.by_word[_buckets(found)]
+        out[:, 1] = np.maximum.reduceat(np.where(real, z, -9).max(axis=0), at)
+        out[:, 2] = np.minimum.reduceat(np.where(real, z, 9).min(axis=0), at)
+        out[:, 3] = np.add.reduceat(np.where(real, z, 0).sum(axis=0), at) / many
+        for bit in range(SIGNS):
+            signs = np.where(real, (buckets >> bit & 1) * 2 - 1, 0).sum(axis=0)
+            out[:, 4 + bit] = np.add.reduceat(signs, at) / many
         return out
 
 
@@ -238,20 +250,21 @@ def train(
     fit = np.flatnonzero(~held)
     if len(np.unique(y[fit])) < 2:
         return None
-    tables = {}
-    for name, parts in (("by_word", lambda w: (_bucket(w),)), ("by_run", _runs)):
-        memo: dict[str, tuple[int, ...]] = {}
-        counts = np.zeros((2, BUCKETS))
-        for n in fit:
-            buckets = set()
-            for w in set(words[n]):
-                if w not in memo:
-                    memo[w] = tuple(parts(w))
-                buckets.update(memo[w])
-            counts[int(y[n]), list(buckets)] += 1
-        n_one = int(y[fit].sum())
-        tables[name] = _contrast(counts[1], counts[0], n_one, len(fit) - n_one)
-    inputs = Inputs(**tables)
+    vocabulary: dict[str, int] = {}
+    numbers = [[vocabulary.setdefault(w, len(vocabulary) + 1) for w in words[n]] for n in fit]
+    found = list(vocabulary)
+    buckets, real, at = _runs(found) if found else (np.zeros((3, 0), np.int64), np.zeros((3, 0), bool), np.zeros(0, np.int64))
+    runs = [b[r] for b, r in zip(np.split(buckets.T, at[1:]), np.split(real.T, at[1:]), strict=True)] if found else []
+    by_word, by_run = _buckets(found), np.zeros((2, BUCKETS))
+    counts = np.zeros((2, BUCKETS))
+    for n, own in zip(fit, numbers, strict=True):
+        if own:
+            known = np.unique(own) - 1
+            counts[int(y[n]), np.unique(by_word[known])] += 1
+            by_run[int(y[n]), np.unique(np.concatenate([runs[w] for w in known]))] += 1
+    n_one = int(y[fit].sum())
+    tables = [_contrast(c[1], c[0], n_one, len(fit) - n_one) for c in (counts, by_run)]
+    inputs = Inputs(*tables)
 
     def init(*shape: int) -> np.ndarray:
         return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
@@ -261,14 +274,11 @@ def train(
         p |= {"w" + s: init(WIDTH, 3 * hidden), "u" + s: init(hidden, 3 * hidden), "b" + s: np.zeros(3 * hidden, np.float32)}
     net = Network(inputs, hidden, p)
 
-    vocabulary: dict[str, int] = {}
-    numbers = [[vocabulary.setdefault(w, len(vocabulary) + 1) for w in words[n]] for n in fit]
-    x = inputs.vectors(list(vocabulary))
+    x = inputs.vectors(found)
     ids, of = windows(numbers)
     first = np.concatenate([[0], x[:, 0] + x[:, 1]])[ids].max(axis=1)  # worst windows before anything is learned
     weight = np.where(y[fit] == 1, 0.5 / y[fit].mean(), 0.5 / (1 - y[fit].mean())).astype(np.float32)
-    moment, square, n_steps = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2)), None, 0
-    moment, square = moment
+    moment, square, n_steps = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for turn in range(rounds):
         if turn:
             gates = {s: net.project(x, s) for s in "fb"}
