@@ -239,7 +239,7 @@ def windows(numbers: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(
-    texts: list[str | None], labels: np.ndarray, hidden: int = 8, attention: int = 8, rounds: int = 10, batch: int = 256,
+    texts: list[str | None], labels: np.ndarray, hidden: int = 8, attention: int = 8, rounds: int = 12, batch: int = 256,
     step: float = 0.02, seed: int = 42, validation: float = 0.2,
 ) -> Network | None:
     """A network from labelled texts, or None if a class is missing; a fifth of them sets the decision level."""
@@ -273,6 +273,7 @@ def train(
     for s in "fb":
         p |= {"w" + s: init(WIDTH, 3 * hidden), "u" + s: init(hidden, 3 * hidden), "b" + s: np.zeros(3 * hidden, np.float32)}
     net = Network(inputs, hidden, p)
+    batch = int(np.clip(len(fit) // 18, 16, batch))  # few rows still make enough steps
 
     x = inputs.vectors(found)
     ids, of = windows(numbers)
