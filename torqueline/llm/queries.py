@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torqueline.llm import decontaminate, licenses, mixing, pii, quality, secrets, simhash, substrings, toxicity
+from torqueline.llm import decontaminate, licenses, mixing, pii, quality, secrets, simhash, substrings, toxicity, warc
 from torqueline.llm.base import REGISTRY, query, table
 
 __all__ = ["REGISTRY"]
@@ -201,3 +201,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_warc_derivatives")
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = lambda name: F.element_at("headers", F.lit(name))
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages"))).select(
+        "page_id", head("WARC-Type").alias("record_type"), head("WARC-Record-ID").alias("record_id"),
+        head("WARC-Refers-To").alias("refers_to"), head("WARC-Target-URI").alias("target_uri"),
+        head("WARC-Source-Payload-Digest").alias("source_digest"), head("WARC-Block-Digest").alias("block_digest"),
+        head("Content-Length").cast("long").alias("content_length"), "block")
