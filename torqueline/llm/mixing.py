@@ -45,8 +45,8 @@ def targets(
     """Words to take per source, from one row (source, total, rows, ...) per source.
 
     A source stops at its limit if the level, words per unit of weight, that fills the budget reaches the
-    source's own level.  With sources ordered by that level, the one fill level is the first that does not
-    exceed the level of its source.
+    source's own level.  With sources ordered by their level, the level that would fill the budget if all
+    before a source stood at their limits rises as long as those do and falls after, so its greatest is the one.
     """
     up, down = ratio
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -59,8 +59,8 @@ def targets(
     rest = F.lit(up) * F.sum("total").over(every) / F.lit(float(down)) - F.coalesce(F.sum(cap).over(so_far), F.lit(0))
     weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(so_far), F.lit(0))
     s = s.withColumn("share", rest / weight.cast("double"))
-    fill = F.min(F.when(F.col("share") <= F.col("level"), F.col("share"))).over(every)
-    return s.withColumn("target", F.least(cap.cast("double"), F.coalesce(F.col("weight") * fill, cap.cast("double"))))
+    fill = F.max("share").over(every)
+    return s.withColumn("target", F.least(cap.cast("double"), F.col("weight") * fill))
 
 
 def mix(

@@ -150,8 +150,7 @@ c AS (
          sum(total) OVER () AS everything, sum(weight) OVER () AS weights
   FROM s WINDOW w AS (ORDER BY 2 * total / weight::DOUBLE, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 fill AS (
-  SELECT min((3 * everything / 2 - (capped - 2 * total))::DOUBLE / (weights - (used - weight))::DOUBLE)
-         FILTER (WHERE (3 * everything / 2 - (capped - 2 * total))::DOUBLE / (weights - (used - weight))::DOUBLE <= level) AS share
+  SELECT max((3 * everything / 2 - (capped - 2 * total))::DOUBLE / (weights - (used - weight))::DOUBLE) AS share
   FROM c),
 t AS (
   SELECT source, total, least(2.0 * total, weight * share) AS target FROM c, fill),
