@@ -27,6 +27,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Whole texts go to Python in batches; ten thousand of them, the default, are too many for small executors.
+TEXT_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def with_text_batches(df: DataFrame) -> DataFrame:
+    """The same frame; its session sends texts to Python in batches of bounded rows and bytes."""
+    for key, value in TEXT_BATCHES.items():
+        df.sparkSession.conf.set(key, value)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

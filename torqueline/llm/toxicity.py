@@ -11,8 +11,7 @@ The network is fitted on the driver from a bounded sample of labelled rows: at m
 ``negatives`` documents of at most ``longest`` characters, the smallest by a hash of the id.  Inputs of a score
 are the text alone.
 
-Defined results: null or empty text is scored as a window without words.  Without labels of both classes
-every score is the share of class 1 among the labels, or 0.  Repeated rows and null ids give a row each; an
+Defined results: a text without words scores 0.  Without labels of both classes every other score is the share of class 1 among the labels, or 0.  Repeated rows and null ids give a row each; an
 empty table gives an empty result.
 """
 
@@ -31,6 +30,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from torqueline.llm.base import with_text_batches
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORD = re.compile(r"\w+")
@@ -101,7 +102,7 @@ class Inputs:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return np.where(x == -np.inf, 0.0, 1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
 @dataclass
@@ -217,7 +218,7 @@ class Network:
         best = np.full(len(texts), -np.inf)
         for i in range(0, len(ids), 4096):
             np.maximum.at(best, of[i:i + 4096], self.logits(self.cached, ids[i:i + 4096]))
-        return best
+        return np.where([len(t) > 0 for t in texts], best, -np.inf)
 
     def scores(self, texts: Iterable[str | None]) -> np.ndarray:
         return _sigmoid(self.document_logits(texts) - self.shift)
@@ -307,7 +308,9 @@ def train(
 def _level(net: Network, texts: list[str | None], y: np.ndarray, rows: np.ndarray) -> float:
     """Logit that parts the classes with the greatest F1, halfway between its neighbours."""
     z = net.document_logits([texts[n] for n in np.flatnonzero(rows)])
-    truth = y[rows]
+    truth, z = y[rows][z > -np.inf], z[z > -np.inf]
+    if not truth.any():
+        return 0.0
     order = np.argsort(-z, kind="stable")
     hits = truth[order].cumsum()
     f1 = 2 * hits / (np.arange(1, len(z) + 1) + truth.sum())
@@ -349,7 +352,7 @@ def fit_toxicity(
 
 def score_column(text: Column, model: Network | float) -> Column:
     if isinstance(model, float):
-        return F.lit(model)
+        return F.when(F.coalesce(text, F.lit("")).rlike(r"(?U)\w"), F.lit(model)).otherwise(F.lit(0.0))
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
@@ -362,6 +365,6 @@ def score_documents(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
 ) -> DataFrame:
     """One row per document: key, held_out, score."""
-    d = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("_text"))
+    d = with_text_batches(docs).select(F.col(key).alias(key), F.col(text).cast("string").alias("_text"))
     model = fit_toxicity(d, labels, key, "_text", label)
     return d.select(key, held_out(F.col(key)).alias("held_out"), score_column(F.col("_text"), model).alias("score"))
