@@ -89,6 +89,20 @@ def g10(spark, sf):
     return rounded(profile.quantile_per_column(lines(spark, sf), LINE, 0.99), 4)
 
 
+ODD = """o AS (SELECT CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'Infinity'::DOUBLE
+  WHEN event_id % 11 = 0 THEN '-Infinity'::DOUBLE ELSE value END AS v FROM events)"""
+
+
+@query("g10_quantile_odd_values", f"WITH {ODD} " + " UNION ALL ".join(
+    f"SELECT {q}::DOUBLE AS quantile, round(quantile_cont(v, {q}), 4) AS v FROM o" for q in (0.0, 0.25, 0.5, 0.75, 0.95, 1.0)))
+def g10_odd(spark, sf):
+    """NaN counts as missing; infinities are the ends of the order."""
+    n = F.col("event_id")
+    v = F.when(n % 7 == 0, F.lit(float("nan"))).when(n % 5 == 0, F.lit(float("inf"))).when(n % 11 == 0, F.lit(float("-inf")))
+    e = table(spark, sf, "events").select(v.otherwise(F.col("value")).alias("v"))
+    return rounded(profile.quantile_table(e, {"v": "v"}, (0.0, 0.25, 0.5, 0.75, 0.95, 1.0)), 4)
+
+
 @query("g11_quantile_table", " UNION ALL ".join(
     f"SELECT {q}::DOUBLE AS quantile, round(quantile_cont(l_extendedprice, {q}), 4) AS price, "
     f"round(quantile_cont(l_quantity, {q}), 4) AS quantity FROM lineitem" for q in profile.TABLE_QUANTILES))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -100,16 +102,22 @@ def test_selected_quantiles_are_exact(spark, shape):
     }[shape]
     df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
     qs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
-    got = quantiles.select_quantiles(df, {"x": qs}, listed_rows=20, accuracy=50)
+    got = quantiles.exact_quantiles(df, {"x": qs}, listed_rows=20, accuracy=50)
     for q in qs:
         assert got["x", q] == pytest.approx(np.quantile(x, q), rel=1e-12)
-    assert quantiles.select_quantiles(df.filter("x is null"), {"x": [0.5]}) == {("x", 0.5): None}
-
-
-def test_profiles_agree_beyond_the_direct_limit(spark):
-    df = spark.createDataFrame([(float(i * i % 97), float(i)) for i in range(500)], "a double, b double")
-    direct = quantiles.exact_quantiles(df, {"a": [0.5, 0.9], "b": [0.25]})
-    assert quantiles.exact_quantiles(df, {"a": [0.5, 0.9], "b": [0.25]}, direct_rows=10) == pytest.approx(direct)
+    assert quantiles.exact_quantiles(df.filter("x is null"), {"x": [0.5]}) == {("x", 0.5): None}
+
+
+@pytest.mark.parametrize("listed_rows", [20, 20_000])
+def test_quantiles_with_infinities_and_nan(spark, listed_rows):
+    inf, nan = float("inf"), float("nan")
+    x = [-inf] * 100 + [float(i % 37) for i in range(600)] + [inf] * 300
+    df = spark.createDataFrame([(v,) for v in x] + [(nan,)] * 500 + [(None,)], "x double")
+    qs = [0.0, 0.05, 0.5, 0.7002, 0.9, 1.0]
+    got = quantiles.exact_quantiles(df, {"x": qs}, listed_rows=listed_rows, accuracy=50)
+    assert [got["x", q] for q in qs] == [-inf, -inf, float(np.quantile(x[100:700], 399.5 / 599)), inf, inf, inf]
+    assert math.isnan(quantiles.exact_quantiles(spark.createDataFrame([(inf,), (-inf,)], "x double"), {"x": [0.5]})["x", 0.5])
+    assert quantiles.exact_quantiles(df.filter("isnan(x)"), {"x": [0.5]}, listed_rows=listed_rows) == {("x", 0.5): None}
 
 
 def test_correlation_of_constant_is_null(spark):
