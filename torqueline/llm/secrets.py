@@ -7,8 +7,8 @@ belongs to a stretch that begins at the last such visit.  Only from these stretc
 that accepted goes on, for leftmost non-overlapping spans; spans shorter than the rule asks for are dropped.
 
 Defined results: null or empty text has no spans.  Places are code points of the whole text.  Repeated rows and
-null ids give a row each; an empty table gives an empty result.  Memory follows the Arrow batch, which Spark
-bounds by rows and bytes.
+null ids give a row each; an empty table gives an empty result.  Memory follows the Arrow batch, whose rows and
+bytes are bounded.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torqueline.llm.automaton import Automaton, compile_rules
+from torqueline.llm.base import with_text_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(sys.modules[Automaton.__module__])
@@ -194,4 +195,4 @@ def span_column(text: Column, rules: tuple[Rule, ...] = BASE + PROVIDERS) -> Col
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = BASE + PROVIDERS) -> DataFrame:
     """One row per document: key and its spans."""
-    return docs.select(F.col(key).alias(key), span_column(F.col(text).cast("string"), rules).alias("spans"))
+    return with_text_batches(docs).select(F.col(key).alias(key), span_column(F.col(text).cast("string"), rules).alias("spans"))

@@ -31,6 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from torqueline.llm.base import with_text_batches
 from torqueline.session import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 4, seed: i
         return pd.Series(np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64))
 
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).alias("id"), F.xxhash64(t).alias("print"), simhash(t).alias("fp"))
+    return with_text_batches(docs).select(F.col(key).alias("id"), F.xxhash64(t).alias("print"), simhash(t).alias("fp"))
 
 
 def _quarter(i: int):

@@ -25,6 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from torqueline.llm.base import with_text_batches
 from torqueline.llm.grams import covered, text_print
 from torqueline.session import settle
 
@@ -79,7 +80,7 @@ def _spans(docs: DataFrame, run: int, least_words: int) -> DataFrame:
 
 def repeated_sentences(docs: DataFrame, key: str, text: str, run: int = 3, least_words: int = 15) -> DataFrame:
     """(id, print, cuts) of the documents that lose sentences; cuts are sorted (start, end) sentence numbers."""
-    d = docs.select(F.col(key).alias("id"), text_print(text).alias("print"), F.col(text).cast("string").alias("t"))
+    d = with_text_batches(docs).select(F.col(key).alias("id"), text_print(text).alias("print"), F.col(text).cast("string").alias("t"))
     spans = settle(_spans(d, run, least_words), "spans")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "print", "a")
     many = spans.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")

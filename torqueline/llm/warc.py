@@ -33,6 +33,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from torqueline.llm.base import with_text_batches
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>""")
@@ -145,7 +147,7 @@ def derive(records: DataFrame, headers: str = "headers", block: str = "block") -
         return pa.array([derivatives({k: v for k, v in h or () if v is not None}, b or b"") for h, b in pairs], kind)
 
     others = [F.col(c) for c in records.columns if c not in (headers, block)]
-    out = records.select(*others, F.explode(made(F.col(headers), F.col(block))).alias("_made"))
+    out = with_text_batches(records).select(*others, F.explode(made(F.col(headers), F.col(block))).alias("_made"))
     return out.select(*others, F.col("_made.headers").alias(headers), F.col("_made.block").alias(block))
 
 
