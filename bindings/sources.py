@@ -40,13 +40,17 @@ def s1(spark, sf):
     return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
-@query("s2_header_signature", """
-SELECT * FROM (VALUES ('timestamp,event_id,value,x,label', CAST(5 AS BIGINT)), ('timestamp,label,value,event_id', CAST(4 AS BIGINT)))
-  AS t(header, columns)""")
+@query("s2_header_signature", f"""
+WITH {EVENTS}, h AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'timestamp,event_id,value,x,label' ELSE 'timestamp,label,value,event_id' END AS header FROM ev)
+SELECT header, count(*) AS rows FROM h GROUP BY header""")
 def s2(spark, sf):
+    """Header of every file, next to the number of rows that were written under it."""
     path = written_logs(spark, sf)
-    return csv_logs.header_signature(spark, f"{path}/*").select(
-        "header", F.size(F.split("header", ",")).cast("long").alias("columns")).distinct()
+    file = F.element_at(F.split("path", "/"), -1)
+    heads = csv_logs.header_signature(spark, f"{path}/*").select(file.alias("file"), "header")
+    lines = spark.read.text(f"{path}/*/*.csv").select(F.col("_metadata.file_name").alias("file"), "value")
+    rows = lines.join(heads, "file").where(F.col("value") != F.col("header"))
+    return rows.groupBy("header").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("s3_union_by_name", f"WITH {LOGS} SELECT count(*) AS rows, count(x) AS xs, count(label) AS labels, count(value) AS vals FROM logs")
@@ -74,17 +78,29 @@ def s5(spark, sf):
         F.count(F.lit(1)).alias("rows"), F.count_distinct("source_file").alias("files"), F.sum("value").alias("total"))
 
 
+def named_files(df, folder, name):
+    """Write a table as CSV files ``<name>_<n>.csv`` into a folder that others write to as well."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    part = scratch_path(spark, "part")
+    sinks.write_csv(df, part)
+    fs = place(part).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place(folder))
+    files = [f.getPath() for f in fs.listStatus(place(part)) if f.getPath().getName().endswith(".csv")]
+    for n, file in enumerate(files):
+        fs.rename(file, place(f"{folder}/{name}_{n}.csv"))
+
+
 @query("s6_union_by_prefix_group", """
-SELECT CASE event_type WHEN 'view' THEN 'drive' WHEN 'click' THEN 'idle' ELSE NULL END AS source_type, count(*) AS rows
-FROM events WHERE event_type IN ('view', 'click') GROUP BY 1""")
+SELECT event_id::DOUBLE AS event_id, value, CASE event_type WHEN 'view' THEN 'drive' ELSE 'idle' END AS source_type
+FROM events WHERE event_type IN ('view', 'click')""")
 def s6(spark, sf):
-    """Type from the start of a name; other names belong to no group."""
+    """Files named by event type: two prefixes that are listed, one that is not."""
+    folder = scratch_path(spark, "prefix")
     e = table(spark, sf, "events")
-    name = F.when(F.col("event_type") == "view", "drive1.csv").when(F.col("event_type") == "click", "idle_7.csv").otherwise("other.csv")
-    return (
-        e.withColumn("source_type", csv_logs.prefix_of(name)).filter(F.col("source_type").isNotNull())
-        .groupBy("source_type").agg(F.count(F.lit(1)).alias("rows"))
-    )
+    for kind, name in (("view", "drive"), ("click", "idle"), ("purchase", "other")):
+        named_files(e.filter(F.col("event_type") == kind).select("event_id", "value"), folder, name)
+    return csv_logs.union_by_prefix_group(spark, folder, ts=None).select("event_id", "value", "source_type")
 
 
 @query("s7_file_filter", "SELECT count(*) AS rows FROM events WHERE event_id % 2 = 0")
@@ -97,9 +113,21 @@ def s7(spark, sf):
     return out.agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("s8_file_inventory")
+@query("s8_file_inventory", """
+SELECT kind || '.csv' AS file, n > 0 AS present, n AS rows FROM (
+  SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'absent', 0)""")
 def s8(spark, sf):
-    return csv_logs.file_inventory(spark, sf, ["events.parquet", "lineitem.parquet", "absent.csv"], "*.parquet")
+    """One file per event type; sizes come from the file system, rows from the files."""
+    folder = scratch_path(spark, "inventory")
+    e = table(spark, sf, "events")
+    kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())
+    for kind in kinds:
+        named_files(e.filter(F.col("event_type") == kind).select("event_id").coalesce(1), folder, kind)
+    plain = F.regexp_replace("file", "_0[.]csv$", ".csv").alias("file")
+    listed = csv_logs.file_inventory(spark, folder, [f"{k}_0.csv" for k in [*kinds, "absent"]], "*.csv")
+    rows = csv_logs.read_logs(spark, folder, ts=None).groupBy(F.col("source_file").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    both = listed.join(rows, listed["file"] == rows["of"], "left").withColumn("present", F.col("present") & (F.coalesce("size_mb", F.lit(0.0)) > 0))
+    return both.select(plain, "present", F.coalesce("n", F.lit(0).cast("long")).alias("rows"))
 
 
 def messages_of(spark, sf):
@@ -140,15 +168,33 @@ def s12(spark, sf):
     return spark.read.schema(e.schema).option("header", True).csv(path)
 
 
-@query("s13_empty_store_init", "SELECT count(*) - count(*) AS rows, true AS created, false AS again FROM events")
+@query("s12_csv_text", f"""
+SELECT doc_id::DOUBLE AS doc_id, CASE WHEN text NOT IN ({', '.join(f"'{v}'" for v in csv_logs.MISSING)}) THEN text END AS text, lang
+FROM (SELECT doc_id, text, lang FROM documents UNION ALL
+  SELECT -1 - doc_id, CASE doc_id % 4 WHEN 0 THEN 'NA' WHEN 1 THEN 'said "hi", ok' WHEN 2 THEN ' a' || chr(10) || '"b" ' END, lang FROM documents)""")
+def s12_text(spark, sf):
+    """Whole documents, with commas, quotes, line ends, blanks and missing values, written and read back."""
+    path = scratch_path(spark, "text")
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    n = F.col("doc_id") % 4
+    odd = F.when(n == 0, "NA").when(n == 1, 'said "hi", ok').when(n == 2, ' a\n"b" ')
+    sinks.write_csv(d.unionAll(d.select(-1 - F.col("doc_id"), odd, "lang")), path)
+    return csv_logs.read_logs(spark, path, ts=None, text={"text", "lang"}, provenance=False)
+
+
+@query("s13_empty_store_init", "SELECT user_id::VARCHAR AS session, count(*) AS rows, 0::BIGINT AS before, true AS created, false AS again FROM events GROUP BY 1")
 def s13(spark, sf):
+    """A new store is empty, is not made twice, and takes a table."""
     path = scratch_path(spark, "raw")
-    made, again = sinks.init_store(spark, path), sinks.init_store(spark, path)
-    # the new store, joined to nothing, next to the table it will hold
-    rows = spark.read.schema(sinks.RAW_STORE).parquet(path).select("session")
-    keys = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("session"))
-    return keys.join(rows, "session").agg(F.count(F.lit(1)).alias("rows")).withColumns(
-        {"created": F.lit(made), "again": F.lit(again)})
+    made = sinks.init_store(spark, path)
+    before = spark.read.schema(sinks.RAW_STORE).parquet(path).count()
+    e = drive_log(spark, sf)
+    sinks.append_rows(e.select(
+        F.col("user_id").cast("string").alias("session"), F.col("ts").cast("string").alias("timestamp"), F.lit(None).cast("string").alias("driving_style"),
+        F.create_map(F.lit("RPM"), F.col("RPM").cast("string")).alias("data")), path)
+    again = sinks.init_store(spark, path)
+    rows = spark.read.schema(sinks.RAW_STORE).parquet(path).groupBy("session").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.withColumns({"before": F.lit(before).cast("long"), "created": F.lit(made), "again": F.lit(again)})
 
 
 @query("s14_model_sink")

@@ -1,7 +1,13 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
+from torqueline import session
 from torqueline.plans import cleaning, labelling
 from torqueline.sources import csv_logs, messages, sinks
 
@@ -12,11 +18,11 @@ def logs(tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()
     a = "timestamp,RPM,ABSOLUTE_LOAD,O2_SENSORS,SPEED\n"
-    (folder / "drive_1.csv").write_text(a + '2025-05-07T17:13:45.868476,756.5,1807.06,"((), (False, True))",0.0\n'
-                                            "2025-05-07T17:13:52.938445,,1807.06,,\n")
-    (folder / "drive_2.csv").write_text(a + "2025-05-07T18:28:11.895251,780.5,1807.06,,8\n")
-    (folder / "idle_1.csv").write_text("timestamp,SPEED,RPM,MAF\n2025-05-14T17:41:26.635233,1.0,759,3.62\nbad,2.0,x,NaN\n")
-    (folder / "merged.csv").write_text("timestamp,RPM\n2025-05-14T17:41:26,1\n")
+    (folder / "drive_1.csv").write_text(a + '2031-02-03T04:05:06.123456,700.5,40.25,"((), (False, True))",0.0\n'
+                                            "2031-02-03T04:05:09.000001,,41.5,,\n")
+    (folder / "drive_2.csv").write_text(a + "2031-02-04T10:00:00.250000,1200.5,39,,8\n")
+    (folder / "idle_1.csv").write_text("timestamp,SPEED,RPM,MAF\n2031-02-05T11:30:00.750000,1.0,650,2.75\nbad,2.0,x,NaN\n")
+    (folder / "merged.csv").write_text("timestamp,RPM\n2031-02-05T11:30:00,1\n")
     return str(folder)
 
 
@@ -39,10 +45,10 @@ def test_columns_line_up_by_name(spark, logs):
     df = csv_logs.read_logs(spark, logs, exclude=["merged*"])
     assert dict(df.dtypes)["RPM"] == "double" and dict(df.dtypes)["O2_SENSORS"] == "string"
     got = {(r["source_file"], r["RPM"], r["SPEED"], r["MAF"]) for r in df.collect()}
-    assert got == {("drive_1.csv", 756.5, 0.0, None), ("drive_1.csv", None, None, None), ("drive_2.csv", 780.5, 8.0, None),
-                   ("idle_1.csv", 759.0, 1.0, 3.62), ("idle_1.csv", None, 2.0, None)}
+    assert got == {("drive_1.csv", 700.5, 0.0, None), ("drive_1.csv", None, None, None), ("drive_2.csv", 1200.5, 8.0, None),
+                   ("idle_1.csv", 650.0, 1.0, 2.75), ("idle_1.csv", None, 2.0, None)}
     assert df.filter("timestamp IS NULL").count() == 1
-    assert df.filter("source_file = 'drive_1.csv' AND RPM IS NOT NULL").first()["timestamp"].microsecond == 868476
+    assert df.filter("source_file = 'drive_1.csv' AND RPM IS NOT NULL").first()["timestamp"].microsecond == 123456
 
 
 def test_common_columns(spark, logs):
@@ -100,3 +106,54 @@ def test_label_sessions_with_labels_of_their_own(spark, logs):
     labels = df.selectExpr("timestamp", "CASE WHEN RPM > 770 THEN 'mild' ELSE 'UNKNOWN_STYLE' END AS driving_style", "source_file")
     out = labelling.label_sessions(df, tie=csv_logs.PROVENANCE, labels=labels).orderBy("timestamp").collect()
     assert [(r["new_session"], r["driving_style"]) for r in out] == [(0, None), (1, "Moderate"), (2, None)]
+
+
+def test_dialect(spark, tmp_path):
+    """Doubled quotes, line ends inside quotes, missing-value spellings; only files that need it are read whole."""
+    (tmp_path / "a.csv").write_text('session,RPM,note\nx,1,"said ""hi"", ok"\ny,NA,"two\nlines"\nz,3,None\n')
+    (tmp_path / "b.csv").write_bytes('\ufeff"session","RPM",note\nw,4,"a, b"\n'.encode())
+    assert len(csv_logs.header_groups(spark, str(tmp_path))) == 1
+    df = csv_logs.read_logs(spark, str(tmp_path), ts=None, text={"session", "note"}, provenance=False)
+    assert {tuple(r) for r in df.collect()} == {
+        ("x", 1.0, 'said "hi", ok'), ("y", None, "two\nlines"), ("z", 3.0, None), ("w", 4.0, "a, b")}
+
+
+@pytest.mark.parametrize("header, names", [
+    ("a,a.b,a", ("a", "a.b", "a.1")), ("a,a,a", ("a", "a.1", "a.2")), ("a,a.1,a", ("a", "a.1", "a.2")), ('"x,y",z', ("x,y", "z")), ("\ufeffa,b", ("a", "b"))])
+def test_header_names(header, names):
+    assert csv_logs._split_header(header) == names
+
+
+def test_written_text_is_read_back(spark, tmp_path):
+    rows = [(1, 'He said "no", twice'), (2, "a\nb"), (3, "  blanks  "), (4, None), (5, "back\\slash"), (6, 'end "')]
+    sinks.write_csv(spark.createDataFrame(rows, "RPM int, note string"), str(tmp_path / "out"))
+    df = csv_logs.read_logs(spark, str(tmp_path / "out"), ts=None, text={"note"}, provenance=False)
+    assert sorted(map(tuple, df.collect())) == [(float(k), v) for k, v in rows]
+
+
+def test_workers_without_the_package(tmp_path):
+    """The package on the driver's path alone is enough."""
+    (tmp_path / "a.csv").write_text("timestamp,RPM\n2031-02-03T04:05:06,1\n")
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from torqueline import build_session
+from torqueline.sources.csv_logs import read_logs
+from torqueline.operators.iforest import IsolationForest
+spark = build_session("alone", "local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
+assert read_logs(spark, {str(tmp_path)!r}).count() == 1
+df = spark.range(500).selectExpr("id", "double(id % 7) as x", "double(id % 11) as y")
+assert IsolationForest(["x", "y"], ["id"], trees=3, sample=32).fit(df).score(df).count() == 500
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    with session.scratch(spark):
+        df = session.settle(spark.range(5), "gone")
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
+    assert os.path.exists(session.settle(spark.range(5), "stays").inputFiles()[0].removeprefix("file://"))

@@ -78,7 +78,7 @@ def test_dedup_prunes_before_the_shuffle(spark):
 def test_encoding(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",), ("c",)], "s string")
     assert [r[0] for r in encode.label_encode(df, ["s"]).collect()] == [1, -1, 0, 2]
-    assert sorted(r[0] for r in encode.label_encode(df, ["s"], broadcast_entries=1).collect()) == [-1, 0, 1, 2]
+    assert sorted(r[0] for r in encode.label_encode(df, ["s"]).collect()) == [-1, 0, 1, 2]
     hot = encode.one_hot_drop_first(df, ["s"])
     assert hot.columns == ["s_b", "s_c"] and [tuple(r) for r in hot.collect()] == [(1, 0), (0, 0), (0, 0), (0, 1)]
     wide = encode.map_to_columns(spark.createDataFrame([({"RPM": "1", "X": "bad"},), ({"MAF": "2.5"},)], "data map<string,string>"))

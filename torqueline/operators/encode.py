@@ -10,10 +10,7 @@ from pyspark.sql import types as T
 
 from torqueline.functions.numeric import to_number
 from torqueline.operators.timeline import timeline
-
-# a dictionary up to this many entries is broadcast, a larger one is joined by shuffle
-BROADCAST_ENTRIES = 100_000
-MOST_NEW_COLUMNS = 5_000
+from torqueline.session import settle
 
 
 def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -24,44 +21,40 @@ def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(cells.alias("x")).select("x.*").filter(F.col("value").isNotNull()).distinct()
 
 
-def category_codes(df: DataFrame, cols: Sequence[str], broadcast_entries: int = BROADCAST_ENTRIES) -> tuple[DataFrame, bool]:
-    """(column, value, code) with the rank of each value from 0, and whether the table is small."""
-    values = distinct_values(df, cols)
-    first = values.limit(broadcast_entries + 1).collect()
-    if len(first) <= broadcast_entries:
-        ranks = {c: sorted(r["value"] for r in first if r["column"] == c) for c in cols}
-        rows = [(c, v, i) for c, vs in ranks.items() for i, v in enumerate(vs)]
-        return df.sparkSession.createDataFrame(rows, "column string, value string, code int"), True
-    ranked = timeline(values, "value", ["column"]).scan(running={"code": F.lit(1)})
-    return ranked.frame.withColumn("code", (F.col("code") - 1).cast("int")), False
+def category_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value, code) with the rank of each value from 0."""
+    ranked = timeline(distinct_values(df, cols), "value", ["column"]).scan(running={"code": F.lit(1)})
+    return ranked.frame.withColumn("code", (F.col("code") - 1).cast("int"))
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], missing: int = -1, suffix: str = "",
-                 broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+def label_encode(df: DataFrame, cols: Sequence[str], missing: int = -1, suffix: str = "") -> DataFrame:
     """Replace text columns by the rank of their value in sorted order; missing gets ``missing``."""
     if not cols:
         return df
-    codes, small = category_codes(df, cols, broadcast_entries)
+    codes = settle(category_codes(df, cols).select("column", "value", "code"), "codes")
     order = df.columns + ([f"{c}{suffix}" for c in cols] if suffix else [])
     for c in cols:
         one = codes.filter(F.col("column") == c).select(
             F.col("value").alias("__value"), F.col("code").alias("__code")
         )
-        joined = df.join(F.broadcast(one) if small else one, F.col(c).cast("string") == F.col("__value"), "left")
+        joined = df.join(one, F.col(c).cast("string") == F.col("__value"), "left")
         df = joined.withColumn(f"{c}{suffix}", F.coalesce("__code", F.lit(missing))).drop("__value", "__code")
     return df.select(*order)
 
 
-def _at_most(values: DataFrame, what: str) -> list:
-    rows = values.limit(MOST_NEW_COLUMNS + 1).collect()
-    if len(rows) > MOST_NEW_COLUMNS:
-        raise ValueError(f"more than {MOST_NEW_COLUMNS} distinct {what}: too many to become columns")
+def _new_columns(values: DataFrame, what: str, most: int | None) -> list:
+    rows = (values if most is None else values.limit(most + 1)).collect()
+    if most is not None and len(rows) > most:
+        raise ValueError(f"more than {most} distinct {what}")
     return rows
 
 
-def one_hot_drop_first(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """0/1 column per category except the smallest; a missing value is 0 in all of them."""
-    found = _at_most(distinct_values(df, cols), f"values of {', '.join(cols)}")
+def one_hot_drop_first(df: DataFrame, cols: Sequence[str], most: int | None = None) -> DataFrame:
+    """0/1 column per category except the smallest; a missing value is 0 in all of them.
+
+    Every category becomes a column, so a caller who expects few may refuse more than ``most``.
+    """
+    found = _new_columns(distinct_values(df, cols), f"values of {', '.join(cols)}", most)
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
     new = {}
     for c in cols:
@@ -71,11 +64,15 @@ def one_hot_drop_first(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns(new).drop(*cols)
 
 
-def map_to_columns(df: DataFrame, col: str = "data", keys: Sequence[str] | None = None, numeric: bool = True) -> DataFrame:
-    """One column per map key; rows without the key get NULL.  Numbers unless told otherwise."""
+def map_to_columns(df: DataFrame, col: str = "data", keys: Sequence[str] | None = None, numeric: bool = True,
+                   most: int | None = None) -> DataFrame:
+    """One column per map key; rows without the key get NULL.  Numbers unless told otherwise.
+
+    Without ``keys`` the keys are looked up first; ``most`` refuses more of them.
+    """
     if keys is None:
         names = df.select(F.explode(F.map_keys(col)).alias("k")).distinct()
-        keys = sorted(r["k"] for r in _at_most(names, f"keys of {col}"))
+        keys = sorted(r["k"] for r in _new_columns(names, f"keys of {col}", most))
     new = {}
     for k in keys:
         raw = F.try_element_at(F.col(col), F.lit(k))

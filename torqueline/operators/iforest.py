@@ -9,11 +9,13 @@ each; the finished forest has a size fixed by the parameters, whatever the table
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from torqueline.operators.rows import sample_rows
 from torqueline.operators.scaling import standardise
 from torqueline.session import settle, spread
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+
 NODES = "tree int, node int, feature int, cut double, size int"
 
 
@@ -112,16 +116,12 @@ class IsolationForest:
         rows = pool.count()
         size = min(self.sample, rows)
         depth = math.ceil(math.log2(max(size, 2)))
-        if rows == pool_size:
-            # enough rows for a sample of its own per tree
-            rank = Window.orderBy("__h", *cols)
-            picked = pool.withColumn("tree", ((F.row_number().over(rank) - 1) % self.trees).cast("int"))
-        else:
-            w = Window.partitionBy("tree").orderBy(F.xxhash64("__h", "tree"), *cols)
-            picked = (
-                pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))))
-                .withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= size)
-            )
+        # one rule at every size: each tree takes the rows with the smallest hashes of row key and tree
+        w = Window.partitionBy("tree").orderBy(F.xxhash64("__h", "tree"), *cols)
+        picked = (
+            pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))))
+            .withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= size)
+        )
 
         def grow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["__h", *cols])

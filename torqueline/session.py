@@ -5,8 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+_open: ContextVar[list[str] | None] = ContextVar("scratch tables of the innermost block", default=None)
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -58,7 +64,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    if _open.get() is not None:
+        _open.get().append(path)
+    return path
 
 
 def settle(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -73,12 +82,29 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, most_rows: int = 5_000_000) -> DataFrame:
-    """Give every core a share of a small input before a CPU-heavy step.
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows dealt by a hash of their values into ``parts`` partitions, sorted in each.
+
+    MLlib draws per partition, so this makes a fitted model follow from the rows and ``parts`` alone.  ``parts``
+    defaults to ``spark.sql.shuffle.partitions``, the session's setting for the size of its data.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = [f"`{f.name}`" for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    return df.repartition(n, *plain).sortWithinPartitions(*plain) if plain else df.repartition(n)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that :func:`settle` and :func:`scratch_path` place inside this block when it ends.
 
-    A small table often arrives as one partition.  Larger ones are split by the scan
-    already and are left alone.
+    Results that still read from them have to be written before.
     """
-    if df.count() > most_rows:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    mine: list[str] = []
+    token = _open.set(mine)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for path in mine:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -1,8 +1,12 @@
 """CSV logs with differing headers: S1-S8.
 
 One ``read.csv`` over files whose headers differ lines columns up by position, without
-an error.  Files are therefore grouped by their exact header first, each group is read
+an error.  Files are therefore grouped by their column names first, each group is read
 with its own declared schema, and the groups are united by name.
+
+The dialect is the usual one: a quote inside a quoted field is doubled, quoted fields may hold line ends, and a fixed
+list of spellings stands for a missing value.  Files where a line leaves a quote open are read whole, by one task
+each; all others can be split.
 """
 
 from __future__ import annotations
@@ -10,10 +14,12 @@ from __future__ import annotations
 import csv
 import fnmatch
 import re
+import sys
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +32,14 @@ from torqueline.schema import FILE_PREFIXES, TEXT_COLUMNS
 # order of rows in the files: part of the tie-break of every sequence operator
 PROVENANCE = ("source_file", "source_block", "row_no")
 
+# Spellings of a missing value in the logs.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+
 
 @dataclass(frozen=True)
 class HeaderGroup:
@@ -46,10 +60,16 @@ def file_inventory(spark: SparkSession, path: str, expected: Iterable[str] | Non
 
 
 def _split_header(line: str) -> tuple[str, ...]:
+    """Column names of a header; a repeated name gets the next free number."""
     names: list[str] = []
-    for name in next(csv.reader([line])):
-        same = sum(1 for n in names if n == name or n.startswith(f"{name}."))
-        names.append(f"{name}.{same}" if name in names else name)
+    seen: dict[str, int] = {}
+    for name in next(csv.reader([line.lstrip("\ufeff")]), []):
+        new, n = name, seen.get(name, 0)
+        while new in seen:
+            n += bool(n) or 1
+            new = f"{name}.{n}"
+        seen[name], seen[new] = n, seen.get(new, 0)
+        names.append(new)
     return tuple(names)
 
 
@@ -98,24 +118,42 @@ def header_scan(spark: SparkSession, path: str | Sequence[str], pattern: str = "
 def header_groups(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.csv",
                   exclude: Iterable[str] = ()) -> list[HeaderGroup]:
     """Files by exact ordered header; ``exclude`` holds name patterns of a job's own output."""
-    groups: dict[str, list[str]] = {}
+    groups: dict[tuple[str, ...], list[str]] = {}
     for row in header_signature(spark, path, pattern).orderBy("path").collect():
         name = row["path"].rsplit("/", 1)[-1]
         if not any(fnmatch.fnmatch(name, e) for e in exclude):
-            groups.setdefault(row["header"], []).append(row["path"])
-    return [HeaderGroup(_split_header(h.lstrip("﻿")), tuple(p)) for h, p in groups.items()]
+            groups.setdefault(_split_header(row["header"]), []).append(row["path"])
+    return [HeaderGroup(names, tuple(p)) for names, p in groups.items()]
+
+
+def _open_quotes(spark: SparkSession, paths: Sequence[str]) -> set[str]:
+    """Files in which a line has an odd number of quotes, so that a field goes on in the next."""
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"))
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return {r["path"] for r in lines.where(odd % 2 == 1).select("path").distinct().collect()}
 
 
 def read_group(spark: SparkSession, group: HeaderGroup) -> DataFrame:
-    """Raw text columns of one header group, with provenance."""
+    """Raw text columns of one header group, with provenance; missing values are null."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in group.columns])
-    raw = spark.read.schema(schema).option("header", True).csv(list(group.paths))
-    return raw.select(
-        *[F.col(f"`{c}`") for c in group.columns],
-        F.col("_metadata.file_name").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("source_block"),
-        F.monotonically_increasing_id().alias("row_no"),
-    )
+    uneven = _open_quotes(spark, group.paths)
+    whole = [p for p in group.paths if _plain(p) in {_plain(u) for u in uneven}]
+    parts = []
+    for paths, lines in (([p for p in group.paths if p not in whole], False), (whole, True)):
+        if paths:
+            reader = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
+            raw = reader.option("multiLine", lines).option("enforceSchema", True).csv(paths)
+            parts.append(raw.select(
+                *[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in group.columns],
+                F.col("_metadata.file_name").alias("source_file"),
+                F.col("_metadata.file_block_start").alias("source_block"),
+                F.monotonically_increasing_id().alias("row_no"),
+            ))
+    return union_logs(parts)
+
+
+def _plain(uri: str) -> str:
+    return re.sub("^file:/+", "/", uri)
 
 
 def typed(df: DataFrame, ts: str | None = "timestamp", text: Iterable[str] = TEXT_COLUMNS) -> DataFrame:

@@ -18,8 +18,9 @@ RAW_STORE = T.StructType([
 
 
 def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Header, no index.  Text form of a timestamp keeps its microseconds."""
-    writer = df.write.mode("overwrite").option("header", True).option(
+    """Header, no index, quotes doubled, blanks kept.  Text form of a timestamp keeps its microseconds."""
+    writer = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option(
         "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").option(
         "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     if partition_by:
