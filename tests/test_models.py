@@ -135,3 +135,14 @@ def test_regression_metrics(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0)], "y double, p double")
     row = ml.regression_metrics(df, "y", "p").first()
     assert (row["rmse"], row["r2"]) == (pytest.approx(0.5 ** 0.5), pytest.approx(0.5))
+
+
+def test_own_models_are_saved_and_loaded(spark, cloud, tmp_path):
+    forest = IsolationForest(["a", "b", "c"], ["id"], trees=5).fit(cloud)
+    forest.save(spark, str(tmp_path / "forest"))
+    again = type(forest).load(spark, str(tmp_path / "forest"))
+    assert again.score(cloud).orderBy("id").collect() == forest.score(cloud).orderBy("id").collect()
+    gappy = cloud.selectExpr("id", "IF(id % 5 = 0, NULL, a) AS a", "b", "IF(id % 7 = 0, NULL, c) AS c")
+    imputer = IterativeImputer(["a", "b", "c"]).fit(gappy)
+    imputer.save(spark, str(tmp_path / "imputer"))
+    assert type(imputer).load(spark, str(tmp_path / "imputer")) == imputer

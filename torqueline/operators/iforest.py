@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from torqueline.functions.numeric import clip, scaled_between
@@ -25,6 +25,7 @@ from torqueline.operators.quantiles import exact_quantiles
 from torqueline.operators.rows import sample_rows
 from torqueline.operators.scaling import standardise
 from torqueline.session import settle, spread
+from torqueline.sources.sinks import read_json, write_json
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
@@ -66,6 +67,16 @@ class ForestModel:
     cut: np.ndarray
     size: np.ndarray
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        parts = {"cols": self.cols, "trees": self.trees, "depth": self.depth, "sample": self.sample}
+        write_json(spark, path, parts | {k: getattr(self, k).tolist() for k in ("feature", "cut", "size")})
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> ForestModel:
+        m = read_json(spark, path)
+        arrays = [np.array(m["feature"], np.int64), np.array(m["cut"], float), np.array(m["size"], np.int64)]
+        return ForestModel(tuple(m["cols"]), m["trees"], m["depth"], m["sample"], *arrays)
+
     def score(self, df: DataFrame, out: str = "AnomalyScore") -> DataFrame:
         """Add the anomaly score in (0, 1], higher for rows that are easier to isolate."""
         names = list(self.cols)

@@ -1,8 +1,10 @@
 """Chained linear-regression imputation, M16.
 
-Rows without a gap add a fixed part to every regression, summed once.  Rows with gaps
-are kept as a small written table that each step scans for the rest of the sums; only
-p x p numbers reach the driver, which solves for the coefficients.
+What a gap is filled with is an affine function of the row's present values that depends only on which values are
+missing.  So one scan groups the rows by their pattern of gaps and sums the products of the present
+values per pattern; every regression of every round follows from these sums on the driver, which holds a matrix of
+(p + 1) x (p + 1) per pattern that occurs, and one narrow pass applies the result.  Rounds end when the
+filled values of a round have moved by less than the tolerance in the root mean square.
 """
 
 from __future__ import annotations
@@ -15,13 +17,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from torqueline.functions import sql
-from torqueline.operators.columns import null_counts
-from torqueline.session import settle
+from torqueline.sources.sinks import read_json, write_json
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
@@ -39,6 +40,14 @@ class ImputerModel:
     start: tuple[float, ...]
     steps: tuple[Step, ...]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        write_json(spark, path, {"cols": self.cols, "start": self.start, "steps": [[s.column, s.weights, s.intercept] for s in self.steps]})
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> ImputerModel:
+        m = read_json(spark, path)
+        return ImputerModel(tuple(m["cols"]), tuple(m["start"]), tuple(Step(c, tuple(w), b) for c, w, b in m["steps"]))
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Replay the fitted steps; each row depends on itself only."""
         names, start, steps = list(self.cols), np.array(self.start), self.steps
@@ -73,52 +82,49 @@ class IterativeImputer:
     def fit(self, df: DataFrame) -> ImputerModel:
         p = len(self.cols)
         data = df.select(*[F.col(c).cast("double").alias(f"o{i}") for i, c in enumerate(self.cols)])
-        _, gaps = null_counts(data)
         row = data.agg(*[F.avg(f"o{i}") for i in range(p)], *[F.max(F.abs(f"o{i}")) for i in range(p)]).first()
         start = [v if v is not None else 0.0 for v in row[:p]]
         limit = self.tol * max([v for v in row[p:] if v is not None], default=0.0)
-        order = [i for i in sorted(range(p), key=lambda i: gaps[f"o{i}"]) if gaps[f"o{i}"]]
-        if not order:
-            return ImputerModel(tuple(self.cols), tuple(start), ())
-
-        any_gap = reduce(lambda a, b: a | b, [F.col(f"o{i}").isNull() for i in range(p)])
-        full = data.filter(~any_gap).select(*[F.col(f"o{i}").alias(f"x{i}") for i in range(p)])
-        base = self._gram(full, start, None)
-        rows = settle(
-            data.filter(any_gap).withColumns({f"x{i}": F.coalesce(f"o{i}", F.lit(start[i])) for i in range(p)}), "gaps")
+        sums = self._pattern_sums(data, start)
+        gaps = [sum(g[0, 0] for m, g in sums.items() if m >> i & 1) for i in range(p)]
+        order = [i for i in sorted(range(p), key=lambda i: gaps[i]) if gaps[i]]
+        # per pattern: (1, all values less their start) from (1, present values less their start)
+        fill = {m: np.diag([1.0] + [0.0 if m >> i & 1 else 1.0 for i in range(p)]) for m in sums}
         steps: list[Step] = []
-        for _ in range(self.rounds):
-            rows = rows.withColumns({f"b{i}": F.col(f"x{i}") for i in order})
+        for _ in range(self.rounds if order else 0):
+            before = {m: t.copy() for m, t in fill.items()}
             for j in order:
-                step = _solve(base + self._gram(rows, start, j), start, j)
+                known = [fill[m] @ g @ fill[m].T for m, g in sums.items() if not m >> j & 1]
+                gram = sum(known) if known else np.zeros((p + 1, p + 1))
+                step = _solve(gram, start, j) if gram[0, 0] else Step(j, (0.0,) * p, start[j])
                 steps.append(step)
-                rows = rows.withColumn(f"x{j}", F.expr(f"coalesce(o{j}, {_linear(step, p)})"))
-            rows = settle(rows, "gaps")
-            change = rows.selectExpr(f"max(greatest(0.0D, {', '.join(f'abs(x{i} - b{i})' for i in order)}))").first()[0]
-            rows = rows.drop(*[f"b{i}" for i in order])
-            if change is None or change < limit:
+                w = np.array(step.weights)
+                shift = np.concatenate([[step.intercept + w @ np.array(start) - start[j]], w])
+                for m, t in fill.items():
+                    if m >> j & 1:
+                        t[j + 1] = shift @ t
+            moved = sum(np.trace((fill[m] - before[m]) @ g @ (fill[m] - before[m]).T) for m, g in sums.items())
+            if np.sqrt(max(moved, 0.0) / sum(gaps)) < limit:
                 break
         return ImputerModel(tuple(self.cols), tuple(start), tuple(steps))
 
-    def _gram(self, rows: DataFrame, centre: Sequence[float], target: int | None) -> np.ndarray:
-        """Sums of products of (1, x - centre) over rows where the target is present."""
+    def _pattern_sums(self, data: DataFrame, centre: Sequence[float]) -> dict[int, np.ndarray]:
+        """Sums of products of (1, x - centre), absent values as 0, per bit pattern of gaps; one scan."""
         p = len(self.cols)
-        if target is not None:
-            rows = rows.filter(F.col(f"o{target}").isNotNull())
-        v = ["1.0D"] + [f"(x{i} - {sql.number(centre[i])})" for i in range(p)]
+        bits = " + ".join(f"IF(o{i} IS NULL, shiftleft(1L, {i}), 0L)" for i in range(p))
+        values = data.selectExpr(f"{bits} AS m", *[f"coalesce(o{i} - {sql.number(c)}, 0D) AS x{i}" for i, c in enumerate(centre)])
+        v = ["1.0D"] + [f"x{i}" for i in range(p)]
         cells = [(a, b) for a in range(p + 1) for b in range(a, p + 1)]
-        sums = rows.selectExpr(*[f"sum({v[a]} * {v[b]}) AS g{a}_{b}" for a, b in cells]).first()
-        out = np.zeros((p + 1, p + 1))
-        for value, (a, b) in zip(sums, cells):
-            out[a, b] = out[b, a] = value or 0.0
+        rows = values.groupBy("m").agg(*[F.expr(f"sum({v[a]} * {v[b]})") for a, b in cells]).collect()
+        out = {}
+        for row in rows:
+            gram = np.zeros((p + 1, p + 1))
+            for value, (a, b) in zip(row[1:], cells, strict=True):
+                gram[a, b] = gram[b, a] = value
+            out[row[0]] = gram
         return out
 
 
-def _linear(step: Step, p: int) -> str:
-    terms = [f"{sql.number(w)} * x{i}" for i, w in enumerate(step.weights) if i != step.column]
-    return " + ".join([sql.number(step.intercept), *terms])
-
-
 def _solve(gram: np.ndarray, centre: Sequence[float], target: int) -> Step:
     """Least squares with intercept from centred sums, least-norm if columns are dependent."""
     p = len(centre)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -55,3 +57,12 @@ def init_store(spark: SparkSession, path: str, schema: T.StructType = RAW_STORE)
         return False
     spark.createDataFrame([], schema).write.mode("append").parquet(path)
     return True
+
+
+def write_json(spark: SparkSession, path: str, value: Any) -> None:
+    """A small value, such as a fitted model, as one JSON line."""
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> Any:
+    return json.loads(spark.read.text(path).first()[0])
