@@ -17,6 +17,7 @@ are split as well, and the same row always falls into the same slab.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from torqueline.session import settle
+
 SLAB = "__slab"
 ROWS_PER_SLAB = 2_000_000
 SAMPLES_PER_SLAB = 32
@@ -161,7 +164,8 @@ def timeline(
     cuts = _cut_points(df, plain.keys, order, rows_per_slab)
     if not cuts:
         return plain
-    return replace(plain, df=_assign_slabs(df, plain.keys, order, cuts), split=True)
+    # written once: every scan reads it for its edges and again for its rows
+    return replace(plain, df=settle(_assign_slabs(df, plain.keys, order, cuts), "slabs"), split=True)
 
 
 def _cut_points(df: DataFrame, keys: tuple, order: tuple, rows_per_slab: int) -> list:
@@ -201,25 +205,44 @@ class _Cuts(list):
 def _assign_slabs(df: DataFrame, keys: tuple, order: tuple, cuts: _Cuts) -> DataFrame:
     """Add the slab number: how many cut points of the series are at or before the row.
 
-    -1 marks rows of short series.  The count is a binary search over the sorted cut
-    points, written as a fold over descending powers of two.
+    -1 marks rows of short series.  Two levels keep what a row carries small: the first counts among every
+    ``span``-th cut point, the second among the cut points between two of those.  Both tables hold at most
+    ``MAX_CUTS`` points and are broadcast.
     """
     spark = df.sparkSession
-    most = max(len(row["__cuts"]) for row in cuts)
-    steps = [1 << i for i in reversed(range(most.bit_length()))]
-    table = spark.createDataFrame(list(cuts), cuts.schema).toDF(*[f"__k{i}" for i in range(len(keys))], "__cuts")
+    span = math.isqrt(max(len(row["__cuts"]) for row in cuts) - 1) + 1
+    kinds = [f for f in cuts.schema.fields if f.name != "__cuts"]
+    points = cuts.schema["__cuts"].dataType
+    coarse, fine = [], []
+    for row in cuts:
+        key, all_ = [row[f.name] for f in kinds], row["__cuts"]
+        coarse.append((*key, all_[span - 1::span]))
+        fine += [(*key, g, all_[a:a + span]) for g, a in enumerate(range(0, len(all_), span))]
+    named = [T.StructField(f"__k{i}", f.dataType) for i, f in enumerate(kinds)]
+    top = spark.createDataFrame(coarse, T.StructType([*named, T.StructField("__top", points)]))
+    low = spark.createDataFrame(fine, T.StructType([*named, T.StructField("__g", T.IntegerType()), T.StructField("__low", points)]))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    drop = [f"__k{i}" for i in range(len(keys))]
+
     if keys:
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
-        joined = df.join(F.broadcast(table), same, "left")
+        joined = df.join(F.broadcast(top), reduce(lambda a, b: a & b, same), "left").drop(*drop)
     else:
-        joined = df.withColumn("__cuts", table.scalar())
+        joined = df.withColumn("__top", top.scalar())
+    joined = joined.withColumn("__passed", _passed("__top", span + 1, order)).drop("__top")
+    meets = reduce(lambda a, b: a & b, [*same, F.col("__passed") == F.col("__g")])
+    joined = joined.join(F.broadcast(low), meets, "left").drop(*drop, "__g")
+    slab = F.when(F.col("__passed").isNull(), F.lit(-1)).otherwise(
+        F.col("__passed") * span + F.coalesce(_passed("__low", span, order), F.lit(0)))
+    return joined.withColumn(SLAB, slab).drop("__low", "__passed")
+
+
+def _passed(cuts: str, most: int, order: tuple) -> Column:
+    """How many of at most ``most`` sorted cut points are at or before the row; null without cut points.
+
+    A binary search, written as a fold over descending powers of two.
+    """
     place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    passed = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda done, step: F.when(
-            F.get(F.col("__cuts"), done + step - 1) <= place, done + step
-        ).otherwise(done),
-    )
-    slab = F.when(F.col("__cuts").isNull(), F.lit(-1)).otherwise(passed)
-    return joined.withColumn(SLAB, slab).drop("__cuts", *[f"__k{i}" for i in range(len(keys))])
+    steps = [F.lit(1 << i) for i in reversed(range(max(most, 1).bit_length()))]
+    found = F.aggregate(F.array(*steps), F.lit(0), lambda done, step: F.when(
+        F.get(F.col(cuts), done + step - 1) <= place, done + step).otherwise(done))
+    return F.when(F.col(cuts).isNotNull(), found)
