@@ -50,6 +50,15 @@ def n4(spark, sf):
     return seq.forward_fill(series(spark, sf, "x"), ["x"]).frame.select("event_id", "x")
 
 
+@query("n4_forward_fill_cut", f"""
+WITH {EVENTS} SELECT event_id, last_value(x IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS x
+FROM ev""")
+def n4_cut(spark, sf):
+    """The log as one series in slabs of about 500 rows."""
+    e = events(spark, sf).select("event_id", "ts", "x")
+    return seq.forward_fill(timeline(e, "ts", [], ["event_id"], rows_per_slab=500), ["x"]).frame.select("event_id", "x")
+
+
 @query("n4_forward_fill_whole_log", f"""
 WITH {EVENTS} SELECT event_id, last_value(x IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS x
 FROM ev""")
@@ -115,6 +124,14 @@ def n9(spark, sf):
     return seq.idle_runs(tl, "SPEED", 36_000, "style").frame.select("event_id", "style")
 
 
+@query("n10_row_index_cut", f"""
+WITH {EVENTS} SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_index FROM ev""")
+def n10_cut(spark, sf):
+    """One series in slabs of about 200 rows, numbered through."""
+    e = events(spark, sf).select("event_id", "ts")
+    return seq.row_index(timeline(e, "ts", [], ["event_id"], rows_per_slab=200)).frame.select("event_id", "row_index")
+
+
 @query("n10_row_index", f"""
 WITH {EVENTS} SELECT event_id, row_number() OVER ({SERIES}) - 1 AS row_index FROM ev""")
 def n10(spark, sf):
@@ -147,6 +164,13 @@ def n11(spark, sf):
     return out.select("event_id", F.col("driving_style_analyzed").alias("style"))
 
 
+@query("n11_driving_style_latch_cut", f"WITH {EVENTS}, {DRIVE_LOG}, {STYLES} SELECT event_id, style FROM styled")
+def n11_cut(spark, sf):
+    """Series cut at about 40 rows."""
+    out = analyse_driving(drive_log(spark, sf), "ts", ["user_id"], ["event_id"], LIMITS, rows_per_slab=40)
+    return out.select("event_id", F.col("driving_style_analyzed").alias("style"))
+
+
 @query("n12_gap_report", f"""
 WITH {EVENTS}, g AS (SELECT {GAP} AS gap FROM ev WINDOW w AS ({SERIES}))
 SELECT count(*) AS rows, count(*) FILTER (gap > 21600) AS gaps_over, round(max(gap), 4) AS max_gap,

@@ -69,8 +69,11 @@ def clean_session(df: DataFrame, ts: str = "timestamp", protect: Sequence[str] =
 
 
 def trend_table(df: DataFrame, ts: str = "timestamp", tie: Sequence[str] = ()) -> DataFrame:
-    """Sample index against the trend sensors that are there."""
-    tl = row_index(timeline(df, ts, tie=tie), "sample")
+    """Sample index against the trend sensors that are there.
+
+    Without ``tie`` rows of one time are ordered by their values, so that only equal rows are interchangeable.
+    """
+    tl = row_index(timeline(df, ts, tie=tie or [c for c in df.columns if c != ts]), "sample")
     return tl.frame.select("sample", *[c for c in TREND_SIGNALS if c in df.columns])
 
 
