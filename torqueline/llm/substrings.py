@@ -84,8 +84,10 @@ def repeated_sentences(docs: DataFrame, key: str, text: str, run: int = 3, least
     spans = settle(_spans(d, run, least_words), "spans")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "print", "a")
     many = spans.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    # written, so that the join deals both sides itself and may split a hash that a third of the rows share
+    many = settle(many.select("h", "g", "first"), "repeated")
     same = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.print") == F.col("print")) & (F.col("first.a") == F.col("a"))
-    later = spans.join(many.select("h", "g", "first"), ["h", "g"]).where(~same)
+    later = spans.join(many, ["h", "g"]).where(~same)
     return later.groupBy("id", "print").agg(F.array_sort(F.collect_set(F.struct(
         F.col("a").cast("long").alias("start"), F.col("b").cast("long").alias("end")))).alias("cuts"))
 
