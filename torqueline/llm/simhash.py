@@ -179,7 +179,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """One document of each group, the one with the smallest id (null ids last), with the columns it came with."""
     prints = settle(fingerprints(docs, key, text, shingle), "prints")
-    roots = _grouped(prints, radius).select("fp", "root")
+    return best_of_groups(docs, key, text, prints, _grouped(prints, radius).select("fp", "root"))
+
+
+def best_of_groups(docs: DataFrame, key: str, text: str, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """The document with the smallest id of each root, from (id, print, fp) per row and (fp, root) per node."""
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "print")
     # copies of one row are counted before the choice, so a hot group is one row per task
     rows = prints.groupBy("fp", "id", "print").count().join(roots, "fp").groupBy("root").agg(
