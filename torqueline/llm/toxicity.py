@@ -2,8 +2,8 @@
 
 Every word is a vector of word and character inputs: how much the word, and the runs of bytes it is made of,
 set toxic training documents apart (log-odds in standard deviations, after an informative prior), and
-random signs of the runs.  Two gated recurrent layers read a window of words in both directions, an
-attention layer weighs the places, and the pooled state gives the window's logit.  A document is as toxic
+random signs of the runs.  A word of more than 64 bytes is read as overlapping pieces, each in a place of
+its own.  Two gated recurrent layers read a window of words in both directions, an attention layer weighs the places, and the pooled state gives the window's logit.  A document is as toxic
 as its worst window, in training (only that window gets a gradient) and in scoring, where all overlapping
 windows of the whole text are scored in lockstep.
 
@@ -41,10 +41,31 @@ WIDTH = 4 + SIGNS
 WINDOW, STRIDE = 32, 24
 GROUP_WORDS = 200_000
 MOST_CACHED = 200_000
+PIECE, OVERLAP = 64, 16  # bytes
+
+
+def pieces_of(word: str) -> list[str]:
+    """The word, or consecutive pieces of at most ``PIECE`` bytes, neighbours sharing about ``OVERLAP``; whole characters."""
+    data = word.encode("utf-8", "surrogatepass")
+    out, at = [], 0
+    while True:
+        end = min(at + PIECE, len(data))
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(data[at:end].decode("utf-8", "surrogatepass"))
+        if end == len(data):
+            return out
+        at = end - OVERLAP
+        while data[at] & 0xC0 == 0x80:
+            at -= 1
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Words, long ones in pieces; scripts without spaces and joined words are read to their end."""
+    found = WORD.findall((text or "").lower())
+    if max(map(len, found), default=0) * 4 <= PIECE:
+        return found
+    return [p for w in found for p in (pieces_of(w) if len(w) * 4 > PIECE else (w,))]
 
 
 def _buckets(found: list[str]) -> np.ndarray:
@@ -57,7 +78,7 @@ def _runs(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Returns buckets and whether they stand for a run, both by run length and first byte over all words joined,
     and where each word begins.  Every word has a run of three.
     """
-    marked = [b"<" + w.encode("utf-8", "surrogatepass")[:64] + b">" for w in found]
+    marked = [b"<" + w.encode("utf-8", "surrogatepass") + b">" for w in found]
     sizes = np.array([len(m) for m in marked], np.int64)
     ends = sizes.cumsum()
     data = np.concatenate([np.frombuffer(b"".join(marked), np.uint8).astype(np.int64), np.zeros(4, np.int64)])
