@@ -2,7 +2,15 @@
 
 A text is cut into sentences, long ones also after commas, so that a passage inserted into the middle of a
 sentence falls back into step.  From every sentence on, the shortest run of at least ``run`` sentences and
-``least_words`` words is a span.  Spans are hashed to 96 bits, after white space and case, and grouped over the whole
+``least_words`` words is a span.
+
+Where fifty words in a row may hold no such run, because sentences are long or there are none, the text is also cut at
+points that its words alone set: places whose word triple has the least hash of its neighbours.  The shortest
+runs of at least ``least_words`` words from and to every point are spans too.  Any 50 shared words hold the same
+points up to their margins, and so a whole span, whatever stands around them (for ``least_words`` up to 47, and
+line ends and other white space in the same places).
+
+Spans are hashed to 96 bits, after white space and case, and grouped over the whole
 corpus; a span that occurs more than once keeps its first place, by id and sentence, and every sentence that
 any other place covers is removed.
 
@@ -32,32 +40,104 @@ from torqueline.session import settle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END = re.compile(r"[.!?\n]+[\"')\]]*\s*|[,;:]\s+")
+WORD = re.compile(r"\S+")
 CLAUSE_WORDS = 8
+SHARED = 50
+
 
+def xxh64(word: bytes) -> int:
+    from xxhash import xxh64_intdigest
 
-def sentences(text: str) -> list[str]:
-    """Pieces that make up the text: sentences, or clauses of at least ``CLAUSE_WORDS`` words."""
-    out, free = [], 0
+    return xxh64_intdigest(word, 42)
+
+
+def _sentences(text: str) -> tuple[list[str], list[bool]]:
+    """Sentences, or clauses of at least ``CLAUSE_WORDS`` words, and whether a sentence ends there."""
+    out, ends, free = [], [], 0
     for m in END.finditer(text):
-        if m[0][0] in ",;:" and len(text[free:m.start()].split(None, CLAUSE_WORDS)) < CLAUSE_WORDS:
+        clause = m[0][0] in ",;:"
+        if clause and len(text[free:m.start()].split(None, CLAUSE_WORDS)) < CLAUSE_WORDS:
             continue
         out.append(text[free:m.end()])
+        ends.append(not clause)
         free = m.end()
     if free < len(text):
         out.append(text[free:])
-    return out
-
-
-def spans_of(text: str, run: int, least_words: int) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentence after the last, 16-byte hash) of every span."""
+        ends.append(False)
+    return out, ends
+
+
+def _stretches(upto: np.ndarray, ends: list[bool], run: int, least_words: int) -> list[tuple[int, int]]:
+    """Word ranges that hold every place of ``SHARED`` words without a whole run of sentences.
+
+    Only ends of sentences count, not of clauses or of the text, as those may differ between two places.
+    """
+    n = int(upto[-1])
+    cuts = upto[1:][np.array(ends, bool)]
+    to = np.maximum(np.searchsorted(cuts, cuts + least_words), np.arange(len(cuts)) + run)
+    upper = np.append(np.append(cuts, n + 1)[np.minimum(to, len(cuts))], n + 1)  # where the run from the next end is whole
+    out: list[tuple[int, int]] = []
+    for a, b in zip(np.append(-1, cuts).tolist(), upper.tolist(), strict=True):
+        if b - a > SHARED:
+            a, b = max(a, 0), min(b, n)
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+    return [(a, b) for a, b in out if b - a >= SHARED]
+
+
+def _points(words: list[bytes], window: int) -> np.ndarray:
+    """Places whose word triple has the least hash, the last of equals, of some ``window`` neighbouring places."""
+    h = np.array([xxh64(w) for w in words], np.uint64)
+    h = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:-1]) * np.uint64(0xD6E8FEB86659FD93) ^ h[2:]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    views = np.lib.stride_tricks.sliding_window_view(h, window)[:, ::-1]
+    return np.unique(np.arange(window - 1, len(h)) - views.argmin(axis=1))
+
+
+def _cut(text: str, run: int, least_words: int) -> tuple[list[str], list[tuple[int, int, bytes]]]:
+    """The pieces that make up the text, and (first piece, piece after the last, 16-byte hash) of every span."""
     from xxhash import xxh3_128_digest
 
-    words = [s.lower().split() for s in sentences(text)]
+    pieces, ends = _sentences(text)
+    words = [s.lower().split() for s in pieces]
     plain = [" ".join(w).encode("utf-8", "surrogatepass") for w in words]
     upto = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
     # the first end with enough words, and with enough sentences
-    ends = np.maximum(np.searchsorted(upto, upto[:-1] + least_words), np.arange(len(words)) + run)
-    return [(i, j, xxh3_128_digest(b"\n".join(plain[i:j]))) for i, j in enumerate(ends.tolist()) if j <= len(words)]
+    to = np.maximum(np.searchsorted(upto, upto[:-1] + least_words), np.arange(len(words)) + run).tolist()
+    spans = [(i, j, xxh3_128_digest(b"\n".join(plain[i:j]))) for i, j in enumerate(to) if j <= len(words)]
+    stretches = _stretches(upto, ends, run, least_words) if len(upto) > 1 else []
+    if not stretches:
+        return pieces, spans
+    flat = [w.encode("utf-8", "surrogatepass") for own in words for w in own]
+    window = max(1, (SHARED - 1 - least_words) // 2)
+    found: list[tuple[int, int]] = []
+    for a, b in stretches:
+        at = a + _points(flat[a:b], window)
+        first = np.searchsorted(at, at + least_words)  # the shortest run from every point, and to every point
+        last = np.searchsorted(at, at - least_words, "right") - 1
+        found += {*((int(at[i]), int(at[j])) for i, j in enumerate(first) if j < len(at)),
+                  *((int(at[i]), int(at[j])) for j, i in enumerate(last) if i >= 0)}
+    # split the pieces at the points in use; a point is a word's number
+    starts = [m.start() + base for base, s in zip(np.cumsum([0, *map(len, pieces[:-1])]).tolist(), pieces, strict=True)
+              for m in WORD.finditer(s)]
+    bounds = np.cumsum([0, *map(len, pieces)])
+    every = np.unique(np.concatenate([bounds, [starts[p] for ab in found for p in ab]]).astype(np.int64))
+    number = {p: i for i, p in enumerate(every.tolist())}
+    spans = [(number[int(bounds[i])], number[int(bounds[j])], h) for i, j, h in spans]
+    spans += [(number[starts[i]], number[starts[j]], xxh3_128_digest(b" ".join(flat[i:j]))) for i, j in sorted(found)]
+    return [text[a:b] for a, b in zip(every[:-1].tolist(), every[1:].tolist(), strict=True)], spans
+
+
+def sentences(text: str, run: int = 3, least_words: int = 15) -> list[str]:
+    """Pieces that make up the text: sentences or clauses, split further where runs of them are long."""
+    return _cut(text, run, least_words)[0]
+
+
+def spans_of(text: str, run: int, least_words: int) -> list[tuple[int, int, bytes]]:
+    """(first piece, piece after the last, 16-byte hash) of every span."""
+    return _cut(text, run, least_words)[1]
 
 
 def _spans(docs: DataFrame, run: int, least_words: int) -> DataFrame:
@@ -99,7 +179,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run
         out = []
         for t, own in zip(texts.to_pylist(), cuts.to_pylist(), strict=True):
             if t is not None and own:
-                pieces = sentences(t)
+                pieces = sentences(t, run, least_words)
                 stays = np.ones(len(pieces), bool)
                 for c in own:
                     stays[c["start"]:c["end"]] = False
