@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torqueline.llm import decontaminate, licenses, mixing, pii, quality, secrets, simhash, substrings, toxicity, warc
+from torqueline.llm import conversations, decontaminate, licenses, mixing, pii, quality, secrets, simhash, substrings, toxicity, warc
 from torqueline.llm.base import REGISTRY, query, table
 
-__all__ = ["REGISTRY"]
+__all__ = ["REGISTRY", "conversations"]
 
 
 def spelled(spans: Column) -> Column:
