@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torqueline.llm import conversations, decontaminate, licenses, mixing, pii, quality, secrets, simhash, substrings, toxicity, warc
+from torqueline.llm import conversations, decontaminate, language_model, licenses, mixing, pii, quality, secrets, simhash, substrings, toxicity, warc
 from torqueline.llm.base import REGISTRY, query, table
 
 __all__ = ["REGISTRY", "conversations"]
@@ -210,3 +210,8 @@ def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         head("WARC-Refers-To").alias("refers_to"), head("WARC-Target-URI").alias("target_uri"),
         head("WARC-Source-Payload-Digest").alias("source_digest"), head("WARC-Block-Digest").alias("block_digest"),
         head("Content-Length").cast("long").alias("content_length"), "block")
+
+
+@query("op11_language_model")
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
