@@ -283,7 +283,7 @@ def probabilities(levels: list[np.ndarray], present: list[np.ndarray], sizes: np
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, order: int = 2, mass: float = 5.0,
-                    bits_each: float = 10.0, probes: int = 4, block_bytes: int = 256 << 20, often: float = 1e-5) -> DataFrame:
+                    bits_each: float = 10.0, probes: int = 4, block_bytes: int = 256 << 20, often: float = 2e-6) -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     d = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), held_out(F.col(key), folds).alias("held"))
     train = d.where(~F.col("held")).select("text")
@@ -299,14 +299,10 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
 
     # at most 1 / often words, each of at most LONG_WORD + 1 bytes
     known = vocab.where((F.col("c") >= max(often * train_tokens, 1)) & F.lit(often > 0))
-    common = {bytes(r[0]): r[1] for r in known.toLocalIterator()}
+    common = {bytes(r[0]): round(math.log10(r[1] + 0.1) * 1e12) for r in known.toLocalIterator()}  # logarithms in units of 1e-12
     words = d.sparkSession.sparkContext.broadcast(common)
     block = _broadcast_block(parts, blocks[-1], segments, probes)
 
-    def logs(n: int, c: int) -> int:
-        """log10(c + 0.1), n times, in units of 1e-12."""
-        return n * round(math.log10(c + 0.1) * 1e12)
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = words.value
         for batch in batches:
@@ -315,24 +311,24 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
                 grams = ngrams(tokens, sizes, order)
                 levels = _levels(grams, block.value, batch.column(3), a, b, sizes)
                 scores[a:b] = probabilities(levels, [p for _, p in grams], sizes, train_tokens, distinct, mass)
-            n_tokens, known_, units, rare = [], [], [], []
+            n_tokens, known_, units, ends, others, times = [], [], [], [0], [], []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
                 found, unit, seen = _names(t), 0, 0
-                others = []
                 for w, n in found.items():
-                    c = frequent.get(w)
-                    if c is None:
-                        others.append((w, n))
+                    if (one := frequent.get(w)) is None:
+                        others.append(w)
+                        times.append(n)
                     else:
-                        unit += logs(n, c)
+                        unit += n * one
                         seen += n
                 n_tokens.append(found.total())
                 known_.append(seen)
                 units.append(unit)
-                rare.append(others)
+                ends.append(len(others))
+            rare = pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(known_, pa.int64()), pa.array(units, pa.int64()),
-                pa.array(scores), pa.array([[{"word": w, "n": n} for w, n in x] for x in rare], RARE)],
+                pa.array(scores), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)],
                 names=["id", "held", "n_tokens", "known", "units", "score", "rare"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -353,8 +349,6 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         (units.cast("double") / 1e12 - F.col("n_tokens") * F.lit(math.log10(floor))).alias("base_score"), "score")
 
 
-RARE = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-
 
 def list_of_blocks(parts: DataFrame, segments: int, block_bytes: int) -> list[tuple[int, int]]:
     """Runs of segments whose data are at most ``block_bytes`` together (one segment at least)."""
