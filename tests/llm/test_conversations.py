@@ -75,7 +75,7 @@ def repaired_by_hand(rows):
 
     def grow(shape, initial):
         new = shape + initial
-        if not valid(new):
+        if not initial or not valid(new):
             return None
         return new if len(new) < 5 else new[:1] * (new[0] == "s") + new[-2:] if new[-1] == "a" else new[:1] * (new[0] == "s") + new[-3:]
 
