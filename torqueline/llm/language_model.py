@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -141,10 +141,12 @@ def middle(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (2.0 ** (levels - 1) + 2.0 ** levels - 1) / 2, 0.0)
 
 
-def bits_at(hashes: np.ndarray, level: int, probe: int, bits: np.ndarray) -> np.ndarray:
-    """Place of a probe among ``bits``, by the high half of the product, so that no modulo is needed."""
-    x = mixed(hashes + U(((level << 8) | probe) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    return ((x >> U(32)) * bits.astype(U)) >> U(32)
+def places(hashes: np.ndarray, level: int, bits: np.ndarray, probes: int) -> Iterator[Callable[[slice | np.ndarray], np.ndarray]]:
+    """For each probe, the bits of chosen n-grams at a level; two hashes give all probes, and a product replaces a modulo."""
+    first = mixed(hashes + U(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    step = mixed(first) | U(1)
+    for probe in range(probes):
+        yield lambda which, probe=probe: ((((first[which] + U(probe) * step[which]) >> U(32)) * bits[which]) >> U(32)).astype(np.int64)
 
 
 class Filter:
@@ -162,19 +164,23 @@ class Filter:
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Highest level met from level 1 on without a gap; 0 for n-grams of other blocks."""
+        # each n-gram once, in the order of the segments
+        hashes, back = np.unique(hashes, return_inverse=True)
         found = np.zeros(len(hashes), np.uint8)
         segment = segment_of(hashes, self.segments) - self.first
         here = np.flatnonzero((segment >= 0) & (segment < len(self.bits)))
         here = here[self.bits[segment[here]] > 0]
         level = 1
         while len(here):
-            for probe in range(self.probes):
-                s = segment[here]
-                bit = bits_at(hashes[here], level, probe, self.bits[s]).astype(np.int64) + self.offsets[s]
-                here = here[(self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+            s = segment[here]
+            begins, left = self.offsets[s], np.arange(len(here))
+            for at in places(hashes[here], level, self.bits[s].astype(U), self.probes):
+                bit = at(left) + begins[left]
+                left = left[(self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+            here = here[left]
             found[here] = level
             level += 1
-        return found
+        return found[back]
 
 
 def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
@@ -188,8 +194,8 @@ def built(hashes: np.ndarray, counts: np.ndarray, bits_each: float, probes: int)
     data = np.zeros(bits // 8, np.uint8)
     for level in range(1, int(levels.max()) + 1):
         left = hashes[levels >= level]
-        for probe in range(probes):
-            at = bits_at(left, level, probe, np.array(bits)).astype(np.int64)
+        for place in places(left, level, np.full(len(left), bits, U), probes):
+            at = place(slice(None))
             np.bitwise_or.at(data, at >> 3, (1 << (at & 7)).astype(np.uint8))
     return data.tobytes()
 
