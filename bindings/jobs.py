@@ -221,7 +221,7 @@ def k7_maf(spark, sf):
 SELECT l_orderkey, l_linenumber, count(*) AS rows, true AS in_range FROM lineitem GROUP BY 1, 2""")
 def k8(spark, sf):
     """Every row of the fleet set has a score from 0 to 100."""
-    out = fleet_plan.anomaly_maintenance_need(fleet_plan.prepare_scores(fleet(spark, sf)), LINE_KEY)
+    out = fleet_plan.anomaly_maintenance_need(fleet_plan.prepare_scores(fleet(spark, sf)), LINE_KEY, parts=spark.sparkContext.defaultParallelism)
     return out.groupBy("l_orderkey", "l_linenumber").agg(
         F.count(F.lit(1)).alias("rows"), F.bool_and(F.col("MaintenanceNeed_IF").between(0, 100)).alias("in_range"))
 
@@ -230,7 +230,7 @@ def k8(spark, sf):
 def k9(spark, sf):
     scored = fleet_plan.rule_maintenance_need(fleet(spark, sf))
     features = ["ENGINE_LOAD", "COOLANT_TEMP", "SHORT_FUEL_TRIM_1", "TIMING_ADVANCE", "O2_COMBO"]
-    return fleet_plan.train_maintenance_model(scored, features, LINE_KEY, "MaintenanceNeed", trees=10, rounds=4).metrics
+    return fleet_plan.train_maintenance_model(scored, features, LINE_KEY, "MaintenanceNeed").metrics
 
 
 @query("k10_analyse_driving", f"""
@@ -290,7 +290,7 @@ def k12_report(spark, sf):
 def k12_models(spark, sf):
     t = training.maintenance_features(service_table(spark, sf), datetime(2003, 1, 1))
     features = [c for c in t.columns if c not in ("o_orderkey", "Need_Maintenance", "Odometer")]
-    return training.classifier_comparison(t, features, "Need_Maintenance", ["o_orderkey"], trees=10, rounds=3)
+    return training.classifier_comparison(t, features, "Need_Maintenance", ["o_orderkey"])
 
 
 def truck_files(spark, sf):
@@ -328,7 +328,7 @@ def k13_model(spark, sf):
     readouts, specs, tte = truck_files(spark, sf)
     t = training.truck_table(readouts, specs, tte, most_missing=readouts.count() // 2)
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    importance, correlations = training.truck_component(t, key, trees=10)
+    importance, correlations = training.truck_component(t, key)
     return importance.join(correlations, "column")
 
 

@@ -204,7 +204,7 @@ def s14(spark, sf):
     """A saved and reloaded model predicts what the fitted one does."""
     path = scratch_path(spark, "model")
     rows = fleet(spark, sf).select(*LINE_KEY, "ENGINE_LOAD", "MAF", "COOLANT_TEMP")
-    model = ml.random_forest_regressor(rows, ["ENGINE_LOAD", "MAF"], "COOLANT_TEMP", trees=5, depth=4)
+    model = ml.random_forest_regressor(rows, ["ENGINE_LOAD", "MAF"], "COOLANT_TEMP")
     ml.save_model(model, path)
     both = ml.predict(model, rows).withColumnRenamed("prediction", "before")
     both = ml.predict(ml.load_model(path), both)

@@ -111,13 +111,13 @@ def t6(spark, sf):
     return as_plain(sessions.session_window_stream(table(spark, sf, "events"), "ts", ["user_id"], 21_600))
 
 
-@query("t6_session_window_stream")
+@query("t6_session_window_stream", SESSION_SQL)
 def t6_stream(spark, sf):
-    """Closed sessions only: the last one of each vehicle waits for the watermark."""
+    """All sessions, open ones included, after rows that arrive in mixed order, so that batches split and bridge them."""
     base = scratch_path(spark, "sessions")
-    schema = table(spark, sf, "events").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
-    out = sessions.session_window_stream(rows, "ts", ["user_id"], 21_600)
-    out.writeStream.format("parquet").option("path", f"{base}/out").option(
-        "checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    for part in range(4):
+        e.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    rows = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    sessions.start_session_log(rows, f"{base}/log", f"{base}/checkpoint", "ts", ["user_id"], 21_600, available_now=True).awaitTermination()
+    return as_plain(sessions.read_sessions(spark, f"{base}/log", e.select("user_id").schema, ["user_id"], 21_600))

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import at
 from torqueline.operators.sequence import Thresholds
@@ -97,3 +98,22 @@ def test_session_window_boundary(spark):
     df = spark.createDataFrame([(1, at(0)), (1, at(3600)), (1, at(7201))], "v int, ts timestamp")
     out = sessions.session_window_stream(df, "ts", ["v"], 3600).orderBy("start").collect()
     assert [r["rows"] for r in out] == [2, 1]  # a gap of exactly an hour stays in the session
+
+
+def test_session_log_keeps_open_sessions_and_late_bridges(spark, tmp_path):
+    gap = 600
+    files = [[(1, 0), (1, 300), (2, 0), (1, 5000)], [(1, 2000), (2, 900)], [(1, 900), (1, 1500), (3, 0)], [(2, 1500), (2, 2700)]]
+    rows = [(v, at(s)) for part in files for v, s in part]
+    source = str(tmp_path / "in")
+    for part in files:
+        spark.createDataFrame([(v, at(s)) for v, s in part], "v int, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("v int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    log, kinds = str(tmp_path / "log"), T.StructType([T.StructField("v", T.IntegerType())])
+    sessions.start_session_log(stream, log, str(tmp_path / "checkpoint"), "ts", ["v"], gap, available_now=True).awaitTermination()
+    whole = sessions.session_window_stream(spark.createDataFrame(rows, "v int, ts timestamp"), "ts", ["v"], gap)
+    want = sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, sessions.read_sessions(spark, log, kinds, ["v"], gap).collect())) == want
+    # vehicle 1: the late rows join the first two stretches; the last session of each vehicle is open
+    assert [(r[0], r[3]) for r in want] == [(1, 5), (1, 1), (2, 1), (2, 2), (2, 1), (3, 1)]
+    sessions.compact_sessions(spark, log, str(tmp_path / "short"), kinds, ["v"], gap)
+    assert sorted(map(tuple, sessions.read_sessions(spark, str(tmp_path / "short"), kinds, ["v"], gap).collect())) == want

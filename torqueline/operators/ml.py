@@ -5,19 +5,18 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torqueline.operators.scaling import moments, standardise
-from torqueline.session import spread
+from torqueline.operators import linear
+from torqueline.operators import trees as grown
+from torqueline.operators.linear import LogisticModel
+from torqueline.operators.trees import TreeEnsemble
+from torqueline.sources.sinks import read_json
 
-FEATURES = "__features"
+Model = TreeEnsemble | LogisticModel
 
 
 def train_test_split(df: DataFrame, key: Sequence[str], test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -27,71 +26,61 @@ def train_test_split(df: DataFrame, key: Sequence[str], test_share: float = 0.2,
     return df.filter(draw >= cut), df.filter(draw < cut)
 
 
-def _fit(estimator, train: DataFrame, features: Sequence[str]) -> PipelineModel:
-    assembler = VectorAssembler(inputCols=list(features), outputCol=FEATURES)
-    vectors = assembler.transform(spread(train))
-    return PipelineModel([assembler, estimator.fit(vectors)])
-
-
 def random_forest_classifier(train: DataFrame, features: Sequence[str], label: str, trees: int = 100,
-                             depth: int = 10, seed: int = 42) -> PipelineModel:
-    return _fit(RandomForestClassifier(featuresCol=FEATURES, labelCol=label, numTrees=trees, maxDepth=depth, seed=seed),
-                train, features)
+                             depth: int = 10, seed: int = 42, key: Sequence[str] | None = None) -> TreeEnsemble:
+    """Root of the number of features tried at a node, rows drawn by a hash of ``key`` (default: all columns)."""
+    most = max(1, int(np.sqrt(len(features))))
+    return grown.forest(train, features, label, "share", trees, depth, most, seed=seed, key=key)
 
 
 def boosted_tree_classifier(train: DataFrame, features: Sequence[str], label: str, rounds: int = 100, depth: int = 6,
-                            step: float = 0.3, seed: int = 42) -> PipelineModel:
-    return _fit(GBTClassifier(featuresCol=FEATURES, labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed),
-                train, features)
+                            step: float = 0.3) -> TreeEnsemble:
+    return grown.boosted(train, features, label, "logistic", rounds, depth, step)
 
 
-def logistic_regression(train: DataFrame, features: Sequence[str], label: str, iterations: int = 1000) -> PipelineModel:
-    """L2 with unit strength on the summed loss, hence 1/rows on the mean loss."""
-    rows = max(train.count(), 1)
-    return _fit(LogisticRegression(featuresCol=FEATURES, labelCol=label, maxIter=iterations, regParam=1.0 / rows,
-                                   standardization=False), train, features)
+def logistic_regression(train: DataFrame, features: Sequence[str], label: str, iterations: int = 1000) -> LogisticModel:
+    """L2 with unit strength on the summed loss."""
+    return linear.fit_logistic(train, features, label, 1.0, iterations)
 
 
 def random_forest_regressor(train: DataFrame, features: Sequence[str], target: str, trees: int = 200, depth: int = 10,
-                            seed: int = 42) -> PipelineModel:
-    return _fit(RandomForestRegressor(featuresCol=FEATURES, labelCol=target, numTrees=trees, maxDepth=depth, seed=seed),
-                train, features)
+                            seed: int = 42, key: Sequence[str] | None = None) -> TreeEnsemble:
+    return grown.forest(train, features, target, "value", trees, depth, seed=seed, key=key)
 
 
 def boosted_tree_regressor(train: DataFrame, features: Sequence[str], target: str, rounds: int = 200, depth: int = 6,
-                           step: float = 0.1, seed: int = 42) -> PipelineModel:
-    return _fit(GBTRegressor(featuresCol=FEATURES, labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed),
-                train, features)
+                           step: float = 0.1) -> TreeEnsemble:
+    return grown.boosted(train, features, target, "value", rounds, depth, step)
 
 
 def tte_regressor(train: DataFrame, features: Sequence[str], target: str = "tte", rounds: int = 100, depth: int = 3,
-                  step: float = 0.1, seed: int = 42) -> PipelineModel:
+                  step: float = 0.1) -> TreeEnsemble:
     """Time-to-event by gradient boosting with the usual small trees."""
-    return boosted_tree_regressor(train, features, target, rounds, depth, step, seed)
+    return boosted_tree_regressor(train, features, target, rounds, depth, step)
 
 
-def predict(model: Transformer, df: DataFrame) -> DataFrame:
-    return model.transform(df).drop(FEATURES, "rawPrediction", "probability")
+def predict(model: Model, df: DataFrame) -> DataFrame:
+    return model.transform(df).drop("rawPrediction")
 
 
-def score_auc(model: Transformer, df: DataFrame, label: str) -> float:
+def score_auc(model: Model, df: DataFrame, label: str) -> float:
     """Area under the curve from scores rather than hard labels."""
     return BinaryClassificationEvaluator(labelCol=label).evaluate(model.transform(df))
 
 
-def feature_importance_topk(model: PipelineModel, features: Sequence[str], df: DataFrame, k: int = 15) -> DataFrame:
-    weights = model.stages[-1].featureImportances.toArray()
-    rows = [(c, float(w)) for c, w in zip(features, weights)]
+def feature_importance_topk(model: TreeEnsemble, features: Sequence[str], df: DataFrame, k: int = 15) -> DataFrame:
+    rows = [(c, float(w)) for c, w in zip(features, model.importances())]
     return df.sparkSession.createDataFrame(rows, "column string, importance double").orderBy(
         F.desc("importance"), "column").limit(k)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Model, path: str) -> None:
+    model.save(SparkSession.active(), path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> Model:
+    spark = SparkSession.active()
+    return (LogisticModel if "weights" in read_json(spark, path) else TreeEnsemble).load(spark, path)
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -147,21 +136,10 @@ def compare_models(scored: Mapping[str, DataFrame], label: str, prediction: str
 
 def pca_project(df: DataFrame, cols: Sequence[str], k: int = 2, scaled: bool = True, prefix: str = "PC") -> DataFrame:
     """First ``k`` principal components as columns; signs fixed so the largest loading is positive."""
-    stats = moments(df, cols)
-    if not scaled:
-        stats = {c: (m, 1.0) for c, (m, _) in stats.items()}
-    z = standardise(df, cols, fitted=stats)
-    vectors = VectorAssembler(inputCols=list(cols), outputCol=FEATURES, handleInvalid="skip").transform(
-        z.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    loadings = PCA(k=k, inputCol=FEATURES, outputCol="__pc").fit(vectors).pc.toArray()
+    mean, scale, loadings = linear.principal_components(df, cols, k, scaled)
     out = {}
     for i in range(k):
-        w = loadings[:, i]
-        w = -w if w[abs(w).argmax()] < 0 else w
-        terms = [
-            (F.col(c).cast("double") - F.lit(stats[c][0])) * F.lit(float(w[j]) / (stats[c][1] or 1.0))
-            for j, c in enumerate(cols)
-        ]
+        terms = [(F.col(f"`{c}`").cast("double") - F.lit(float(mean[j]))) * F.lit(float(loadings[j, i] / scale[j])) for j, c in enumerate(cols)]
         out[f"{prefix}{i + 1}"] = reduce(lambda a, b: a + b, terms)
     return df.withColumns(out)
 
@@ -171,15 +149,15 @@ def pca_outlier_flag(df: DataFrame, first: float = 3, second: float = 3, out: st
     return df.withColumn(out, (F.abs("PC1") > first) | (F.abs("PC2") > second))
 
 
-def kmeans_cluster(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42, out: str = "cluster") -> DataFrame:
-    vectors = VectorAssembler(inputCols=list(cols), outputCol=FEATURES).transform(spread(df))
-    model = KMeans(k=k, seed=seed, featuresCol=FEATURES, predictionCol=out).fit(vectors)
-    return model.transform(vectors)
+def kmeans_cluster(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42, out: str = "cluster", rounds: int = 100,
+                   start: Sequence[Sequence[float]] | None = None) -> DataFrame:
+    """Clusters numbered in the order of their centres; ``start`` gives the first centres."""
+    return linear.with_cluster(df, cols, linear.fit_kmeans(df, cols, k, seed, rounds, start=start), out)
 
 
-def silhouette(clustered: DataFrame, cluster: str = "cluster") -> float:
-    """Mean silhouette with squared Euclidean distance, linear in rows."""
-    return ClusteringEvaluator(featuresCol=FEATURES, predictionCol=cluster).evaluate(clustered)
+def silhouette(clustered: DataFrame, cols: Sequence[str], cluster: str = "cluster") -> DataFrame:
+    """Rows and mean silhouette with squared Euclidean distance, linear in rows."""
+    return linear.silhouette(clustered, cols, cluster)
 
 
 def _contingency_levels(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -56,18 +56,27 @@ def conditional_update(df: DataFrame, col: str, where: Column, value) -> DataFra
     return df.withColumn(col, F.when(where, value).otherwise(F.col(col)))
 
 
+def row_hash(names: Sequence[str], seed: int | None = None) -> Column:
+    """60 bits of the MD5 of the columns' text, joined with bars, null as empty; any engine can repeat it."""
+    parts = [F.lit(str(seed))] if seed is not None else []
+    text = F.concat_ws("|", *parts, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all, if fewer) in hash order of ``key``: repeatable under any partitioning.
+    """Exactly ``n`` rows (all, if fewer), those first in hash order of ``key``: repeatable under any partitioning.
 
     A top-n would gather ``n`` rows from every task.  Hash values are spread evenly, so
     rows above a value that about ``2 n`` rows stay below are left out first; the bound
     is raised if chance leaves too few.  ``key`` must be unique for an even sample.
     """
-    draw = F.xxhash64(F.lit(seed), *key)
+    draw = row_hash(key, seed)
     rows = df.count()
-    share = (2 * n + 100) / max(rows, 1)
+    if rows <= n:
+        return df
+    share = (2 * n + 100) / rows
     while share < 1:
-        low = df.filter(draw < F.lit(int(-(2**63) + share * 2**64)))
+        low = df.filter(draw < F.lit(int(share * 2**60)))
         if low.count() >= n:
             return low.orderBy(draw, *key).limit(n)
         share *= 2

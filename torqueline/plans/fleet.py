@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from torqueline.operators.ml import (
 from torqueline.operators.profile import histogram, quantile_table
 from torqueline.operators.rows import drop_rows_missing_over_n, mask_filter
 from torqueline.operators.scaling import add_stress, add_weighted_index, cap_at_quantile
+from torqueline.operators.trees import TreeEnsemble
 from torqueline.schema import FLEET_SIGNALS
 
 # Columns left out before imputation.
@@ -85,14 +85,14 @@ def rule_maintenance_need(df: DataFrame, with_maf: bool = False, prepared: bool
 
 
 def anomaly_maintenance_need(df: DataFrame, key: Sequence[str], features: Sequence[str] = ANOMALY_FEATURES,
-                             trees: int = 200) -> DataFrame:
-    return isolation_forest_score(df, features, key, trees)
+                             trees: int = 200, parts: int | None = None) -> DataFrame:
+    return isolation_forest_score(df, features, key, trees, parts=parts)
 
 
 @dataclass(frozen=True)
 class TrainedScores:
-    forest: PipelineModel
-    boosted: PipelineModel
+    forest: TreeEnsemble
+    boosted: TreeEnsemble
     metrics: DataFrame
 
 

@@ -81,9 +81,9 @@ def cluster_styles(df: DataFrame, features: Sequence[str], ts: str = "timestamp"
     # clustering reads the rows many times: scan and sort them once
     rows = settle(min_max(tl.frame.dropna(subset=list(features)), features), "features")
     clustered = kmeans_cluster(pca_project(rows, features, 2, scaled=False), features, k, seed)
-    near = silhouette(clustered)
+    near = silhouette(clustered, features).first()["silhouette"]
     scores = adjusted_rand_index(clustered, label, "cluster").select(
-        F.lit(float(near)).alias("silhouette"), "ari",
+        F.lit(near).cast("double").alias("silhouette"), "ari",
         normalized_mutual_info(clustered, label, "cluster").scalar().alias("nmi"),
     )
-    return clustered.drop("__features"), scores
+    return clustered, scores

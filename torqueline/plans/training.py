@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from torqueline.operators.columns import drop_columns_null_count, numeric_column
 from torqueline.operators.encode import label_encode, one_hot_drop_first
 from torqueline.operators.joins import inner_equi_join
 from torqueline.operators.ml import (
-    boosted_tree_classifier, compare_models, feature_importance_topk, logistic_regression, predict,
+    Model, boosted_tree_classifier, compare_models, feature_importance_topk, logistic_regression, predict,
     random_forest_classifier, train_test_split,
 )
 from torqueline.operators.profile import chi2_scores, point_biserial
@@ -70,7 +69,7 @@ def feature_report(df: DataFrame, features: Sequence[str], label: str) -> DataFr
 
 
 def train_classifiers(train: DataFrame, features: Sequence[str], label: str, trees: int = 100,
-                      rounds: int = 100) -> dict[str, PipelineModel]:
+                      rounds: int = 100) -> dict[str, Model]:
     return {
         "random_forest": random_forest_classifier(train, features, label, trees),
         "boosted_trees": boosted_tree_classifier(train, features, label, rounds),
