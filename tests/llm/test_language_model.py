@@ -12,6 +12,7 @@ import pytest
 from llm.conftest import EDGE
 
 from torqueline.llm import language_model as lm
+from torqueline.llm import wordbytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -48,9 +49,9 @@ def test_empty_table_and_no_training_rows(spark, empty):
 
 def test_words_are_hashed_alike_wherever_a_stretch_ends(monkeypatch):
     text = "Some Words ünd mehr\twith  gaps\nand verylongwordswithoutanyend x ".encode() * 9
-    whole, ends = lm.word_hashes(np.frombuffer(text, np.uint8))
-    monkeypatch.setattr(lm, "STRETCH", 13)
-    cut, cut_ends = lm.word_hashes(np.frombuffer(text, np.uint8))
+    whole, _, ends = wordbytes.words_of(np.frombuffer(text, np.uint8))
+    monkeypatch.setattr(wordbytes, "STRETCH", 13)
+    cut, _, cut_ends = wordbytes.words_of(np.frombuffer(text, np.uint8))
     assert (whole == cut).all() and (ends == cut_ends).all() and len(whole) == len(text.split())
     assert len(set(whole.tolist())) == len(set(text.lower().split()))
 

@@ -277,22 +277,98 @@ def test_warc_odd_cases(spark):
 
 # substrings
 
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def word_hash(w):
+    x = 0
+    for k, byte in enumerate(w.encode("utf-8", "surrogatepass")):
+        x = (x + ((byte + 32 if 65 <= byte <= 90 else byte) + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64)) % (1 << 64)
+    return mix((x + len(w.encode("utf-8", "surrogatepass"))) % (1 << 64))
+
+
+def mix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % (1 << 64)
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % (1 << 64)
+    return x ^ (x >> 31)
+
+
+def cut_by_hand(t):
+    """Pieces as (text, words), from the rules: sentence and line ends, and least triples of eight where sentences are long."""
+    found = list(WORDS.finditer(t))
+    n = len(found)
+    if not n:
+        return [(t, [])] if t else []
+    ends = [bool(re.search(r"""[.!?]["')\]]{0,2}$""", m[0])) or "\n" in t[m.end():(found[i + 1].start() if i + 1 < n else len(t))] or i == n - 1
+            for i, m in enumerate(found)]
+    h = [word_hash(m[0]) for m in found]
+    triple = [mix(((h[i] * 0x9E3779B97F4A7C15) % (1 << 64)) ^ ((mix(h[i + 1]) * 0xD6E8FEB86659FD93) % (1 << 64)) ^ h[i + 2]) for i in range(n - 2)]
+    points = set()
+    for w in range(-7, n - 2):  # windows may reach over the text's ends
+        inside = [i for i in range(w, w + 8) if 0 <= i < n - 2]
+        if inside:
+            points.add(min(inside, key=lambda i: (triple[i], -i)))
+    opens, begin = [], 0
+    for i in range(n):
+        if ends[i]:
+            opens += [k for k in range(begin, i + 1) if k == begin or (i + 1 - begin >= 9 and k in points)]
+            begin = i + 1
+    places = [0, *[found[k].start() for k in opens[1:]], len(t)]
+    return [(t[a:b], ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in WORDS.findall(t[a:b])]) for a, b in zip(places, places[1:])]
+
+
+def spans_by_hand(pieces, run, least):
+    for a in range(len(pieces)):
+        for b in range(a + run, len(pieces) + 1):
+            words = [w for _, own in pieces[a:b] for w in own]
+            if len(words) >= least:
+                yield a, b, tuple(words)
+                break
+
+
 def removed_by_hand(docs, run, least):
     first = {}
     order = sorted({(d is None, d, t) for d, t in docs if t is not None}, key=lambda r: (r[0], r[1] or 0))
     for _, d, t in order:
-        for a, _, h in substrings.spans_of(t, run, least):
+        for a, _, h in spans_by_hand(cut_by_hand(t), run, least):
             first.setdefault(h, (d, a))
     out = []
     for d, t in docs:
-        cut = set()
-        for a, b, h in substrings.spans_of(t or "", run, least):
+        cut, pieces = set(), cut_by_hand(t or "")
+        for a, b, h in spans_by_hand(pieces, run, least):
             if first[h] != (d, a):
                 cut.update(range(a, b))
-        out.append((d, t if t is None else "".join(p for i, p in enumerate(substrings.sentences(t)) if i not in cut), len(cut)))
+        out.append((d, t if t is None else "".join(p for i, (p, _) in enumerate(pieces) if i not in cut), len(cut)))
     return out
 
 
+def test_pieces_equal_brute_force():
+    rng = random.Random(4)
+    for _ in range(200):
+        t = "".join(rng.choice(["ab", "Cd", "é", "x", "yy", "zq7"]) + rng.choice([" ", " ", " ", ". ", "?\" ", "\n", "  ", ".') ", ", "]) for _ in range(rng.randint(0, 60)))
+        t = rng.choice(["", " ", "\n"]) + t
+        assert substrings.sentences(t) == [p for p, _ in cut_by_hand(t)]
+        got = [(a, b) for a, b, _ in substrings.spans_of(t, 3, 6)]
+        assert got == [(a, b) for a, b, _ in spans_by_hand(cut_by_hand(t), 3, 6)]
+
+
+def test_spans_held_by_many_texts_and_segments(spark, monkeypatch):
+    rng = random.Random(6)
+    shared = " ".join(f"w{i}" for i in range(60)) + "."
+    docs = [(i if i % 7 else None, f"{' '.join(f'q{rng.randint(0, 10**6)}' for _ in range(20))} {shared} {' '.join(f'r{rng.randint(0, 10**6)}' for _ in range(20))}") for i in range(150)]
+    docs += docs[:20]
+    for pack, per in ((1 << 20, 1 << 17), (30, 40)):
+        monkeypatch.setattr(substrings, "PACK", pack)
+        monkeypatch.setattr(substrings, "PER_SEGMENT", per)
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+        got = [tuple(r) for r in substrings.remove_repeats(frame).collect()]
+        known = {t: (t2, n) for (_, t), (_, t2, n) in zip(docs, removed_by_hand(docs, 3, 15))}
+        named = sorted((str(d), x, n) for d, x, n in got)
+        # of null ids, the first is the one with the least print, which only the operator knows
+        want = sorted((str(d), x, n) for d, x, n in removed_by_hand(docs, 3, 15))
+        assert named == want and len(known) == 150
+
+
 def test_repeats_equal_brute_force(spark):
     rng = random.Random(8)
     pool = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 9))) + rng.choice([". ", "! ", ", ", "\n"]) for _ in range(12)]

@@ -31,28 +31,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torqueline.llm.base import with_text_batches
+from torqueline.llm.wordbytes import U, mixed, text_slices, words_of
 from torqueline.session import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
-U = np.uint64
-BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 START_MARK, END_MARK = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
-STRETCH = 1 << 20  # bytes hashed at a time
-SLICE = 1 << 21  # bytes of text whose n-grams are held at a time
 LONG_WORD = 64  # bytes; longer words are named by their digest
 PER_SEGMENT = 1 << 18  # n-grams
 PACK = 1 << 21  # n-grams that a task gathers before it sends them out
-WHITE = np.zeros(256, bool)
-WHITE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[ord("A"):ord("Z") + 1] += 32
 
 
 def held_out(key: Column, folds: int = 10) -> Column:
@@ -60,56 +52,13 @@ def held_out(key: Column, folds: int = 10) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers after which all bits depend on all bits."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words in bytes, A-Z in lower case, and the places behind their last bytes."""
-    hashes, ends, a = [], [], 0
-    while a < len(data):
-        b = min(a + STRETCH, len(data))
-        if b < len(data):  # end at white space; a word longer than the stretch is taken whole
-            gaps = np.flatnonzero(WHITE[data[a:b]])
-            if len(gaps):
-                b = a + int(gaps[-1]) + 1
-            else:
-                while b < len(data) and not WHITE[data[b]]:
-                    b += 1
-        part = LOWER[data[a:b]]
-        inside = np.concatenate([[False], ~WHITE[part], [False]])
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        first, last = edges[::2], edges[1::2]
-        # a polynomial of the bytes, from prefix sums; BASE is odd, so its powers can be divided by
-        powers = np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(part), U(BASE))]))
-        sums = np.concatenate([[U(0)], np.cumsum((part.astype(U) + U(1)) * powers[:-1], dtype=U)])
-        unshift = np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(part), U(BASE_INVERSE))]))
-        hashes.append(mixed((sums[last] - sums[first]) * unshift[first] + (last - first).astype(U)))
-        ends.append(last + a)
-        a = b
-    if not hashes:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(ends)
-
-
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, tokens, sizes): runs of texts of about SLICE bytes, a longer text alone.
+    """(from, to, tokens, sizes): runs of texts of bounded size, a longer text alone.
 
     ``tokens`` are the texts' word hashes, each text between a start and an end mark; ``sizes`` count the marks.
     """
-    if not len(texts):
-        return
-    texts = texts.cast(pa.large_binary())
-    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    run = (np.cumsum(lengths) - lengths) // SLICE
-    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        data = b"\n".join(t or b"" for t in texts.slice(a, b - a).to_pylist())
-        hashes, ends = word_hashes(np.frombuffer(data, np.uint8))
-        behind = np.cumsum(lengths[a:b] + 1)
+    for a, b, data, behind in text_slices(texts):
+        hashes, _, ends = words_of(data)
         upto = np.searchsorted(ends, behind, side="left")
         counts = np.diff(np.concatenate([[0], upto]))
         sizes = counts + 2
