@@ -12,19 +12,20 @@ with or without gzip by their Content-Length, a file at a time, so files should
 Defined results: records that are not responses give no derivatives.  A null or empty block has no HTTP head, no
 links and an empty text.  Missing headers stay missing.  Page text is read whole in one linear pass: an unclosed
 comment, script or style runs to the end of the page, and bytes outside the charset become U+FFFD.
-Repeated rows give repeated records with equal ids.  An empty table gives an empty result.
+Chunked framing, gzip and deflate are taken off, as far as they are whole; a charset that does not exist or cannot read
+the body is read as UTF-8.  Repeated rows give repeated records with equal ids.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import json
 import re
 import sys
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -102,8 +103,56 @@ def split_http(block: bytes) -> tuple[str, list[list[str]], bytes]:
     return status, [[p.strip() for p in x.split(":", 1)] for x in lines if ":" in x], body
 
 
+def unchunked(body: bytes) -> bytes:
+    """A body in chunk framing without it; a broken frame ends it, and what is not framed at all stays as it is."""
+    out, at, framed = [], 0, False
+    while (end := body.find(b"\r\n", at)) >= 0:
+        digits = body[at:end].split(b";")[0].strip()
+        if not digits or not set(digits) <= set(b"0123456789abcdefABCDEF") or len(digits) > 15:
+            break
+        size, framed = int(digits, 16), True
+        out.append(body[end + 2:end + 2 + size])
+        at = end + 2 + size + 2
+        if not size:
+            break
+    return b"".join(out) if framed else body
+
+
+def inflated(data: bytes, raw: bool = False) -> bytes:
+    """What gzip or deflate data give before they end or break, member by member; other data stay as they are."""
+    out, rest = [], data
+    while rest and (not out or rest[:2] == b"\x1f\x8b"):
+        member, got = zlib.decompressobj(-15 if raw else 47), []
+        try:
+            for a in range(0, len(rest), 1 << 16):
+                got.append(member.decompress(rest[a:a + (1 << 16)]))
+                if member.eof:
+                    break
+        except zlib.error:
+            out += got
+            if not any(out):
+                return data if raw else inflated(data, True) if data[:2] != b"\x1f\x8b" else b""
+            break
+        out += got
+        if not member.eof:
+            break
+        rest = member.unused_data + rest[a + (1 << 16):]
+    return b"".join(out)
+
+
+def payload(http: list[list[str]], body: bytes) -> bytes:
+    """The body without its transfer and content encodings, as far as they are known."""
+    fields = {k.lower(): v.lower() for k, v in http}
+    if "chunked" in fields.get("transfer-encoding", ""):
+        body = unchunked(body)
+    if any(x in fields.get("content-encoding", "") for x in ("gzip", "deflate")):
+        body = inflated(body)
+    return body
+
+
 def _record(kind: str, source: dict[str, str], content_type: str, block: str) -> dict:
-    raw, refers = block.encode("utf-8", "replace"), source.get("WARC-Record-ID")
+    raw, source = block.encode("utf-8", "replace"), _Fields(source)
+    refers = source.get("WARC-Record-ID")
     headers = {
         "WARC-Type": kind,
         "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers or source}#{kind}')}>",
@@ -114,18 +163,26 @@ def _record(kind: str, source: dict[str, str], content_type: str, block: str) ->
     return {"headers": [(k, v) for k, v in headers.items() if v is not None], "block": raw.decode("utf-8")}
 
 
+class _Fields(dict):
+    """Header fields, whose names have no case."""
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return super().get(name) or next((v for k, v in self.items() if k.lower() == name.lower()), default)
+
+
 def derivatives(headers: dict[str, str], block: bytes) -> list[dict]:
     """The derivative records of one record."""
-    if headers.get("WARC-Type") != "response":
+    if (_Fields(headers).get("WARC-Type") or "").lower() != "response":
         return []
     status, http, body = split_http(block)
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
+    named, kind = CHARSET.search(kind), kind.lower()
     is_html, is_text = "html" in kind or not kind, kind.startswith("text/") or not kind
-    named = CHARSET.search(kind)
+    said = payload(http, body) if is_html or is_text else b""
     try:
-        page = body.decode(named[1] if named else "utf-8", "replace") if is_html or is_text else ""
-    except LookupError:
-        page = body.decode("utf-8", "replace")
+        page = said.decode(named[1] if named else "utf-8", "replace")
+    except (LookupError, UnicodeError, ValueError):  # names of no charset, or of one that cannot read it
+        page = said.decode("utf-8", "replace")
     text, title, links = page_text(page) if is_html else (page, "", [])
     facts = {"warc": headers, "status": status, "http": http, "payload-length": len(body), "title": title, "links": links}
     out = [_record("metadata", headers, "application/json", json.dumps(facts, ensure_ascii=False))]
@@ -180,15 +237,24 @@ def write_records(records: DataFrame, path: str, compression: str = "gzip", head
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of every record of a file; a broken tail ends it."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    """(headers, block) of every record of a file.
+
+    A broken tail, also of compressed files, ends it; a record without a usable length is left out; fields that are
+    repeated are joined with a comma.
+    """
+    data = inflated(data) if data[:2] == b"\x1f\x8b" else data
     at = 0
     while (head := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", head)) >= 0:
-        lines = data[head:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = dict([p.strip() for p in x.split(":", 1)] for x in lines if ":" in x)
-        size = int(headers.get("Content-Length", 0))
-        yield headers, data[end + 4:end + 4 + size]
-        at = end + 4 + size
+        headers: dict[str, str] = {}
+        for line in data[head:end].decode("utf-8", "replace").split("\r\n")[1:]:
+            if ":" in line:
+                name, value = (p.strip() for p in line.split(":", 1))
+                headers[name] = f"{headers[name]}, {value}" if name in headers else value
+        size = _Fields(headers).get("Content-Length", "0")
+        at = end + 4
+        if size.isascii() and size.isdigit():
+            yield headers, data[at:at + int(size)]
+            at += int(size)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
