@@ -61,6 +61,7 @@ PROVIDERS = (
 )
 FEW_LANES = 48
 STEPS = 256
+LONG_TRAIL = 64
 
 
 class Scanner:
@@ -144,15 +145,25 @@ class Scanner:
     def _of_rule(self, n: int, text: bytes, i: int, to: int) -> tuple[list[tuple[int, int, int]], int]:
         """Spans of a rule that begin from ``i`` before ``to``, and where the next may begin."""
         rows, accepting, dead = self._each_rows[n]
-        out = []
+        out, first = [], i
+        # by place, the state in which a run met no accept any more; a later run that comes to it ends there, so long
+        # runs that share their tail cost it once
+        failed: list[int] | None = None
         while i < to:
-            s, end = 0, 0
-            for j in range(i, len(text)):
+            s, end, mark, trail, j = 0, 0, i, [], i
+            while j < len(text):
                 s = rows[s][text[j]]
-                if s == dead:
+                if s == dead or failed and failed[j - first] == s:
                     break
+                j += 1
                 if accepting[s]:
-                    end = j + 1
+                    end = mark = j
+                    trail = []
+                else:
+                    trail.append(s)
+            if len(trail) > LONG_TRAIL:
+                failed = failed or [-1] * (len(text) - first)
+                failed[mark - first:mark - first + len(trail)] = trail
             if end:
                 m = self._tests[n].fullmatch(text[i:end].decode("ascii"))
                 if m and len(m[self.rules[n].group]) >= self.rules[n].least:
