@@ -8,11 +8,11 @@ from pathlib import Path
 
 import pytest
 from llm.test_native import hits_of
-from llm.test_scans import classes_by_hand, simhash_by_hand
+from llm.test_scans import base_by_regex
+from llm.test_similar import kept_by_hand
 from oracle import compare, connect
 
 import corpus_pipeline
-from torqueline.llm import pii
 from torqueline.llm.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
@@ -54,8 +54,8 @@ def test_quality_stage(results):
 
 def test_near_dedup_stage(results):
     docs = sorted(results["quality_rules"].items())
-    best = classes_by_hand([(k, simhash_by_hand(r.text)) for k, r in docs])
-    assert results["near_dedup"] == {k: r for (k, r), c in zip(docs, best, strict=True) if k == c}
+    kept = set(kept_by_hand([(k, r.text) for k, r in docs]))
+    assert results["near_dedup"] == {k: r for k, r in docs if k in kept}
 
 
 def test_decontamination_stage(spark, results):
@@ -65,12 +65,24 @@ def test_decontamination_stage(spark, results):
 
 def test_redaction_stage(results):
     assert set(results["redacted"]) == set(results["decontaminated"])
+    changed = 0
     for k, r in results["decontaminated"].items():
         new = results["redacted"][k]
-        assert new.n_chars == len(new.text) and pii.base_spans(new.text)[0] == [] and new.source == r.source
-        base = [(pii.KINDS[n], a, b) for n, a, b in pii.base_spans(r.text)[0]]
-        if not pii.MAYBE.search(r.text) or not pii.candidates(r.text):
-            assert new.text == pii.redact_text(r.text, base)
+        base = base_by_regex(r.text)
+        assert new.n_chars == len(new.text) and base_by_regex(new.text) == [] and new.source == r.source
+        # between the base spans the text stays, but for spans that the trees add, which hold digits or an @
+        parts, free = [], 0
+        for _, a, b in base:
+            parts.append(r.text[free:max(a, free)])
+            free = max(free, b)
+        kept = [w for part in [*parts, r.text[free:]] for w in re.split(r"\S*[0-9@]\S*", part)]
+        at = 0
+        for part in kept:
+            assert (at := new.text.find(part.strip(), at)) >= 0
+        changed += bool(base)
+        if not re.search(r"[0-9@]", r.text):
+            assert new.text == r.text
+    assert changed > 3
 
 
 def test_mixing_stage(results):

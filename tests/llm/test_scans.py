@@ -70,6 +70,11 @@ def test_secrets_odd_cases(edge, empty):
 
 # personal data
 
+def luhn_by_hand(digits):
+    doubled = [int(d) * (1 + n % 2) for n, d in enumerate(reversed(digits))]
+    return sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
+
+
 def base_by_regex(t):
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",
                 r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -77,7 +82,7 @@ def base_by_regex(t):
     for k, p in enumerate(patterns):
         for m in re.finditer(p, t):
             d = re.sub("[^0-9]", "", m[0])
-            ok = (True, k == 1 and all(int(x) <= 255 for x in m[0].split(".")), 14 <= len(d) <= 19 and pii.luhn(d), 10 <= len(d) <= 15)[k]
+            ok = (True, k == 1 and all(int(x) <= 255 for x in m[0].split(".")), 14 <= len(d) <= 19 and luhn_by_hand(d), 10 <= len(d) <= 15)[k]
             out += [(k, *m.span())] if ok else []
     return sorted(out, key=lambda s: (s[1], s[0]))
 
