@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.base import DRIVE_LOG, EVENTS, drive_log, events, query, table
+from bindings.base import DRIVE_LOG, EVENTS, drive_log, events, query, rounded, table
 from bindings.sequences import LIMITS, STYLES
+from torqueline.plans import keyed
 from torqueline.session import scratch_path
 from torqueline.sources import messages
 from torqueline.streaming import driving, ingest, sessions
@@ -69,6 +70,35 @@ def t3(spark, sf):
     return out.groupBy(name.alias("session")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+SIGNALS = ["SPEED", "RPM", "THROTTLE_POS"]
+
+
+def keyed_sql() -> str:
+    """Session cleaning of every vehicle on its own; a column that a vehicle loses is null."""
+    live = " + ".join(f"live_{c}::INT" for c in SIGNALS)
+    lacking = " + ".join(f"(live_{c} AND {c} IS NULL)::INT" for c in SIGNALS)
+    return f"""
+WITH {EVENTS}, {DRIVE_LOG},
+a AS (SELECT user_id, ts, {", ".join(SIGNALS)}, {", ".join(f"min({c}) OVER w < max({c}) OVER w AS live_{c}" for c in SIGNALS)} FROM log WINDOW w AS (PARTITION BY user_id)),
+b AS (SELECT DISTINCT user_id, ts, {", ".join(f"CASE WHEN live_{c} THEN {c} END AS {c}, live_{c}" for c in SIGNALS)} FROM a),
+c AS (SELECT user_id, ts, {", ".join(f"CASE WHEN {c} NOT IN (-22, -40, 255) THEN {c} END AS {c}, live_{c}" for c in SIGNALS)} FROM b),
+d AS (SELECT * FROM c WHERE {lacking} <= floor(0.8 * ({live}))),
+e AS (SELECT user_id, ts, {", ".join(f"{c}, live_{c} AND count({c}) OVER w >= 0.2 * count(*) OVER w AS live_{c}" for c in SIGNALS)} FROM d WINDOW w AS (PARTITION BY user_id)),
+f AS (SELECT user_id, ts, {", ".join(f"CASE WHEN live_{c} THEN {c} END AS {c}" for c in SIGNALS)} FROM e),
+g AS (SELECT user_id, ts, SPEED, CASE WHEN RPM BETWEEN 100 AND 6000 THEN RPM END AS RPM, THROTTLE_POS FROM f
+  WHERE {" + ".join(f"({c} IS NOT NULL)::INT" for c in SIGNALS)} >= 2),
+h AS (SELECT user_id, {", ".join(f"median({c}) AS m_{c}, min({c}) AS a_{c}, max({c}) AS b_{c}" for c in SIGNALS)} FROM g GROUP BY user_id)
+SELECT user_id, ts, {", ".join(f"round(CASE WHEN a_{c} = b_{c} THEN 0 ELSE (coalesce({c}, m_{c}) - a_{c}) / (b_{c} - a_{c}) END, 6) AS {c}" for c in SIGNALS)}
+FROM g JOIN h USING (user_id)"""
+
+
+@query("t3_clean_all_sessions", keyed_sql())
+def t3_all(spark, sf):
+    """The log of every vehicle cleaned on its own, all in one go."""
+    out = keyed.clean_sessions(drive_log(spark, sf).select("user_id", "ts", *SIGNALS), "user_id", "ts", ("ts",))
+    return rounded(out.select("user_id", "ts", *SIGNALS), 6)
+
+
 @query("t4_session_status", """
 SELECT DISTINCT '2024-01-01T' || event_type AS session, CASE WHEN event_type = 'error' THEN 'started' ELSE 'done' END AS status
 FROM events WHERE event_type <> 'view'""")

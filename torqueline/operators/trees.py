@@ -37,6 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 BLOCK = 1 << 16  # rows; a float holds the sums of so many rounded gradients exactly
 CELLS = 1 << 21  # histogram cells of a job
+DRIVER_CELLS = 1 << 21  # cells of all tasks together that the driver adds up itself, about 50 MB
 MISSING = 255  # bin
 CUT_ROWS = 100_000  # rows that cut points come from
 REFRESH = 10  # rounds after which margins are written
@@ -217,11 +218,13 @@ def chosen_features(tree: int, node: int, width: int, most: int, seed: int) -> n
     return np.sort(np.argsort(draws, kind="stable")[:most])
 
 
-def histograms(blocks: DataFrame, gradients: Callable, active: list[tuple[int, np.ndarray, np.ndarray]], grown: list[tuple], levels: int,
-               width: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
+def histograms(blocks: DataFrame, parts: int, gradients: Callable, active: list[tuple[int, np.ndarray, np.ndarray]], grown: list[tuple],
+               levels: int, width: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums of gradients and Hessians, shape (active nodes, features of a node, bins + missing).
 
     ``active`` has (tree, nodes, features of each node) per tree, ``grown`` each tree's feature, cut bin and missing side.
+    The sums of ``parts`` tasks are added by the driver if all of them together are small, and else in a shuffle;
+    they are integers, so it makes no difference to the result.
     """
     per_node = active[0][2].shape[1] if active else width
     span = bins + 1
@@ -255,12 +258,16 @@ def histograms(blocks: DataFrame, gradients: Callable, active: list[tuple[int, n
         full = np.flatnonzero(h_sum)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(g_sum[full]), pa.array(h_sum[full])], names=["cell", "g", "h"])
 
-    found = blocks.mapInArrow(sums, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-    shape = (int(offsets[-1]), per_node, span)
-    g, h = np.zeros(cells), np.zeros(cells)
+    found = blocks.mapInArrow(sums, "cell long, g long, h long")
+    if parts * cells > DRIVER_CELLS:
+        found = found.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    found = found.toArrow()
+    g, h = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
     at = found.column("cell").to_numpy()
-    g[at], h[at] = found.column("g").to_numpy(), found.column("h").to_numpy()
-    return g.reshape(shape), h.reshape(shape)
+    np.add.at(g, at, found.column("g").to_numpy())
+    np.add.at(h, at, found.column("h").to_numpy())
+    shape = (int(offsets[-1]), per_node, span)
+    return g.astype(float).reshape(shape), h.astype(float).reshape(shape)
 
 
 def best_splits(g: np.ndarray, h: np.ndarray, penalty: float, least: float) -> dict[str, np.ndarray]:
@@ -296,7 +303,7 @@ def _empty(trees: int, depth: int) -> dict[str, np.ndarray]:
             "g": np.zeros(shape), "h": np.zeros(shape), "gain": np.zeros(shape)}
 
 
-def _grow(blocks: DataFrame, gradients: Callable, trees: Sequence[int], depth: int, width: int, bins: int, penalty: float, least: float,
+def _grow(blocks: DataFrame, parts: int, gradients: Callable, trees: Sequence[int], depth: int, width: int, bins: int, penalty: float, least: float,
           most: int, seed: int, slight: float) -> dict[str, np.ndarray]:
     """Grow trees level by level; the sums of each node's rows are left in g and h."""
     out = _empty(len(trees), depth)
@@ -316,7 +323,7 @@ def _grow(blocks: DataFrame, gradients: Callable, trees: Sequence[int], depth: i
         for group in filter(None, groups):
             active = [(trees[k], open_nodes[k], np.array([chosen_features(trees[k], int(n), width, most, seed) for n in open_nodes[k]])) for k in group]
             grown = [(out["feature"][k], out["cut_bin"][k], out["left"][k]) for k in group]
-            g, h = histograms(blocks, gradients, active, grown, level, width, bins)
+            g, h = histograms(blocks, parts, gradients, active, grown, level, width, bins)
             best = best_splits(g, h, penalty, least)
             row = 0
             for k, (_, nodes, features) in zip(group, active, strict=True):
@@ -404,7 +411,8 @@ def boosted(df: DataFrame, cols: Sequence[str], target: str, link: str, rounds:
         # gradients as integers: a block's sums stay exact in floats, the whole table's in 64 bits
         unit = 2.0 ** min(30, 61 - n.bit_length()) / (1.0 if link == "logistic" else max(2 * (hi - lo), 1e-300))
         h_unit = 2.0 ** min(30, 61 - n.bit_length()) if link == "logistic" else 1.0
-        now = _with_margins(blocks, [], depth, width, base, True)
+        now = _with_margins(blocks, [], depth, width, base, True).persist()
+        parts = now.rdd.getNumPartitions()
         recent: list[dict] = []
         done: list[dict] = []
         for r in range(rounds):
@@ -420,15 +428,17 @@ def boosted(df: DataFrame, cols: Sequence[str], target: str, link: str, rounds:
                 return lambda tree: (None, g, h)
 
             ratio = unit / h_unit
-            grown = _grow(now, gradients, [r], depth, width, bins, penalty * h_unit, least * h_unit, width, 0, 1e-12 * ratio * ratio)
+            grown = _grow(now, parts, gradients, [r], depth, width, bins, penalty * h_unit, least * h_unit, width, 0, 1e-12 * ratio * ratio)
             value = -(grown["g"] / unit) / (grown["h"] / h_unit + penalty) * step
             tree = {"feature": grown["feature"][0], "cut_bin": grown["cut_bin"][0], "left": grown["left"][0], "value": value[0],
                     "cut": _cuts_of(grown, cuts)[0], "gain": grown["gain"][0] * h_unit / unit**2}
             recent.append(tree)
             done.append(tree)
             if (r + 1) % REFRESH == 0 and r + 1 < rounds:
-                now = _with_margins(now, recent, depth, width, base, False)
-                recent = []
+                before, now = now, _with_margins(now, recent, depth, width, base, False).persist()
+                before.unpersist()
+                parts, recent = now.rdd.getNumPartitions(), []
+        now.unpersist()
     stack = lambda name: np.stack([t[name] for t in done])
     return TreeEnsemble(tuple(cols), link, base, False, stack("feature"), stack("cut"), stack("left"), stack("value"), stack("gain"))
 
@@ -460,6 +470,8 @@ def forest(df: DataFrame, cols: Sequence[str], target: str, link: str, trees: in
 
             return of
 
-        grown = _grow(blocks, gradients, range(trees), depth, width, bins, 0.0, least, most or width, seed, 1e-9)
+        blocks = blocks.persist()
+        grown = _grow(blocks, blocks.rdd.getNumPartitions(), gradients, range(trees), depth, width, bins, 0.0, least, most or width, seed, 1e-9)
+        blocks.unpersist()
     value = mean - np.divide(grown["g"], grown["h"], out=np.zeros_like(grown["g"]), where=grown["h"] > 0) / unit
     return TreeEnsemble(tuple(cols), link, 0.0, True, grown["feature"], _cuts_of(grown, cuts), grown["left"], value, grown["gain"] / unit**2)

@@ -19,14 +19,17 @@ RAW_STORE = T.StructType([
 ])
 
 
-def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Header, no index, quotes doubled, blanks kept.  Text form of a timestamp keeps its microseconds."""
+def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), only_parts: bool = False) -> None:
+    """Header, no index, quotes doubled, blanks kept.  Text form of a timestamp keeps its microseconds.
+
+    With ``only_parts`` the partitions that ``df`` has rows for are replaced and others stay.
+    """
     writer = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option(
         "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").option(
         "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic" if only_parts else "static")
     writer.csv(path)
 
 

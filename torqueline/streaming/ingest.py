@@ -2,6 +2,9 @@
 
 Each micro-batch writes its rows and status changes into a folder of its own number, so
 a batch that is run again after a failure replaces what it wrote the first time.
+
+Cleaning takes one session or file after the other with ``process``, or with ``process_all`` all that a
+micro-batch closes or brings in one job, written once, partitioned by session or file.
 """
 
 from __future__ import annotations
@@ -50,15 +53,26 @@ def session_frame(store: DataFrame, session: str | None = None) -> DataFrame:
     return map_to_columns(rows.select(parse_timestamp("timestamp").alias("timestamp"), "driving_style", "data"))
 
 
+def sessions_frame(store: DataFrame) -> DataFrame:
+    """Wide, typed rows of all sessions of the store, with their session."""
+    return map_to_columns(store.select("session", parse_timestamp("timestamp").alias("timestamp"), "driving_style", "data"))
+
+
+def write_parts(df: DataFrame, path: str, key: str) -> None:
+    """Write CSV by ``key``; what was written for the same keys before is replaced, all else stays."""
+    write_csv(df, path, [key], only_parts=True)
+
+
 def start_ingest(
     spark: SparkSession, in_dir: str, raw_dir: str, status_dir: str, checkpoint: str, cleaned_dir: str | None = None,
     all_history: bool = False, files_per_trigger: int | None = 100, available_now: bool = False,
-    process: Callable[[DataFrame], DataFrame] = clean_session,
+    process: Callable[[DataFrame], DataFrame] = clean_session, process_all: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Watch ``in_dir`` for message files: store rows, track sessions, clean each closed one.
 
     With ``all_history`` an end message cleans the whole store, as the service this
-    follows does; otherwise only the session it closes.
+    follows does; otherwise only the session it closes.  ``process_all`` (rows, key) replaces both: it cleans all
+    closed sessions at once, each on its own, as :func:`~torqueline.plans.keyed.clean_sessions` does.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
@@ -68,8 +82,12 @@ def start_ingest(
             raw_rows(batch).write.mode("overwrite").parquet(f"{raw_dir}/batch={number}")
             changes = status_rows(control, number)
             changes.write.mode("overwrite").parquet(f"{status_dir}/batch={number}/part=control")
-            closed = [r["session"] for r in control.filter("status = 'end'").select("session").distinct().collect()]
-            if cleaned_dir is not None:
+            if cleaned_dir is not None and process_all is not None:
+                ended = control.filter("status = 'end'").select("session").distinct()
+                rows = spark.read.schema(RAW_STORE).parquet(raw_dir).join(ended, "session", "left_semi")
+                write_parts(process_all(sessions_frame(rows), "session"), cleaned_dir, "session")
+            closed = [] if process_all is not None else [r["session"] for r in control.filter("status = 'end'").select("session").distinct().collect()]
+            if cleaned_dir is not None and closed:
                 store = spark.read.schema(RAW_STORE).parquet(raw_dir)
                 for session in closed:
                     rows = session_frame(store, None if all_history else session)
@@ -101,12 +119,13 @@ def pipeline_status(changes: DataFrame, removed: DataFrame | None = None) -> Dat
 def start_csv_drop(
     spark: SparkSession, in_dir: str, cleaned_dir: str, status_dir: str, checkpoint: str,
     files_per_trigger: int | None = 100, available_now: bool = False,
-    process: Callable[[DataFrame], DataFrame] = clean_session,
+    process: Callable[[DataFrame], DataFrame] = clean_session, process_all: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Clean every CSV that arrives on its own and record it as an event.
 
     The stream only announces files (their content is read by header group, as columns
-    differ from file to file).
+    differ from file to file).  With ``process_all`` (rows, key) the files of a micro-batch, of which
+    ``files_per_trigger`` bounds the number, are cleaned by one job.
     """
     reader = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.csv").schema(
         "path string, modificationTime timestamp, length long, content binary")
@@ -115,6 +134,19 @@ def start_csv_drop(
     arrivals = reader.load(in_dir).select("path", "modificationTime")
 
     def handle(batch: DataFrame, number: int) -> None:
+        if process_all is not None:
+            paths = [r["path"] for r in batch.select("path").collect()]
+            if paths:
+                logs = read_logs(spark, paths).drop("source_block", "row_no")
+                write_parts(process_all(logs, "source_file"), cleaned_dir, "source_file")
+            name = F.element_at(F.split("path", "/"), -1)
+            steps = F.array(*[F.struct(F.lit(n).alias("step"), F.lit(x).alias("status")) for n, x in enumerate(("started", "processed", "done"))])
+            zero = F.lit(0).cast("long")
+            events = batch.select("modificationTime", name.alias("session"), F.explode(steps).alias("s")).select(
+                "session", "s.status", F.lit(number).cast("long").alias("batch"),
+                F.struct(F.col("modificationTime").alias("at"), F.col("session").alias("file"), zero.alias("block"), zero.alias("line")).alias("seq"), "s.step")
+            events.write.mode("overwrite").parquet(f"{status_dir}/batch={number}/part=files")
+            return
         events = []
         for row in batch.orderBy("modificationTime", "path").collect():
             name = row["path"].rsplit("/", 1)[-1]
