@@ -35,13 +35,14 @@ from torqueline.sources.sinks import read_json, write_json
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
-BLOCK = 1 << 16  # rows; a float holds the sums of so many rounded gradients exactly
+BLOCK = 1 << 13  # rows; a float holds the sums of so many rounded gradients exactly
 CELLS = 1 << 21  # histogram cells of a job
 DRIVER_CELLS = 1 << 21  # cells of all tasks together that the driver adds up itself, about 50 MB
 MISSING = 255  # bin
 CUT_ROWS = 100_000  # rows that cut points come from
 REFRESH = 10  # rounds after which margins are written
 U = np.uint64
+SUMS = T.StructType([T.StructField(c, T.LongType()) for c in ("cell", "g", "h")])
 
 
 @dataclass(frozen=True)
@@ -125,7 +126,7 @@ class TreeEnsemble:
 
 
 def cut_points(df: DataFrame, cols: Sequence[str], bins: int, key: Sequence[str], rows: int = CUT_ROWS) -> list[np.ndarray]:
-    """Distinct finite quantiles of each column, over at most ``rows`` rows chosen by their hash.
+    """Distinct quantiles of the finite values of each column, over at most ``rows`` rows chosen by their hash.
 
     A value belongs to the bin of the first cut not below it.
     """
@@ -134,9 +135,9 @@ def cut_points(df: DataFrame, cols: Sequence[str], bins: int, key: Sequence[str]
     shares, out = np.arange(1, bins) / bins, []
     for i in range(len(cols)):
         x = drawn.column(i).to_numpy().astype(float)
-        x = x[~np.isnan(x)]
+        x = x[np.isfinite(x)]
         at = np.quantile(x, shares) if len(x) else np.zeros(0)
-        out.append(np.unique(at[np.isfinite(at)]))
+        out.append(np.unique(at))
     return out
 
 
@@ -173,7 +174,9 @@ def packed(df: DataFrame, cols: Sequence[str], target: str, cuts: list[np.ndarra
         if held:
             yield block()
 
-    return settle(rows.mapInArrow(pack, "n int, bins binary, y binary, hash binary"), "packed")
+    blocks, tasks = rows.mapInArrow(pack, "n int, bins binary, y binary, hash binary"), df.sparkSession.sparkContext.defaultParallelism
+    # a table in few files has few tasks; its blocks are small enough to deal out
+    return settle(blocks.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else blocks, "packed")
 
 
 def _unpacked(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -258,7 +261,7 @@ def histograms(blocks: DataFrame, parts: int, gradients: Callable, active: list[
         full = np.flatnonzero(h_sum)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(g_sum[full]), pa.array(h_sum[full])], names=["cell", "g", "h"])
 
-    found = blocks.mapInArrow(sums, "cell long, g long, h long")
+    found = blocks.mapInArrow(sums, SUMS)
     if parts * cells > DRIVER_CELLS:
         found = found.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     found = found.toArrow()
