@@ -301,18 +301,18 @@ walk AS (
   SELECT {", ".join(WHOLE_KEY)}, {_X}, tree, 2 * node + CASE WHEN coalesce({_VALUE} > cut, false) THEN 2 ELSE 1 END, walk.level + 1
   FROM walk JOIN (SELECT tree, node, feature, cut FROM nodes WHERE feature IS NOT NULL) USING (tree, node)),
 ends AS (
-  SELECT {", ".join(WHOLE_KEY)}, tree, walk.level + coalesce({path_sql('n')}, 0) AS steps
+  SELECT {", ".join(WHOLE_KEY)}, {_X}, tree, walk.level + coalesce({path_sql('n')}, 0) AS steps
   FROM walk LEFT JOIN (SELECT tree, node, n, feature FROM nodes) USING (tree, node) WHERE feature IS NULL),
 s AS (
-  SELECT {", ".join(WHOLE_KEY)}, pow(2, -avg(steps) / ({path_sql(str(DRAWN))})) AS score FROM ends GROUP BY ALL)
+  SELECT {", ".join(WHOLE_KEY)}, {_X}, pow(2, -avg(steps) / ({path_sql(str(DRAWN))})) AS score FROM ends GROUP BY ALL)
 SELECT {", ".join(WHOLE_KEY)}, round(score, 6) AS score, CASE WHEN score > (SELECT quantile_cont(score, 0.9) FROM s) + 1e-9 THEN -1 ELSE 1 END AS anomaly
 FROM s""")
 def m9_replayed(spark, sf):
     """Scores and flags of every row from a forest that SQL can grow as well."""
     f = fleet(spark, sf).select(*WHOLE_KEY, *ISOLATED)
     model = IsolationForest(ISOLATED, WHOLE_KEY, trees=FEW, sample=DRAWN, seed=SEED).fit(f)
-    scored = model.score(f, "score")
-    return model.flag(scored.dropDuplicates(WHOLE_KEY), scored.dropDuplicates(WHOLE_KEY), 0.1).select(*WHOLE_KEY, F.round("score", 6).alias("score"), "anomaly")
+    scored = model.score(f.distinct(), "score")
+    return model.flag(scored, scored, 0.1).select(*WHOLE_KEY, F.round("score", 6).alias("score"), "anomaly")
 
 
 _N = len(SENSORS)
