@@ -6,13 +6,14 @@ overlapping candidates: runs of neighbouring digit groups as phone or card, ever
 address, everything around an ``@``.  Boosted trees score each candidate from its format and its
 surroundings, and thresholds calibrated on held-out candidates select the spans to add.
 
-There are no labels for personal data, so the trees learn from the base kinds: on a bounded sample of
-documents a candidate is positive if it equals a base span and negative if it does not.  Those inside a run of
-several groups that a base pattern took whole and then dropped are left out; the trees decide them later.
+There are no labels for personal data, so the trees learn from the base kinds: over all documents a candidate is
+positive if it equals a base span and negative if it does not.  Those inside a run of several groups that a base
+pattern took whole and then dropped are left out; the trees decide them later.  Trees, their cut points and the
+thresholds come from every such candidate; equal ones are counted, so the jobs of the fit read counts, not texts.
 
 Defined results: null or empty text has no spans.  Places are code points of the whole text.  Repeated rows
-and null ids give a row each; an empty table gives an empty result.  If the sample has too few candidates of
-either class, only base spans are found.
+and null ids give a row each; an empty table gives an empty result.  If there are too few candidates of either
+class, only base spans are found.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import math
 import re
 import sys
 from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from torqueline.llm.base import with_text_batches
-from torqueline.llm.boosting import Boosted, fit_boosted, threshold_for
+from torqueline.llm.boosting import Boosted, binned_rows, fit_boosted_rows, thresholds_of_rows, valued, value_cuts
+from torqueline.session import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(sys.modules[Boosted.__module__])
@@ -50,6 +54,7 @@ HOST = re.compile(r"[A-Za-z0-9.-]*")
 MAYBE = re.compile(r"[0-9@]")
 HINTS = (("mail",), ("tel", "phone", "call", "fax"), ("card", "visa", "credit"), ("ip", "host", "addr"))
 MOST_DIGITS = 19
+BINS = 32  # quantiles of a feature
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -208,33 +213,40 @@ class Detector:
         return [(name, a, b) for a, _, b, name in sorted(every)]
 
 
-def fit_detector(
-    docs: DataFrame, text: str = "text", sample_rows: int = 20_000, most_candidates: int = 50_000, precision: float = 0.95,
-    seed: int = 42,
-) -> Detector:
-    """Trees from about ``sample_rows`` documents, chosen by a hash of all their columns, and ``most_candidates`` candidates at most."""
-    @F.arrow_udf("array<struct<x:array<float>,y:int>>")
-    def rows_of(texts: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("x", pa.list_(pa.float32())), ("y", pa.int32())]))
-        return pa.array([[{"x": x, "y": y} for x, y in training_rows(t or "")] for t in texts.to_pylist()], kind)
-
-    share = min(1.0, sample_rows / max(docs.count(), 1))
-    plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
-    drawn = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in plain]), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))
-    sample = with_text_batches(docs).where(drawn).select(F.col(text).cast("string").alias("t")).where(F.col("t").rlike("[0-9@]"))
-    rows = sample.select(F.explode(rows_of("t")).alias("r"), F.xxhash64("t").alias("h")).select("h", "r.x", "r.y")
-    got = rows.orderBy("h", "x", "y").limit(most_candidates).toPandas()
-    y = got["y"].to_numpy(np.float64)
-    if len(y) < 20 or y.min() == y.max():
+def training_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(held, kind, x, y, n): how often each labelled candidate with the same features occurs; x holds packed floats."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: Counter[tuple[bool, int, bytes, int]] = Counter()
+            for t, held in zip(b.column("t").to_pylist(), b.column("held").to_pylist(), strict=True):
+                for x, y in training_rows(t):
+                    found[held, x.index(1.0), np.array(x, np.float32).tobytes(), y] += 1
+            held, kind, x, y = zip(*found, strict=True) if found else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.bool_()), pa.array(kind, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.int32()),
+                                              pa.array(found.values(), pa.int64())], names=["held", "kind", "x", "y", "n"])
+
+    t = with_text_batches(docs).select(F.col(text).cast("string").alias("t")).where(F.col("t").rlike("[0-9@]"))
+    rows = t.select("t", (F.xxhash64("t").bitwiseAND(F.lit(3)) == 0).alias("held"))
+    rows = rows.mapInArrow(count, "held boolean, kind int, x binary, y int, n long")
+    return settle(rows.groupBy("held", "kind", "x", "y").agg(F.sum("n").alias("n")), "candidates")
+
+
+def fit_detector(docs: DataFrame, text: str = "text", sample_rows: int | None = None, precision: float = 0.95, seed: int = 42) -> Detector:
+    """Trees and thresholds from all documents; from about ``sample_rows`` of them, chosen by a hash of all their columns, only
+    if a caller asks for that."""
+    if sample_rows is not None:
+        share = min(1.0, sample_rows / max(docs.count(), 1))
+        plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+        docs = docs.where(F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in plain]), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
+    rows = training_counts(docs, text)
+    many = {(r.held, r.y): r.n for r in rows.groupBy("held", "y").agg(F.sum("n").alias("n")).collect()}
+    zeros, ones = many.get((False, 0), 0), many.get((False, 1), 0)
+    if sum(many.values()) < 20 or not zeros or not ones:
         return Detector()
-    x = np.array(got["x"].tolist(), np.float64)
-    held = (got["h"].to_numpy() & 3) == 0
-    if not (0 < y[~held].sum() < (~held).sum()):
-        return Detector()
-    trees = fit_boosted(x[~held], y[~held])
-    score = trees.predict(x)
-    of = [held & (x[:, k] == 1) for k in range(4)]
-    return Detector(trees, tuple(threshold_for(score[m], y[m], precision) for m in of))
+    cuts = value_cuts(rows.where("NOT held"), WIDTH, BINS)
+    binned = binned_rows(rows, cuts)
+    trees = fit_boosted_rows(binned.where("NOT held"), cuts, zeros, ones, bins=BINS)
+    return Detector(valued(trees, cuts), thresholds_of_rows(binned.where("held"), trees, len(KINDS), precision))
 
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
