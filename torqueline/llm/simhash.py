@@ -139,15 +139,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges but the roots; root is the least node of its component.
 
     Alternates large stars (every greater neighbour to the least of the neighbourhood) and small stars (the
-    node and its lesser neighbours to the least) until the edge table stays as it is.
+    node and its lesser neighbours to the least) until the edges are stars: one edge a node, none from a root.
     """
     e = settle(edges.distinct(), "edges")
-    before = None
     for _ in range(most_rounds):
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or state[0] == 0:
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.where("up > 0 AND up + down > 1").count():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
