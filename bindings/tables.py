@@ -133,7 +133,7 @@ def p15(spark, sf):
 SELECT event_id, user_id, value FROM events ORDER BY ('0x' || substr(md5('42|' || event_id), 1, 15))::BIGINT, event_id LIMIT 1000""")
 def p16(spark, sf):
     """A thousand rows of the table, those with the smallest hashes of their key."""
-    return rows.sample_rows(table(spark, sf, "events"), 1000, ["event_id"]).select("event_id", "user_id", "value")
+    return rows.sample_rows(table(spark, sf, "events"), 1000, ["event_id"], draw=rows.row_hash(["event_id"], 42)).select("event_id", "user_id", "value")
 
 
 @query("p17_drop_constant_columns", f"WITH {PLANTED} SELECT * EXCLUDE (empty) FROM pl")

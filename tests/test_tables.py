@@ -68,6 +68,14 @@ def test_sample_is_exact_and_repeatable(spark):
     assert rows.sample_rows(df, 9999, ["id"]).count() == 5000
 
 
+def test_sample_by_a_given_hash(spark):
+    df = spark.range(5000)
+    draw = rows.row_hash(["id"], 42)
+    expected = [r[0] for r in df.orderBy(draw, "id").limit(100).collect()]
+    assert [r[0] for r in rows.sample_rows(df, 100, ["id"], draw=draw).collect()] == expected
+    assert {r[0] for r in rows.sample_rows(df, 100, ["id"]).collect()} != set(expected)
+
+
 def test_dedup_prunes_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     out = rows.dedup_by_key_first(df, ["k"], ["id"])

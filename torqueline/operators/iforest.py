@@ -128,7 +128,8 @@ class IsolationForest:
         values = [F.col(c).cast("double").alias(c) for c in cols]
         keyed = df.select(*values, *[F.col(k).alias(f"__k{i}") for i, k in enumerate(self.key)])
         names = [f"__k{i}" for i in range(len(self.key))]
-        pool = sample_rows(keyed, self.trees * self.sample, names, seed).withColumn("__h", row_hash(names, seed)).persist()
+        draw = row_hash(names, seed)
+        pool = sample_rows(keyed, self.trees * self.sample, names, draw=draw).withColumn("__h", draw).persist()
         rows = pool.count()
         size = min(self.sample, rows)
         depth = math.ceil(math.log2(max(size, 2)))

@@ -130,7 +130,7 @@ def cut_points(df: DataFrame, cols: Sequence[str], bins: int, key: Sequence[str]
 
     A value belongs to the bin of the first cut not below it.
     """
-    drawn = sample_rows(df.select(*dict.fromkeys([*key, *cols])), rows, list(key)).select(
+    drawn = sample_rows(df.select(*dict.fromkeys([*key, *cols])), rows, list(key), draw=row_hash(list(key), 42)).select(
         *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).toArrow()
     shares, out = np.arange(1, bins) / bins, []
     for i in range(len(cols)):
