@@ -14,8 +14,9 @@ is broadcast in blocks of at most ``block_bytes``; each block more costs one mor
 so far (a byte per n-gram) beside the text.
 
 The base score is exact: tokens are counted as strings; those with at least ``often`` of all tokens are at most
-1 / often, and are broadcast; the rest are joined in a shuffle, in which no key can hold more than that share.
-Logarithms are summed as decimals, so the sum does not depend on the order of rows.
+1 / often, and are broadcast.  The rest go out packed like the n-grams, each word once a pack of texts, and meet the
+vocabulary in buckets of their hash, as strings; their counts go back to the pack.  Logarithms are summed as whole
+numbers, so the sum does not depend on the order of rows.
 
 Defined results: null text has no words, only the end; a null id is held out like the empty string; without training
 rows all counts are zero; repeated rows are scored alike; an empty table gives an empty result.
@@ -25,18 +26,19 @@ from __future__ import annotations
 
 import math
 import sys
-from collections import Counter
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+import pyarrow.compute as pc
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torqueline.llm.base import with_text_batches
-from torqueline.llm.wordbytes import U, mixed, text_slices, words_of
+from torqueline.llm.wordbytes import U, distinct_words, hashes_of, mixed, text_slices
 from torqueline.session import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
@@ -45,6 +47,8 @@ START_MARK, END_MARK = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 LONG_WORD = 64  # bytes; longer words are named by their digest
 PER_SEGMENT = 1 << 18  # n-grams
 PACK = 1 << 21  # n-grams that a task gathers before it sends them out
+RARE_PACK = 1 << 20  # occurrences of rare words, or words of the vocabulary, likewise
+RARE_PARTS = {"pack": pa.int64(), "bucket": pa.int32(), "names": pa.binary(), "at": pa.binary(), "rows": pa.binary()}
 
 
 def held_out(key: Column, folds: int = 10) -> Column:
@@ -52,23 +56,24 @@ def held_out(key: Column, folds: int = 10) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, tokens, sizes): runs of texts of bounded size, a longer text alone.
+def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.BinaryArray, np.ndarray]]:
+    """(from, to, tokens, sizes, names, which): runs of texts of bounded size, a longer text alone.
 
     ``tokens`` are the texts' word hashes, each text between a start and an end mark; ``sizes`` count the marks.
+    ``names`` are the distinct words and, last, the end as the empty name; ``which`` is each token's place there, the
+    start's behind it.
     """
     for a, b, data, behind in text_slices(texts):
-        hashes, _, ends = words_of(data)
+        words, coded, ends = distinct_words(data)
         upto = np.searchsorted(ends, behind, side="left")
-        counts = np.diff(np.concatenate([[0], upto]))
-        sizes = counts + 2
-        tokens = np.empty(int(sizes.sum()), U)
+        sizes = np.diff(np.concatenate([[0], upto])) + 2
+        which = np.empty(int(sizes.sum()), np.int64)
         stops = np.cumsum(sizes)
-        marks = np.zeros(len(tokens), bool)
-        tokens[stops - sizes], tokens[stops - 1] = START_MARK, END_MARK
-        marks[stops - sizes], marks[stops - 1] = True, True
-        tokens[~marks] = hashes
-        yield a, b, tokens, sizes
+        inside = np.ones(len(which), bool)
+        inside[stops - sizes], inside[stops - 1] = False, False
+        which[stops - sizes], which[stops - 1], which[inside] = len(words) + 1, len(words), coded
+        tokens = np.concatenate([hashes_of(words), [END_MARK, START_MARK]])[which]
+        yield a, b, tokens, sizes, pa.concat_arrays([words, pa.array([b""], pa.binary())]), which
 
 
 def ngrams(tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -149,37 +154,203 @@ def built(hashes: np.ndarray, counts: np.ndarray, bits_each: float, probes: int)
     return data.tobytes()
 
 
-def _names(text: bytes | None) -> Counter:
-    """Tokens of a text: its words, those over LONG_WORD bytes by their digest, and the end as the empty name."""
+def _digested(names: pa.BinaryArray) -> pa.BinaryArray:
+    """The names, those over LONG_WORD bytes by their digest, which is over it as well, so no other word is spelled so."""
     from hashlib import sha256
 
-    found = Counter((text or b"").lower().split())  # both know ASCII only
-    for w in [w for w in found if len(w) > LONG_WORD]:
-        found[b"\0" + sha256(w).hexdigest().encode()] += found.pop(w)
-    found[b""] = 1
-    return found
+    long = np.flatnonzero(pc.binary_length(names).to_numpy() > LONG_WORD)
+    if not len(long):
+        return names
+    mask = np.zeros(len(names), bool)
+    mask[long] = True
+    digests = [b"\0" + sha256(w.as_py()).hexdigest().encode() for w in names.take(pa.array(long))]
+    return pc.replace_with_mask(names, pa.array(mask), pa.array(digests, pa.binary()))
+
+
+def _summed(held: list[tuple[pa.BinaryArray, np.ndarray]]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """Each name once, with the sum of its counts."""
+    coded = pa.concat_arrays([names for names, _ in held]).dictionary_encode()
+    sums = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(sums, coded.indices.to_numpy(), np.concatenate([counts for _, counts in held]))
+    return coded.dictionary, sums
 
 
 def vocabulary(train: DataFrame, text: str = "text", flush: int = 1 << 18) -> DataFrame:
     """(word, c): how often each token stands in the training texts."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[tuple[pa.BinaryArray, np.ndarray]] = []
+        waiting = 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+            return pa.RecordBatch.from_arrays([held[0][0], pa.array(held[0][1])], names=["word", "c"])
 
         for batch in batches:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                seen.update(_names(t))
-                if len(seen) > flush:
-                    yield out()
-                    seen.clear()
-        yield out()
+            for *_, names, which in slices(batch.column(0)):
+                held.append((_digested(names), np.bincount(which, minlength=len(names) + 1)[:-1]))
+                waiting += len(names)
+                if waiting > 2 * flush:
+                    held = [_summed(held)]
+                    if (waiting := len(held[0][0])) > flush:
+                        yield out()
+                        held, waiting = [], 0
+        if held:
+            held = [_summed(held)]
+            yield out()
 
     words = with_text_batches(train).select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word binary, c long")
     return words.groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class Frequent:
+    """The words with many occurrences and the logarithms of their counts, found by hash and compared as words."""
+
+    def __init__(self, words: list[bytes], counts: list[int]):
+        names = pa.array(words, pa.binary())
+        hashes = hashes_of(names)
+        order = np.argsort(hashes)
+        self.hashes, self.names = hashes[order], names.take(pa.array(order))
+        self.units = units_of(np.array(counts, np.int64))[order]
+
+    def of(self, names: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, units) by name; a word that another one hides counts as rare."""
+        if not len(self.hashes):
+            return np.zeros(len(names), bool), np.zeros(len(names), np.int64)
+        hashes = hashes_of(names)
+        at = np.searchsorted(self.hashes, hashes).clip(max=len(self.hashes) - 1)
+        found = self.hashes[at] == hashes
+        maybe = np.flatnonzero(found)
+        found[maybe] = pc.equal(names.take(pa.array(maybe)), self.names.take(pa.array(at[maybe]))).to_numpy(zero_copy_only=False)
+        return found, np.where(found, self.units[at], 0)
+
+
+def units_of(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of raised counts, as whole numbers of 1e-12, whose sums do not depend on their order."""
+    return np.rint(np.log10(counts + 0.1) * 1e12).astype(np.int64)
+
+
+def sums_by_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    upto = np.concatenate([[0], np.cumsum(values)])
+    stops = np.cumsum(sizes)
+    return upto[stops] - upto[stops - sizes]
+
+
+def whole_sums(units: np.ndarray, sizes: np.ndarray) -> list[Decimal]:
+    """Sums of units by text; in two halves, since a million logarithms of 1e13 units exceed 64 bits."""
+    high, low = sums_by_text(units >> 24, sizes), sums_by_text(units & (1 << 24) - 1, sizes)
+    return [Decimal((h << 24) + x) for h, x in zip(high.tolist(), low.tolist(), strict=True)]
+
+
+def by_bucket(names: pa.BinaryArray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the names by their bucket, the buckets that are not empty, and where each begins and the last ends."""
+    bucket = segment_of(hashes_of(names), buckets)
+    order = np.argsort(bucket, kind="stable")
+    full, begins = np.unique(bucket[order], return_index=True)
+    return order, full, np.append(begins, len(names))
+
+
+def joined(names: pa.BinaryArray, cuts: np.ndarray) -> pa.BinaryArray:
+    """One value of the names between each two cuts; names hold no white space, so a line end parts them."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), names), b"\n")
+
+
+def parted(values: pa.BinaryArray) -> pa.ListArray:
+    return pc.split_pattern(values, "\n")
+
+
+class Rare:
+    """Occurrences of rare words in consecutive rows, packed: the words by bucket, and (word, row) pairs."""
+
+    def __init__(self, first: int, buckets: int):
+        self.first, self.buckets = first, buckets
+        self.names: list[pa.BinaryArray] = []
+        self.at: list[np.ndarray] = []
+        self.rows: list[np.ndarray] = []
+        self.named = self.waiting = 0
+
+    def add(self, names: pa.BinaryArray, found: np.ndarray, which: np.ndarray, rows: np.ndarray) -> None:
+        left = np.flatnonzero(~found[:-1])
+        place = np.full(len(names) + 1, -1)
+        place[left] = np.arange(len(left)) + self.named
+        at = place[which]
+        keep = at >= 0
+        self.names.append(names.take(pa.array(left)))
+        self.at.append(at[keep])
+        self.rows.append(rows[keep])
+        self.named += len(left)
+        self.waiting += int(keep.sum())
+
+    def full(self) -> bool:
+        return self.waiting >= RARE_PACK
+
+    def packed(self) -> list[pa.Array]:
+        """Columns of RARE_PARTS: a row of words per bucket, and one row, of no bucket, of the pairs.
+
+        Pairs number the words in the order of the buckets, and the rows from the first.
+        """
+        coded = pa.concat_arrays(self.names).dictionary_encode()
+        order, full, cuts = by_bucket(coded.dictionary, self.buckets)
+        place = np.empty(len(order), "<u4")
+        place[order] = np.arange(len(order))
+        at = place[coded.indices.to_numpy()[np.concatenate(self.at)]]
+        rows, n = np.concatenate(self.rows) - self.first, len(full)
+        return [
+            pa.array(np.full(n + 1, self.first)), pa.array([*full.tolist(), None], pa.int32()),
+            pa.concat_arrays([joined(coded.dictionary.take(pa.array(order)), cuts), pa.nulls(1, pa.binary())]),
+            pa.array([None] * n + [at.tobytes()], pa.binary()), pa.array([None] * n + [rows.astype("<u4").tobytes()], pa.binary())]
+
+
+def _rare_sums(packs: DataFrame, vocab: DataFrame, buckets: int) -> DataFrame:
+    """(row, more, met): the sum of the rare words' logarithms and the number of those that are known.
+
+    The words of a pack meet the vocabulary in their bucket, as words; their counts go back to the pack.
+    """
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            names, counts = pa.concat_arrays([n for n, _ in held]), np.concatenate([c for _, c in held])
+            order, full, cuts = by_bucket(names, buckets)
+            counts = counts[order].astype("<i8")
+            return pa.RecordBatch.from_arrays([
+                pa.array(full, pa.int32()), joined(names.take(pa.array(order)), cuts),
+                pa.array([counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["bucket", "names", "counts"])
+
+        held = []
+        for batch in batches:
+            held.append((batch.column(0), batch.column(1).to_numpy()))
+            if sum(len(n) for n, _ in held) >= RARE_PACK:
+                yield out()
+                held = []
+        if sum(len(n) for n, _ in held):
+            yield out()
+
+    def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+        there = known.column("names").combine_chunks()
+        lists = parted(asked.column("names").combine_chunks())
+        counts = np.frombuffer(b"".join(known.column("counts").to_pylist()), "<i8")
+        found = pc.index_in(lists.flatten(), value_set=parted(there).flatten()).fill_null(len(counts)).to_numpy()
+        cuts = np.asarray(lists.offsets)
+        c = np.append(counts, 0)[found].astype("<i8")
+        return pa.table({
+            "pack": asked.column("pack"), "bucket": asked.column("bucket"),
+            "counts": pa.array([c[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+
+    def back(key: tuple, pairs: pa.Table, counted: pa.Table) -> pa.Table:
+        counted = counted.sort_by("bucket")
+        c = np.frombuffer(b"".join(counted.column("counts").to_pylist()), "<i8")
+        at, rows = (np.frombuffer(pairs.column(x)[0].as_py(), "<u4") for x in ("at", "rows"))
+        # pairs stand in the order of the rows
+        begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        sizes = np.diff(np.append(begins, len(rows)))
+        return pa.table({
+            "row": pa.array(rows[begins].astype(np.int64) + key[0].as_py()),
+            "more": pa.array(whole_sums(units_of(c)[at], sizes), pa.decimal128(38, 0)), "met": pa.array(sums_by_text(c[at] > 0, sizes))})
+
+    known = vocab.select("word", "c").mapInArrow(pack, "bucket int, names binary, counts binary")
+    asked = packs.where(F.col("bucket").isNotNull()).select("pack", "bucket", "names")
+    counted = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "pack long, bucket int, counts binary")
+    pairs = packs.where(F.col("bucket").isNull()).select("pack", "at", "rows")
+    return pairs.groupBy("pack").cogroup(counted.groupBy("pack")).applyInArrow(back, "row long, more decimal(38,0), met long")
+
+
 def _packed(train: DataFrame, text: str, order: int, segments: int) -> DataFrame:
     """(segment, hashes, counts): packed n-grams of a slice of training texts."""
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -194,7 +365,7 @@ def _packed(train: DataFrame, text: str, order: int, segments: int) -> DataFrame
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            for _, _, tokens, sizes in slices(batch.column(0)):
+            for _, _, tokens, sizes, *_ in slices(batch.column(0)):
                 held += [h[p] for h, p in ngrams(tokens, sizes, order)]
                 if sum(map(len, held)) >= PACK:
                     yield packed(held)
@@ -253,58 +424,60 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         now = settle(_probed(now, _broadcast_block(parts, span, segments, probes), order), f"codes{i}")
 
     # at most 1 / often words, each of at most LONG_WORD + 1 bytes
-    known = vocab.where((F.col("c") >= max(often * train_tokens, 1)) & F.lit(often > 0))
-    common = {bytes(r[0]): round(math.log10(r[1] + 0.1) * 1e12) for r in known.toLocalIterator()}  # logarithms in units of 1e-12
-    words = d.sparkSession.sparkContext.broadcast(common)
+    known = list(vocab.where((F.col("c") >= max(often * train_tokens, 1)) & F.lit(often > 0)).toLocalIterator())
+    words = d.sparkSession.sparkContext.broadcast(Frequent([bytes(r[0]) for r in known], [r[1] for r in known]))
     block = _broadcast_block(parts, blocks[-1], segments, probes)
+    buckets = max(1, train_tokens // (4 * PER_SEGMENT))
+
+    columns = ["id", "held", "n_tokens", "known", "units", "score", "row", *RARE_PARTS]
+
+    def out(packed: list[pa.Array], ids: pa.DataType) -> pa.RecordBatch:
+        types = [ids, pa.bool_(), pa.int64(), pa.int64(), pa.decimal128(38, 0), pa.float64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(packed[0]), t) for t in types], *packed], names=columns)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = words.value
+        frequent, row = words.value, TaskContext.get().partitionId() << 33
+        rare = Rare(row, buckets)
         for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for a, b, tokens, sizes in slices(batch.column(1)):
+            ids = batch.column(0).type
+            scores, known_ = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            n_tokens, units = np.zeros(batch.num_rows, np.int64), []
+            for a, b, tokens, sizes, names, which in slices(batch.column(1)):
                 grams = ngrams(tokens, sizes, order)
                 levels = _levels(grams, block.value, batch.column(3), a, b, sizes)
                 scores[a:b] = probabilities(levels, [p for _, p in grams], sizes, train_tokens, distinct, mass)
-            n_tokens, known_, units, ends, others, times = [], [], [], [0], [], []
-            for t in batch.column(1).cast(pa.binary()).to_pylist():
-                found, unit, seen = _names(t), 0, 0
-                for w, n in found.items():
-                    if (one := frequent.get(w)) is None:
-                        others.append(w)
-                        times.append(n)
-                    else:
-                        unit += n * one
-                        seen += n
-                n_tokens.append(found.total())
-                known_.append(seen)
-                units.append(unit)
-                ends.append(len(others))
-            rare = pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+                names = _digested(names)
+                found, unit = frequent.of(names)
+                # the start has no name
+                found, unit = np.append(found, False), np.append(unit, 0)
+                n_tokens[a:b], known_[a:b] = sizes - 1, sums_by_text(found[which], sizes)
+                units += whole_sums(unit[which], sizes)
+                rare.add(names, found, which, np.repeat(row + np.arange(a, b), sizes))
+                if rare.full():
+                    yield out(rare.packed(), ids)
+                    rare = Rare(row + b, buckets)
+            n = batch.num_rows
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(known_, pa.int64()), pa.array(units, pa.int64()),
-                pa.array(scores), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)],
-                names=["id", "held", "n_tokens", "known", "units", "score", "rare"])
+                batch.column(0), batch.column(2), pa.array(n_tokens), pa.array(known_), pa.array(units, pa.decimal128(38, 0)), pa.array(scores),
+                pa.array(row + np.arange(n)), *[pa.nulls(n, t) for t in RARE_PARTS.values()]], names=columns)
+            row += n
+        if rare.waiting:
+            yield out(rare.packed(), ids)
 
     kind = docs.schema[key].dataType.simpleString()
     scored = with_text_batches(now).select("id", "text", "held", "codes").mapInArrow(
-        score, f"id {kind}, held boolean, n_tokens long, known long, units long, score double, rare array<struct<word:binary,n:long>>")
-    scored = settle(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    c = F.coalesce("c", F.lit(0))
-    unit = F.round(F.log10(c + 0.1) * 1e12).cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")
-    more = rare.join(vocab, "word", "left").groupBy("row").agg(
-        F.sum(unit.cast("decimal(38,0)")).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("met"))
-    out = scored.drop("rare").join(more, "row", "left")
-    units = F.col("units").cast("decimal(38,0)") + F.coalesce("more", F.lit(0).cast("decimal(38,0)"))
-    return out.select(
+        score, f"id {kind}, held boolean, n_tokens long, known long, units decimal(38,0), score double, row long, "
+               "pack long, bucket int, names binary, at binary, rows binary")
+    scored = settle(scored, "scored")
+    more = _rare_sums(scored.where(F.col("pack").isNotNull()), vocab, buckets)
+    docs_ = scored.where(F.col("pack").isNull()).drop(*RARE_PARTS).join(more, "row", "left")
+    units = F.col("units") + F.coalesce("more", F.lit(0).cast("decimal(38,0)"))
+    return docs_.select(
         F.col("id").alias(key), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (units.cast("double") / 1e12 - F.col("n_tokens") * F.lit(math.log10(floor))).alias("base_score"), "score")
 
 
-
 def list_of_blocks(parts: DataFrame, segments: int, block_bytes: int) -> list[tuple[int, int]]:
     """Runs of segments whose data are at most ``block_bytes`` together (one segment at least)."""
     sizes = dict(parts.select("segment", F.length("data")).toLocalIterator())  # two numbers a segment
@@ -349,7 +522,7 @@ def _probed(docs: DataFrame, block, order: int) -> DataFrame:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             noted = []
-            for a, b, tokens, sizes in slices(batch.column(1)):
+            for a, b, tokens, sizes, *_ in slices(batch.column(1)):
                 levels = _levels(ngrams(tokens, sizes, order), block.value, batch.column(3), a, b, sizes)
                 stops = np.cumsum(sizes)
                 noted += [b"".join(x[s - n:s].tobytes() for x in levels) for s, n in zip(stops, sizes, strict=True)]

@@ -18,6 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 U = np.uint64
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 STRETCH = 1 << 20  # bytes hashed at a time
+RUN = 1 << 16  # bytes of distinct words hashed at a time
 SLICE = 1 << 21  # bytes of text held at a time
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -67,6 +68,34 @@ def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
 
 
+def distinct_words(data: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+    """The distinct words in bytes, for each word its number among them, and the places behind the words' last bytes."""
+    white = WHITE[data]
+    edged = np.concatenate([[True], white, [True]])
+    edges = np.flatnonzero(edged[1:] != edged[:-1])
+    first, last = edges[::2], edges[1::2]
+    places = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int32)
+    every = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(places), pa.py_buffer(LOWER[data[~white]])])
+    coded = every.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), last
+
+
+def hashes_of(words: pa.BinaryArray) -> np.ndarray:
+    """Hash of each word, the one that :func:`words_of` gives."""
+    if not len(words):
+        return np.zeros(0, U)
+    _, places, data = words.buffers()
+    places = np.frombuffer(places, np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    values = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    out, i = np.empty(len(words), U), 0
+    while i < len(words):  # runs of words of a bounded size, so that sums stay in the cache; a longer word alone
+        j = max(i + 1, int(np.searchsorted(places, places[i] + RUN, side="right")) - 1)
+        at = places[i:j + 1] - places[i]
+        out[i:j] = run_hashes(values[places[i]:places[j]].astype(U) + U(1), at[:-1], at[1:])
+        i = j
+    return out
+
+
 def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, bytes, ends): runs of texts of about SLICE bytes, a longer text alone.
 
