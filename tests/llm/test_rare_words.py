@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -58,3 +60,40 @@ def test_distinct_words_have_the_hashes_of_the_words(monkeypatch, run):
 def test_no_words():
     words, which, last = wordbytes.distinct_words(np.frombuffer(b" \n", np.uint8))
     assert len(words) == len(which) == len(last) == len(wordbytes.hashes_of(words)) == 0
+
+
+def test_a_large_filter_is_not_read_block_by_block(spark, edge, monkeypatch):
+    def scores(**block):
+        return sorted((str(r.doc_id), r.n_known, r.base_score, r.score) for r in lm.score_documents(edge, **block).collect())
+
+    monkeypatch.setattr(lm, "PER_SEGMENT", 5)
+    monkeypatch.setattr(lm, "BUNDLE", 50)  # several packs in a batch
+    one = scores()
+    written, settle = [], lm.settle
+
+    def noted(df, name="stage", path=None):
+        out = settle(df, name, path)
+        written.append((name, out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(lm, "settle", noted)
+    assert scores(block_bytes=1) == one
+    assert [name for name, _ in written] == ["vocabulary", "filter", "packs", "answers", "scored"]
+    left = {name for name, files in written if any(Path(urlparse(f).path).exists() for f in files)}
+    assert left == {"vocabulary", "filter", "scored"}
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "date"])
+def test_rows_of_any_id_in_packs(spark, monkeypatch, kind):
+    monkeypatch.setattr(lm, "PER_SEGMENT", 5)
+    monkeypatch.setattr(lm, "BUNDLE", 64)
+    docs = [(None, "a b"), (None, "a b"), *[(i, "a b c " * i) for i in range(40)], (3, None), (50, "x" * 200 + " a")]
+    of = {"string": "cast(i as string)", "int": "cast(i as int)", "date": "date_add(date'2020-01-01', cast(i as int))"}[kind]
+    df = spark.createDataFrame(docs, "i long, text string").selectExpr(f"{of} as doc_id", "text").repartition(3)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    def scores(df):
+        return sorted((str(r.doc_id), r.n_tokens, r.score) for r in df.collect())
+
+    got = lm.score_documents(df, block_bytes=1)
+    assert dict(got.dtypes)["doc_id"] == kind and told(got) == base_by_hand(rows)
+    assert scores(got) == scores(lm.score_documents(df))

@@ -9,9 +9,10 @@ without its last token, so probabilities stay below one.
 
 How it scales.  Texts are hashed in numpy, in tasks.  N-grams go out as packed hashes and counts by segment of
 the hash space, pre-aggregated per batch; the segments' number follows the number of tokens, so a segment is a few
-hundred kilobytes, and a task builds its part of the filter alone.  The filter grows with the distinct n-grams, so it
-is broadcast in blocks of at most ``block_bytes``; each block more costs one more pass, which notes the levels met
-so far (a byte per n-gram) beside the text.
+hundred kilobytes, and a task builds its part of the filter alone.  The filter grows with the distinct n-grams.  Up to
+``block_bytes`` it is broadcast.  A larger one stays where it is: texts are bundled in packs, the distinct n-grams of a
+pack go to their segments as hashes, and their levels come back to the pack (a byte each), so a text is read as often
+however large the filter.
 
 The base score is exact: tokens are counted as strings; those with at least ``often`` of all tokens are at most
 1 / often, and are broadcast.  The rest go out packed like the n-grams, each word once a pack of texts, and meet the
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from torqueline.llm.base import with_text_batches
 from torqueline.llm.wordbytes import U, distinct_words, hashes_of, mixed, text_slices
-from torqueline.session import settle
+from torqueline.session import scratch, scratch_path, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
@@ -47,7 +48,9 @@ START_MARK, END_MARK = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 LONG_WORD = 64  # bytes; longer words are named by their digest
 PER_SEGMENT = 1 << 18  # n-grams
 PACK = 1 << 21  # n-grams that a task gathers before it sends them out
+PROBED = 1 << 15  # n-grams probed together
 RARE_PACK = 1 << 20  # occurrences of rare words, or words of the vocabulary, likewise
+BUNDLE = 1 << 22  # bytes of text whose n-grams are looked up together where the filter is too large to broadcast
 RARE_PARTS = {"pack": pa.int64(), "bucket": pa.int32(), "names": pa.binary(), "at": pa.binary(), "rows": pa.binary()}
 
 
@@ -126,16 +129,25 @@ class Filter:
         here = here[self.bits[segment[here]] > 0]
         level = 1
         while len(here):
-            s = segment[here]
-            begins, left = self.offsets[s], np.arange(len(here))
-            for at in places(hashes[here], level, self.bits[s].astype(U), self.probes):
-                bit = at(left) + begins[left]
-                left = left[(self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
-            here = here[left]
+            # runs of a bounded number, so that their numbers stay in the cache
+            runs = [here[a:a + PROBED] for a in range(0, len(here), PROBED)]
+            here = np.concatenate([run[self._met(hashes[run], segment[run], level)] for run in runs])
             found[here] = level
             level += 1
         return found[back]
 
+    def _met(self, hashes: np.ndarray, segment: np.ndarray, level: int) -> np.ndarray:
+        """Places of the n-grams of which all bits at a level are set; those that failed are left behind once they are many."""
+        every, begins = np.arange(len(hashes)), self.offsets[segment]
+        left, alive = slice(None), np.ones(len(hashes), bool)
+        for at in places(hashes, level, self.bits[segment].astype(U), self.probes):
+            bit = at(left) + begins[left]
+            alive &= ((self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).view(bool)
+            if np.count_nonzero(alive) < 0.8 * len(alive):
+                left = every[left][alive]
+                alive = np.ones(len(left), bool)
+        return every[left][alive]
+
 
 def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
     return (((hashes >> U(32)) * U(segments)) >> U(32)).astype(np.int64)
@@ -419,14 +431,9 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     floor = train_tokens + 0.1 * (distinct + 1)
 
     parts, segments = fitted(train, "text", max(train_tokens, 1), order, bits_each, probes)
-    now, blocks = d.withColumn("codes", F.lit(None).cast("binary")), list_of_blocks(parts, segments, block_bytes)
-    for i, span in enumerate(blocks[:-1]):
-        now = settle(_probed(now, _broadcast_block(parts, span, segments, probes), order), f"codes{i}")
-
     # at most 1 / often words, each of at most LONG_WORD + 1 bytes
     known = list(vocab.where((F.col("c") >= max(often * train_tokens, 1)) & F.lit(often > 0)).toLocalIterator())
     words = d.sparkSession.sparkContext.broadcast(Frequent([bytes(r[0]) for r in known], [r[1] for r in known]))
-    block = _broadcast_block(parts, blocks[-1], segments, probes)
     buckets = max(1, train_tokens // (4 * PER_SEGMENT))
 
     columns = ["id", "held", "n_tokens", "known", "units", "score", "row", *RARE_PARTS]
@@ -435,16 +442,14 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         types = [ids, pa.bool_(), pa.int64(), pa.int64(), pa.decimal128(38, 0), pa.float64(), pa.int64()]
         return pa.RecordBatch.from_arrays([*[pa.nulls(len(packed[0]), t) for t in types], *packed], names=columns)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, row = words.value, TaskContext.get().partitionId() << 33
-        rare = Rare(row, buckets)
+    def score(batches: Iterator[pa.RecordBatch], row: int, read: Callable) -> Iterator[pa.RecordBatch]:
+        """Scores of rows numbered from ``row``, and their rare words; ``read`` gives slices, n-grams and levels of texts."""
+        frequent, rare = words.value, Rare(row, buckets)
         for batch in batches:
             ids = batch.column(0).type
             scores, known_ = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             n_tokens, units = np.zeros(batch.num_rows, np.int64), []
-            for a, b, tokens, sizes, names, which in slices(batch.column(1)):
-                grams = ngrams(tokens, sizes, order)
-                levels = _levels(grams, block.value, batch.column(3), a, b, sizes)
+            for (a, b, _, sizes, names, which), grams, levels in read(batch.column(1)):
                 scores[a:b] = probabilities(levels, [p for _, p in grams], sizes, train_tokens, distinct, mass)
                 names = _digested(names)
                 found, unit = frequent.of(names)
@@ -465,10 +470,31 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
             yield out(rare.packed(), ids)
 
     kind = docs.schema[key].dataType.simpleString()
-    scored = with_text_batches(now).select("id", "text", "held", "codes").mapInArrow(
-        score, f"id {kind}, held boolean, n_tokens long, known long, units decimal(38,0), score double, row long, "
-               "pack long, bucket int, names binary, at binary, rows binary")
-    scored = settle(scored, "scored")
+    shape = (f"id {kind}, held boolean, n_tokens long, known long, units decimal(38,0), score double, row long, "
+             "pack long, bucket int, names binary, at binary, rows binary")
+    d, path = with_text_batches(d).select("id", "text", "held"), scratch_path(d.sparkSession, "scored")
+    if len(blocks := list_of_blocks(parts, segments, block_bytes)) == 1:
+        block = _broadcast_block(parts, blocks[0], segments, probes)
+
+        def probed(texts: pa.Array) -> Iterator[tuple]:
+            for one in slices(texts):
+                grams = ngrams(one[2], one[3], order)
+                yield one, grams, [np.where(present, block.value.levels(h), 0) for h, present in grams]
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from score(batches, TaskContext.get().partitionId() << 33, probed)
+
+        scored = settle(d.mapInArrow(rows, shape), "scored", path)
+    else:
+        def pack_rows(key: tuple, pack: pa.Table, answers: pa.Table) -> pa.Table:
+            levels = np.frombuffer(b"".join(answers.sort_by("segment").column("levels").to_pylist()), np.uint8)
+            batch = pa.RecordBatch.from_arrays([pack.column(c)[0].values for c in ("ids", "texts", "held")], names=["id", "text", "held"])
+            return pa.Table.from_batches(list(score([batch], key[0].as_py(), lambda texts: _answered(texts, order, levels))))
+
+        with scratch(d.sparkSession):
+            packs = settle(_bundled(d, kind), "packs")
+            answers = settle(_answers(packs, parts, order, segments, probes), "answers")
+            scored = settle(packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(pack_rows, shape), "scored", path)
     more = _rare_sums(scored.where(F.col("pack").isNotNull()), vocab, buckets)
     docs_ = scored.where(F.col("pack").isNull()).drop(*RARE_PARTS).join(more, "row", "left")
     units = F.col("units") + F.coalesce("more", F.lit(0).cast("decimal(38,0)"))
@@ -501,33 +527,73 @@ def _broadcast_block(parts: DataFrame, span: tuple[int, int], segments: int, pro
     return parts.sparkSession.sparkContext.broadcast(block)
 
 
-def _levels(grams: list, block: Filter, codes: pa.Array, a: int, b: int, sizes: np.ndarray) -> list[np.ndarray]:
-    """Levels in this block, or those noted of earlier blocks, by length."""
-    out = [np.where(present, block.levels(h), 0).astype(np.uint8) for h, present in grams]
-    noted = codes.slice(a, b - a)
-    if noted.null_count:
-        return out
-    before = np.frombuffer(b"".join(noted.to_pylist()), np.uint8)
-    at = np.cumsum(sizes) - sizes
-    order = len(grams)
-    for n in range(order):
-        # of each text: its levels of length 1, then of length 2 and so on
-        place = np.repeat(at * order + n * sizes - at, sizes) + np.arange(len(out[n]))
-        out[n] = np.maximum(out[n], before[place])
-    return out
+def _bundled(docs: DataFrame, kind: str) -> DataFrame:
+    """(pack, ids, texts, held): consecutive rows of about BUNDLE bytes of text as one, a pack named by the number of its first row."""
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, row = 0, TaskContext.get().partitionId() << 33
+
+        def out() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), c.combine_chunks()) for c in rows.columns]
+            return pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *lists], names=["pack", "ids", "texts", "held"])
+
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            run = (np.cumsum(lengths) - lengths) // BUNDLE
+            cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(lengths)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                held.append(batch.slice(a, b - a))
+                size += int(lengths[a:b].sum())
+                if size >= BUNDLE:
+                    yield out()
+                    row += sum(len(x) for x in held)
+                    held, size = [], 0
+        if sum(len(x) for x in held):
+            yield out()
+
+    return docs.mapInArrow(bundle, f"pack long, ids array<{kind}>, texts array<string>, held array<boolean>")
 
 
-def _probed(docs: DataFrame, block, order: int) -> DataFrame:
-    """The rows with the levels that this block adds noted in ``codes``."""
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answers(packs: DataFrame, parts: DataFrame, order: int, segments: int, probes: int) -> DataFrame:
+    """(pack, segment, levels): the levels of a pack's distinct n-grams, in the order of their hashes, by the filter's segments."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            noted = []
-            for a, b, tokens, sizes, *_ in slices(batch.column(1)):
-                levels = _levels(ngrams(tokens, sizes, order), block.value, batch.column(3), a, b, sizes)
-                stops = np.cumsum(sizes)
-                noted += [b"".join(x[s - n:s].tobytes() for x in levels) for s, n in zip(stops, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(noted, pa.binary())],
-                                             names=["id", "text", "held", "codes"])
-
-    d = with_text_batches(docs).select("id", "text", "held", "codes")
-    return d.mapInArrow(probe, d.schema)
+            for pack, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes = np.unique(np.concatenate([h[p] for one in slices(texts.values) for h, p in ngrams(one[2], one[3], order)]))
+                full, begins = np.unique(segment_of(hashes, segments), return_index=True)
+                sent = [x.tobytes() for x in np.split(hashes, begins[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), pack)), pa.array(full, pa.int32()), pa.array(sent, pa.binary())],
+                                                 names=["pack", "segment", "hashes"])
+
+    def answer(key: tuple, asked: pa.Table, part: pa.Table) -> pa.Table:
+        sent = asked.column("hashes").to_pylist()
+        hashes = np.frombuffer(b"".join(sent), "<u8")
+        levels = np.zeros(len(hashes), np.uint8)
+        if len(part):  # else no n-gram of this segment was learned
+            data = part.column("data")[0].as_py()
+            segment = Filter(key[0].as_py(), np.array([len(data)]), segments, probes)
+            segment.put(segment.first, data)
+            levels = segment.levels(hashes)
+        stops = np.cumsum([len(x) // 8 for x in sent], dtype=np.int64)
+        found = [levels[a:b].tobytes() for a, b in zip([0, *stops[:-1]], stops, strict=True)] if sent else []
+        return pa.table({"pack": asked.column("pack"), "segment": asked.column("segment"), "levels": pa.array(found, pa.binary())})
+
+    asked = packs.select("pack", "texts").mapInArrow(ask, "pack long, segment int, hashes binary")
+    return asked.groupBy("segment").cogroup(parts.groupBy("segment")).applyInArrow(answer, "pack long, segment int, levels binary")
+
+
+def _answered(texts: pa.Array, order: int, levels: np.ndarray) -> Iterator[tuple]:
+    """(slice, n-grams, levels by length) of a pack's texts from the levels of its distinct n-grams."""
+    read = [(one, ngrams(one[2], one[3], order)) for one in slices(texts)]
+    hashes, back = np.unique(np.concatenate([h[p] for _, grams in read for h, p in grams]), return_inverse=True)
+    if len(hashes) != len(levels):
+        raise ValueError("a pack's n-grams and their answers differ")
+    every, at = levels[back], 0
+    for one, grams in read:
+        out = [np.zeros(len(p), np.uint8) for _, p in grams]
+        for x, (_, p) in zip(out, grams, strict=True):
+            n = int(p.sum())
+            x[p] = every[at:at + n]
+            at += n
+        yield one, grams, out
