@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import re
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from torqueline.operators import linear, ml, trees
+from torqueline.operators import held, linear, ml, rows, trees
 
 
 @pytest.fixture(scope="module")
@@ -178,3 +181,68 @@ def test_clusters_and_silhouette(spark):
         s.append((other - own) / max(other, own))
     assert ml.silhouette(out, ["a", "b"]).first()["silhouette"] == pytest.approx(np.mean(s), abs=1e-9)
     assert ml.silhouette(out.withColumn("cluster", F.lit(1)), ["a", "b"]).first()["silhouette"] == 0.0
+
+
+def jobs_of(spark, fit):
+    """The model and the number of Spark jobs that its fit took."""
+    context = spark.sparkContext
+    name = uuid.uuid4().hex
+    context.setJobGroup(name, name)
+    try:
+        return fit(), len(context.statusTracker().getJobIdsForGroup(name))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_jobs_of_a_fit_do_not_grow_with_the_trees(spark, waves):
+    few, many = (jobs_of(spark, lambda r=r: trees.boosted(waves, COLS, "y", "value", r, 4, 0.2))[1] for r in (1, 12))
+    assert many <= few + 2 and many < 25
+    shallow, deep = (jobs_of(spark, lambda d=d: trees.forest(waves, COLS, "y", "value", 4, d))[1] for d in (2, 9))
+    assert deep <= shallow + 2 and deep < 25
+
+
+@pytest.mark.parametrize("fit", [
+    lambda d: trees.boosted(d, COLS, "y", "value", 3, 4, 0.2), lambda d: trees.boosted(d, COLS, "k", "logistic", 12, 2, 0.3),
+    lambda d: trees.forest(d, COLS, "k", "share", 7, 4, 2), lambda d: trees.forest(d, COLS, "y", "value", 4, 5, key=["id"])])
+def test_rows_in_tasks_or_in_files_or_a_job_a_level(waves, monkeypatch, fit):
+    models = [fit(waves)]
+    monkeypatch.setattr(trees, "TASK_ROWS", 500)
+    monkeypatch.setattr(trees, "BLOCK", 64)
+    for settings in ({"CHUNK": 100, "FLUSH": 300, "BASE_BYTES": 2000, "HELD_BYTES": 6000}, {"TASKS": 0}):
+        for name, value in settings.items():
+            monkeypatch.setattr(held, name, value)
+        models.append(fit(waves))
+    for model in models[1:]:
+        for name in ("feature", "cut", "missing_left", "value", "gain"):
+            assert (getattr(models[0], name) == getattr(model, name)).all()
+
+
+def scored_by_hand(model, row):
+    total = 0.0
+    for t in range(model.trees):
+        node = 0
+        while model.feature[t, node] >= 0:
+            v = row[model.feature[t, node]]
+            left = model.missing_left[t, node] if v is None or np.isnan(v) else v <= model.cut[t, node]
+            node = 2 * node + 1 + (not left)
+        total += model.value[t, node]
+    total = model.base + (total / model.trees if model.mean else total)
+    return 1 / (1 + np.exp(-total)) if model.link == "logistic" else total
+
+
+def test_scores_equal_plain_paths(spark, waves):
+    odd = [(None, 0.0, 1.0), (float("nan"), float("inf"), float("-inf")), (0.3, None, None), (-0.0, 0.0, -0.0)]
+    plain = [tuple(r) for r in waves.limit(40).select(*COLS).collect()] * 3 + odd
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(plain)], "id int, a double, b double, c double").coalesce(1)
+    for model in (trees.boosted(waves, COLS, "k", "logistic", 5, 3, 0.3), trees.forest(waves, COLS, "y", "value", 4, 6)):
+        # cuts that are values of rows
+        model.cut[model.feature == 0] = np.round(model.cut[model.feature == 0], 2)
+        got = [r["s"] for r in model.score(df, "s").orderBy("id").collect()]
+        assert got == pytest.approx([scored_by_hand(model, r) for r in plain], abs=1e-12)
+
+
+def test_a_sample_is_ordered_by_a_column(spark):
+    drawn = rows.sample_rows(spark.range(5000), 100, ["id"], draw=rows.row_hash(["id"], 42))
+    assert "md5" not in re.search(r"Sort \[(.*?) ASC", drawn._jdf.queryExecution().optimizedPlan().toString())[1]
+    hashes = sorted((r["h"], r["id"]) for r in spark.range(5000).withColumn("h", rows.row_hash(["id"], 42)).collect())
+    assert {r["id"] for r in drawn.collect()} == {i for _, i in hashes[:100]}

@@ -1,9 +1,10 @@
 """Trees from histograms: second-order boosting and forests by hash bootstrap (M2, M3, M5, M17, M18, M20).
 
 The training rows are binned once, at quantiles of a bounded hash sample, and written as packed blocks: one byte per feature, the target
-and a hash of the row.  One job per level sums gradients and Hessians per (tree, node, feature, bin): tasks sum
+and a hash of the row.  Gradients and Hessians are summed level by level per (tree, node, feature, bin).  Up to ``held.TASKS``
+tasks side by side do so in one stage for the whole fit, in which each keeps its rows.  With more, one job per level: tasks sum
 their blocks in numpy, the shuffle adds the sums of the tasks, and what comes back is bounded by nodes, features and
-bins, never by rows.  Rows are not shuffled.
+bins, never by rows; a row's nodes and its latest margins then follow from its bins anew in each job.
 
 Boosting follows first and second derivatives of the loss with an L2 term on leaf values; a missing value goes to the
 side with the higher gain.  A forest grows many trees in the same jobs; a row's weight in a tree is a Poisson draw from
@@ -29,8 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from torqueline.operators import held
 from torqueline.operators.rows import row_hash, sample_rows
-from torqueline.session import scratch, settle
+from torqueline.session import scratch, scratch_path, settle
 from torqueline.sources.sinks import read_json, write_json
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
@@ -41,6 +43,7 @@ DRIVER_CELLS = 1 << 21  # cells of all tasks together that the driver adds up it
 MISSING = 255  # bin
 CUT_ROWS = 100_000  # rows that cut points come from
 REFRESH = 10  # rounds after which margins are written
+TASK_ROWS = 1 << 16  # rows that are worth a task of their own
 U = np.uint64
 SUMS = T.StructType([T.StructField(c, T.LongType()) for c in ("cell", "g", "h")])
 
@@ -78,30 +81,69 @@ class TreeEnsemble:
         return TreeEnsemble(tuple(m["cols"]), m["link"], m["base"], m["mean"], np.array(m["feature"], np.int64), np.array(m["cut"], float),
                             np.array(m["missing_left"], bool), np.array(m["value"], float), np.array(m["gain"], float))
 
+    def _coded(self) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
+        """Cut points of each feature, and the trees over codes: 0 for a missing value, else 1 + the number of points below it.
+
+        ``child`` is the left one; a node that ends a path, or that nothing passes to the right of, has a cut no code exceeds.
+        """
+        shape, count = self.feature.shape, self.feature.shape[1]
+        points, cut = [], np.full(shape, np.iinfo(np.int32).max, np.int32)
+        for j in range(len(self.cols)):
+            mine = (self.feature == j) & ~np.isposinf(self.cut)
+            points.append(np.unique(self.cut[mine]))
+            cut[mine] = np.searchsorted(points[j], self.cut[mine]) + 1
+        leaf, node = self.feature < 0, np.arange(count)
+        return points, {"feature": np.where(leaf, 0, self.feature), "cut": cut, "child": np.where(leaf, node, np.minimum(2 * node + 1, count - 1)),
+                        "gone_right": ~leaf & ~self.missing_left, "value": self.value}
+
     def score(self, df: DataFrame, out: str) -> DataFrame:
-        """Add the score, in one narrow pass."""
+        """Add the score, in one narrow pass.
+
+        Values only count by the cut points they lie between, so rows that lie alike are scored once a batch.
+        """
         names = list(self.cols)
-        held = df.sparkSession.sparkContext.broadcast((self.feature, self.cut, self.missing_left, self.value))
+        coded = df.sparkSession.sparkContext.broadcast(self._coded())
         base, mean, link, trees = self.base, self.mean, self.link, max(self.trees, 1)
+        levels = (self.feature.shape[1] + 1).bit_length() - 2
+
+        def codes_of(frame: pd.DataFrame, points: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray | None]:
+            """Codes by feature of the rows that differ, and the place of each row among them (none if it is its own)."""
+            x = np.empty((len(points), len(frame)), np.int32)
+            key, wide = np.zeros(len(frame), np.int64), 1
+            for j, p in enumerate(points):
+                v = frame.iloc[:, j].to_numpy(dtype=float)
+                x[j] = np.where(np.isnan(v), 0, np.searchsorted(p, v, side="left") + 1)
+                wide *= len(p) + 2
+                key = key * (len(p) + 2) + x[j] if wide < 1 << 62 else key
+            if wide >= 1 << 62:
+                return x, None
+            _, first, place = np.unique(key, return_index=True, return_inverse=True)
+            return (x[:, first], place) if len(first) < 0.9 * len(key) else (x, None)
 
         @F.pandas_udf("double")
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-            feature, cut, missing_left, value = held.value
-            levels = (feature.shape[1] + 1).bit_length() - 2
+            points, t = coded.value
             for frame in batches:
-                x = np.ascontiguousarray(frame.to_numpy(dtype=float).T)
-                total = np.full(x.shape[1], 0.0)
-                rows = np.arange(x.shape[1])
-                for t in range(len(feature)):
-                    node = np.zeros(x.shape[1], np.int64)
+                x, place = codes_of(frame, points)
+                n = x.shape[1]
+                gone, flat, rows = bool((x == 0).any()), x.ravel(), np.arange(n)
+                total = np.zeros(n)
+                for k in range(len(t["value"])):
+                    from_, cut, child, gone_right = t["feature"][k] * n, t["cut"][k], t["child"][k], t["gone_right"][k]
+                    node = np.zeros(n, np.int64)
                     for _ in range(levels):
-                        f = feature[t, node]
-                        v = x[np.maximum(f, 0), rows]
-                        right = np.where(np.isnan(v), ~missing_left[t, node], v > cut[t, node])
-                        node = np.where(f < 0, node, 2 * node + 1 + right)
-                    total += value[t, node]
+                        at = from_.take(node, mode="clip")
+                        at += rows
+                        code = flat.take(at, mode="clip")
+                        right = code > cut.take(node, mode="clip")
+                        if gone:
+                            right |= (code == 0) & gone_right.take(node, mode="clip")
+                        node = child.take(node, mode="clip")
+                        node += right
+                    total += t["value"][k].take(node, mode="clip")
                 total = base + (total / trees if mean else total)
-                yield pd.Series(1 / (1 + np.exp(-total)) if link == "logistic" else total)
+                total = 1 / (1 + np.exp(-total)) if link == "logistic" else total
+                yield pd.Series(total if place is None else total[place])
 
         return df.withColumn(out, score(F.struct(*[F.col(c).cast("double").alias(c) for c in names])))
 
@@ -125,15 +167,15 @@ class TreeEnsemble:
 # ---- rows
 
 
-def cut_points(df: DataFrame, cols: Sequence[str], bins: int, key: Sequence[str], rows: int = CUT_ROWS) -> list[np.ndarray]:
-    """Distinct quantiles of the finite values of each column, over at most ``rows`` rows chosen by their hash.
+def cut_points(rows: DataFrame, width: int, bins: int, most: int = CUT_ROWS) -> list[np.ndarray]:
+    """Distinct quantiles of the finite values of each column, over at most ``most`` rows, those with the least ``draw``.
 
     A value belongs to the bin of the first cut not below it.
     """
-    drawn = sample_rows(df.select(*dict.fromkeys([*key, *cols])), rows, list(key), draw=row_hash(list(key), 42)).select(
-        *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).toArrow()
+    names = [f"x{i}" for i in range(width)]
+    drawn = sample_rows(rows.select("draw", *names), most, names, draw=F.col("draw")).select(*names).toArrow()
     shares, out = np.arange(1, bins) / bins, []
-    for i in range(len(cols)):
+    for i in range(width):
         x = drawn.column(i).to_numpy().astype(float)
         x = x[np.isfinite(x)]
         at = np.quantile(x, shares) if len(x) else np.zeros(0)
@@ -145,19 +187,32 @@ def plain_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
 
 
-def packed(df: DataFrame, cols: Sequence[str], target: str, cuts: list[np.ndarray], key: Sequence[str]) -> DataFrame:
+def prepared(df: DataFrame, cols: Sequence[str], target: str, bins: int, key: Sequence[str], hashed: bool) -> tuple[DataFrame, list[np.ndarray]]:
+    """Packed blocks and the cut points of their bins.
+
+    The rows are written first: their hashes take more time than all that is done with them here.
+    """
+    path = scratch_path(df.sparkSession, "packed")
+    with scratch(df.sparkSession):
+        rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)], F.col(target).cast("double").alias("y"),
+                         row_hash(key, 42).alias("draw"), *[row_hash(key).alias("hash")] * hashed)
+        rows = settle(rows, "rows")
+        cuts = cut_points(rows, len(cols), bins)
+        return packed(rows, cuts, hashed, path), cuts
+
+
+def packed(rows: DataFrame, cuts: list[np.ndarray], hashed: bool, path: str) -> DataFrame:
     """(n, bins, y, hash) blocks of at most BLOCK rows; rows without a target are left out."""
-    width = len(cols)
-    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)],
-                     F.col(target).cast("double").alias("y"), row_hash(key).alias("hash")).where("y IS NOT NULL AND NOT isnan(y)")
+    width = len(cuts)
+    rows = rows.select(*[f"x{i}" for i in range(width)], "y", *["hash"] * hashed).where("y IS NOT NULL AND NOT isnan(y)")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        waiting: list[tuple] = []
 
         def block() -> pa.RecordBatch:
-            bins = np.concatenate([h[0] for h in held], axis=1)
-            y, hashes = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            held.clear()
+            bins = np.concatenate([h[0] for h in waiting], axis=1)
+            y, hashes = np.concatenate([h[1] for h in waiting]), np.concatenate([h[2] for h in waiting]) if hashed else np.zeros(0)
+            waiting.clear()
             return pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int32())] + [
                 pa.array([x.tobytes()], pa.binary()) for x in (bins, y, hashes)], names=["n", "bins", "y", "hash"])
 
@@ -168,15 +223,15 @@ def packed(df: DataFrame, cols: Sequence[str], target: str, cuts: list[np.ndarra
                 for j in range(width):
                     x = part.column(j).to_numpy(zero_copy_only=False).astype(float)
                     bins[j] = np.where(np.isnan(x), MISSING, np.searchsorted(cuts[j], x, side="left"))
-                if sum(len(h[1]) for h in held) + part.num_rows > BLOCK:
+                if sum(len(h[1]) for h in waiting) + part.num_rows > BLOCK:
                     yield block()
-                held.append((bins, part.column(width).to_numpy(zero_copy_only=False).astype(float), part.column(width + 1).to_numpy(zero_copy_only=False)))
-        if held:
+                waiting.append((bins, *[part.column(width + i).to_numpy(zero_copy_only=False) for i in range(1 + hashed)]))
+        if waiting:
             yield block()
 
-    blocks, tasks = rows.mapInArrow(pack, "n int, bins binary, y binary, hash binary"), df.sparkSession.sparkContext.defaultParallelism
+    blocks, tasks = rows.mapInArrow(pack, "n int, bins binary, y binary, hash binary"), rows.sparkSession.sparkContext.defaultParallelism
     # a table in few files has few tasks; its blocks are small enough to deal out
-    return settle(blocks.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else blocks, "packed")
+    return settle(blocks.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else blocks, "packed", path)
 
 
 def _unpacked(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -225,7 +280,7 @@ def histograms(blocks: DataFrame, parts: int, gradients: Callable, active: list[
                levels: int, width: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums of gradients and Hessians, shape (active nodes, features of a node, bins + missing).
 
-    ``active`` has (tree, nodes, features of each node) per tree, ``grown`` each tree's feature, cut bin and missing side.
+    ``active`` has (tree, nodes, features of each node) per tree, ``grown`` each tree's feature, cut bin, missing side and Hessian sums.
     The sums of ``parts`` tasks are added by the driver if all of them together are small, and else in a shuffle;
     they are integers, so it makes no difference to the result.
     """
@@ -243,7 +298,7 @@ def histograms(blocks: DataFrame, parts: int, gradients: Callable, active: list[
                 for k, (tree, nodes, features) in enumerate(active):
                     rows, g, h = ready(tree)
                     part = x if rows is None else x[:, rows]
-                    at = descended(part, *grown[k], levels)
+                    at = descended(part, *grown[k][:3], levels)
                     place = np.full(len(grown[k][0]), -1, np.int64)
                     place[nodes] = np.arange(len(nodes))
                     local = place[at]
@@ -306,17 +361,20 @@ def _empty(trees: int, depth: int) -> dict[str, np.ndarray]:
             "g": np.zeros(shape), "h": np.zeros(shape), "gain": np.zeros(shape)}
 
 
-def _grow(blocks: DataFrame, parts: int, gradients: Callable, trees: Sequence[int], depth: int, width: int, bins: int, penalty: float, least: float,
-          most: int, seed: int, slight: float) -> dict[str, np.ndarray]:
-    """Grow trees level by level; the sums of each node's rows are left in g and h."""
+def _grow(sums: Callable, trees: Sequence[int], depth: int, width: int, bins: int, penalty: float, least: float,
+          most: int, seed: int, slight: float, cells: int) -> dict[str, np.ndarray]:
+    """Grow trees level by level; the sums of each node's rows are left in g and h.
+
+    ``sums`` gets active nodes, grown trees and the level, and returns :func:`histograms` of at most about ``cells`` cells.
+    """
     out = _empty(len(trees), depth)
     open_nodes = [np.array([0]) for _ in trees]
     for level in range(depth):
-        # trees go into one job as long as its histogram stays within CELLS
+        # trees are summed together as long as the histogram stays within its bound
         groups, size = [[]], 0
         for k, nodes in enumerate(open_nodes):
             need = len(nodes) * min(most, width) * (bins + 1)
-            if groups[-1] and size + need > CELLS:
+            if groups[-1] and size + need > cells:
                 groups.append([])
                 size = 0
             if len(nodes):
@@ -325,8 +383,8 @@ def _grow(blocks: DataFrame, parts: int, gradients: Callable, trees: Sequence[in
         following = [np.zeros(0, np.int64) for _ in trees]
         for group in filter(None, groups):
             active = [(trees[k], open_nodes[k], np.array([chosen_features(trees[k], int(n), width, most, seed) for n in open_nodes[k]])) for k in group]
-            grown = [(out["feature"][k], out["cut_bin"][k], out["left"][k]) for k in group]
-            g, h = histograms(blocks, parts, gradients, active, grown, level, width, bins)
+            grown = [(out["feature"][k], out["cut_bin"][k], out["left"][k], out["h"][k]) for k in group]
+            g, h = sums(active, grown, level)
             best = best_splits(g, h, penalty, least)
             row = 0
             for k, (_, nodes, features) in zip(group, active, strict=True):
@@ -402,10 +460,8 @@ def boosted(df: DataFrame, cols: Sequence[str], target: str, link: str, rounds:
             least: float = 1.0, bins: int = 64) -> TreeEnsemble:
     """Gradient boosting on second-order statistics; ``link`` is "logistic" for 0/1 targets or "value" for squared loss."""
     width, spark = len(cols), df.sparkSession
-    names = plain_columns(df)
-    cuts = cut_points(df, cols, bins, names)
     with scratch(spark):
-        blocks = packed(df, cols, target, cuts, names)
+        blocks, cuts = prepared(df, cols, target, bins, plain_columns(df), False)
         n, mean, lo, hi = _facts(blocks)
         if link == "logistic" and (lo < 0 or hi > 1):
             raise ValueError("classes must be 0 and 1")
@@ -414,38 +470,68 @@ def boosted(df: DataFrame, cols: Sequence[str], target: str, link: str, rounds:
         # gradients as integers: a block's sums stay exact in floats, the whole table's in 64 bits
         unit = 2.0 ** min(30, 61 - n.bit_length()) / (1.0 if link == "logistic" else max(2 * (hi - lo), 1e-300))
         h_unit = 2.0 ** min(30, 61 - n.bit_length()) if link == "logistic" else 1.0
-        now = _with_margins(blocks, [], depth, width, base, True).persist()
-        parts = now.rdd.getNumPartitions()
-        recent: list[dict] = []
-        done: list[dict] = []
-        for r in range(rounds):
-            fresh = list(recent)
-
-            def gradients(x, y, hashes, fresh=fresh):
-                margin = _margins(x, np.frombuffer(hashes.tobytes(), float), fresh, depth)
-                if link == "logistic":
-                    p = 1 / (1 + np.exp(-margin))
-                    g, h = np.rint((p - y) * unit), np.rint(np.maximum(p * (1 - p), 1e-16) * h_unit)
-                else:
-                    g, h = np.rint((margin - y) * unit), np.ones(len(y))
-                return lambda tree: (None, g, h)
-
-            ratio = unit / h_unit
-            grown = _grow(now, parts, gradients, [r], depth, width, bins, penalty * h_unit, least * h_unit, width, 0, 1e-12 * ratio * ratio)
+        ratio = unit / h_unit
+
+        def gradients(margin, y):
+            if link != "logistic":
+                return np.rint((margin - y) * unit), None
+            p = 1 / (1 + np.exp(-margin))
+            return np.rint((p - y) * unit), np.rint(np.maximum(p * (1 - p), 1e-16) * h_unit)
+
+        def tree(r: int, sums: Callable, cells: int) -> dict:
+            grown = _grow(sums, [r], depth, width, bins, penalty * h_unit, least * h_unit, width, 0, 1e-12 * ratio * ratio, cells)
             value = -(grown["g"] / unit) / (grown["h"] / h_unit + penalty) * step
-            tree = {"feature": grown["feature"][0], "cut_bin": grown["cut_bin"][0], "left": grown["left"][0], "value": value[0],
+            return {"feature": grown["feature"][0], "cut_bin": grown["cut_bin"][0], "left": grown["left"][0], "value": value[0],
                     "cut": _cuts_of(grown, cuts)[0], "gain": grown["gain"][0] * h_unit / unit**2}
-            recent.append(tree)
-            done.append(tree)
-            if (r + 1) % REFRESH == 0 and r + 1 < rounds:
-                before, now = now, _with_margins(now, recent, depth, width, base, False).persist()
-                before.unpersist()
-                parts, recent = now.rdd.getNumPartitions(), []
-        now.unpersist()
+
+        def fit(batches: Iterator[pa.RecordBatch], added: Callable) -> list[dict]:
+            rows = held.Boosted((b for batch in batches for b in _unpacked(batch, width)), width, bins, MISSING, added, 2 ** (depth + 1) - 1)
+            done: list[dict] = []
+            for r in range(rounds):
+                rows.round(base, done[-1] if done else None, gradients)
+                done.append(tree(r, rows.histograms, min(CELLS, held.CELLS)))
+            return done
+
+        tasks = _tasks(spark, n)
+        done = held.run(blocks, tasks, fit) if tasks else None
+        if done is None:
+            done = _boosted_by_jobs(blocks, rounds, depth, width, bins, base, gradients, tree)
     stack = lambda name: np.stack([t[name] for t in done])
     return TreeEnsemble(tuple(cols), link, base, False, stack("feature"), stack("cut"), stack("left"), stack("value"), stack("gain"))
 
 
+def _tasks(spark: SparkSession, n: int) -> int:
+    """Tasks that keep the rows of a fit, at most one for so many rows; 0 for a job a level."""
+    return min(held.slots(spark), -(-n // TASK_ROWS))
+
+
+def _boosted_by_jobs(blocks: DataFrame, rounds: int, depth: int, width: int, bins: int, base: float, gradients: Callable, tree: Callable) -> list[dict]:
+    """The trees, from a job per level; margins are written every few rounds."""
+    now = _with_margins(blocks, [], depth, width, base, True).persist()
+    parts = now.rdd.getNumPartitions()
+    recent: list[dict] = []
+    done: list[dict] = []
+    for r in range(rounds):
+        fresh = list(recent)
+
+        def of_block(x, y, hashes, fresh=fresh):
+            g, h = gradients(_margins(x, np.frombuffer(hashes.tobytes(), float), fresh, depth), y)
+            h = np.ones(len(y)) if h is None else h
+            return lambda tree: (None, g, h)
+
+        def sums(active, grown, level, now=now, parts=parts, of_block=of_block):
+            return histograms(now, parts, of_block, active, grown, level, width, bins)
+
+        recent.append(tree(r, sums, CELLS))
+        done.append(recent[-1])
+        if (r + 1) % REFRESH == 0 and r + 1 < rounds:
+            before, now = now, _with_margins(now, recent, depth, width, base, False).persist()
+            before.unpersist()
+            parts, recent = now.rdd.getNumPartitions(), []
+    now.unpersist()
+    return done
+
+
 def forest(df: DataFrame, cols: Sequence[str], target: str, link: str, trees: int, depth: int, most: int | None = None, least: float = 1.0,
            bins: int = 32, seed: int = 42, key: Sequence[str] | None = None) -> TreeEnsemble:
     """Bagged trees; ``link`` is "share" for 0/1 targets or "value". ``most`` features are tried at a node (default all).
@@ -453,28 +539,48 @@ def forest(df: DataFrame, cols: Sequence[str], target: str, link: str, trees: in
     Rows are drawn by the hash of ``key`` (default: all columns of ``df``).
     """
     width, spark = len(cols), df.sparkSession
-    names = list(key or plain_columns(df))
-    cuts = cut_points(df, cols, bins, names)
     with scratch(spark):
-        blocks = packed(df, cols, target, cuts, names)
+        blocks, cuts = prepared(df, cols, target, bins, list(key or plain_columns(df)), True)
         n, mean, lo, hi = _facts(blocks)
         if link == "share" and (lo < 0 or hi > 1):
             raise ValueError("classes must be 0 and 1")
         # targets around their mean, as integers
         unit = 2.0 ** min(28, 58 - n.bit_length()) / max(hi - lo, 1e-300)
 
-        def gradients(x, y, hashes):
-            rounded = np.rint((mean - y) * unit)
-
-            def of(tree: int):
-                weights = bootstrap(hashes, tree, seed)
-                rows = np.flatnonzero(weights)
-                return rows, rounded[rows] * weights[rows], weights[rows].astype(float)
-
-            return of
-
-        blocks = blocks.persist()
-        grown = _grow(blocks, blocks.rdd.getNumPartitions(), gradients, range(trees), depth, width, bins, 0.0, least, most or width, seed, 1e-9)
-        blocks.unpersist()
+        def rounded(y):
+            return np.rint((mean - y) * unit)
+
+        def grow(sums: Callable, some: Sequence[int], cells: int) -> dict[str, np.ndarray]:
+            return _grow(sums, some, depth, width, bins, 0.0, least, most or width, seed, 1e-9, cells)
+
+        tasks = _tasks(spark, n)
+        # seven bytes for each of the rows drawn, about two thirds
+        together = max(1, min(held.TREES, (held.HELD_BYTES - held.BASE_BYTES) * max(tasks, 1) // (5 * n)))
+
+        def fit(batches: Iterator[pa.RecordBatch], added: Callable) -> dict[str, np.ndarray]:
+            rows = held.Bagged((b for batch in batches for b in _unpacked(batch, width)), width, bins, MISSING, added, 2 ** (depth + 1) - 1,
+                               draw=lambda hashes, tree: bootstrap(hashes, tree, seed), target=rounded)
+            parts = []
+            for first in range(0, trees, together):
+                rows.start(first)
+                parts.append(grow(rows.histograms, range(first, min(first + together, trees)), min(CELLS, held.CELLS)))
+            return {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+
+        grown = held.run(blocks, tasks, fit) if tasks else None
+        if grown is None:
+            def of_block(x, y, hashes):
+                g = rounded(y)
+
+                def of(tree: int):
+                    weights = bootstrap(hashes, tree, seed)
+                    rows = np.flatnonzero(weights)
+                    return rows, g[rows] * weights[rows], weights[rows].astype(float)
+
+                return of
+
+            blocks = blocks.persist()
+            parts = blocks.rdd.getNumPartitions()
+            grown = grow(lambda active, grown, level: histograms(blocks, parts, of_block, active, grown, level, width, bins), range(trees), CELLS)
+            blocks.unpersist()
     value = mean - np.divide(grown["g"], grown["h"], out=np.zeros_like(grown["g"]), where=grown["h"] > 0) / unit
     return TreeEnsemble(tuple(cols), link, 0.0, True, grown["feature"], _cuts_of(grown, cuts), grown["left"], value, grown["gain"] / unit**2)
