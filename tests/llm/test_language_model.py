@@ -125,3 +125,16 @@ def test_held_out_texts_gain_from_the_model(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [r for r in lm.score_documents(docs).collect() if r.held_out]
     assert len(rows) > 50 and sum(r.score for r in rows) > 0.98 * sum(r.base_score for r in rows)
+
+
+def test_wide_rows_of_packs_lie_in_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(0)
+    texts = [(i, " ".join(rng.bytes(6).hex() for _ in range(200_000)), False) for i in range(9)]
+    d = spark.createDataFrame(texts, "id long, text string, held boolean").coalesce(1)
+    packs = lm.settle(lm._bundled(lm.with_text_batches(d), "bigint"), "packs", options=lm.WIDE_ROWS)
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata.row_group(g) for f in map(str, packs.inputFiles())
+              for g in range(pq.ParquetFile(f.removeprefix("file:")).metadata.num_row_groups)]
+    assert packs.count() > 3 and max(g.num_rows for g in groups) <= 3 and len(groups) > 1
+    assert sorted(r[0] for r in packs.selectExpr("explode(ids)").collect()) == list(range(9))

@@ -51,6 +51,8 @@ PACK = 1 << 21  # n-grams that a task gathers before it sends them out
 PROBED = 1 << 15  # n-grams probed together
 RARE_PACK = 1 << 20  # occurrences of rare words, or words of the vocabulary, likewise
 BUNDLE = 1 << 22  # bytes of text whose n-grams are looked up together where the filter is too large to broadcast
+# Rows of megabytes: a few in a row group, or Parquet holds many of them when it writes, and all of a group when it reads.
+WIDE_ROWS = {"parquet.block.size": str(2 * BUNDLE), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 RARE_PARTS = {"pack": pa.int64(), "bucket": pa.int32(), "names": pa.binary(), "at": pa.binary(), "rows": pa.binary()}
 
 
@@ -492,7 +494,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
             return pa.Table.from_batches(list(score([batch], key[0].as_py(), lambda texts: _answered(texts, order, levels))))
 
         with scratch(d.sparkSession):
-            packs = settle(_bundled(d, kind), "packs")
+            packs = settle(_bundled(d, kind), "packs", options=WIDE_ROWS)
             answers = settle(_answers(packs, parts, order, segments, probes), "answers")
             scored = settle(packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(pack_rows, shape), "scored", path)
     more = _rare_sums(scored.where(F.col("pack").isNotNull()), vocab, buckets)
